@@ -1,0 +1,55 @@
+"""The whole pipeline over a table: read once, rewrite inside the row, write once.  No shuffle, no
+Python worker; a text is analysed where it is read."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cloakframe.functions.strategies import rewriter
+from cloakframe.functions.text import let, splice
+from cloakframe.operators.detect import found_clusters, with_hits
+from cloakframe.operators.resolve import kept_spans
+from cloakframe.policy import Policy
+
+
+def analysed(policy: Policy) -> Column:
+    """struct(found, kept) over the columns of ``with_hits``: how many findings the analysis reported,
+    and the spans to rewrite."""
+    return let(
+        found_clusters(policy),
+        lambda c: F.struct(
+            F.aggregate(c, F.lit(0), lambda n, g: n + F.size(g)).alias("found"),
+            kept_spans(c, policy).alias("kept"),
+        ),
+    )
+
+
+def rewritten(text: Column, spans: Column, policy: Policy) -> Column:
+    make = rewriter(policy)
+    return splice(text, spans, lambda s: make(s["pii_type"], s["value"]))
+
+
+def anonymize(df: DataFrame, text_col: str, policy: Policy | None = None) -> DataFrame:
+    """``df`` with ``text_col`` rewritten and the run columns added: pii_found, pii_anonymized, entries
+    (what was rewritten and where, never the value) and status (``skipped`` for a missing or empty
+    text, which stays as it is)."""
+    policy = policy or Policy()
+    text = F.col(text_col)
+
+    def result(a: Column) -> Column:
+        return F.struct(
+            rewritten(text, a["kept"], policy).alias("text"),
+            a["found"].alias("pii_found"),
+            F.size(a["kept"]).alias("pii_anonymized"),
+            F.transform(a["kept"], lambda s: F.struct(
+                s["pii_type"].alias("pii_type"), s["start"].alias("position"), s["detector"].alias("detector"),
+            )).alias("entries"),
+        )
+
+    done = with_hits(df, text_col, policy).withColumn("_r", let(analysed(policy), result))
+    return done.select(
+        *[F.col("_r.text").alias(c) if c == text_col else F.col(c) for c in df.columns],
+        "_r.pii_found", "_r.pii_anonymized", "_r.entries",
+        F.when(F.coalesce(text, F.lit("")) == "", "skipped").otherwise("ok").alias("status"),
+    )
