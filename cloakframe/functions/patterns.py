@@ -265,7 +265,7 @@ AU_ENTITIES = (
 GENERAL_ENTITIES = (
     Entity(
         "EMAIL_ADDRESS",
-        (Shape("email", r"[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,20}\.[A-Za-z]{2,24}", 1.0, (("@",),)),),
+        (Shape("email", r"[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,20}\.[A-Za-z]{2,24}", 1.0, (("@",),)),),
     ),
     Entity(
         "PHONE_NUMBER",

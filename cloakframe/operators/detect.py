@@ -100,7 +100,7 @@ def with_hits(df: DataFrame, text_col: str, policy: Policy) -> DataFrame:
     )
 
 
-def _positions(hit: Column) -> Column:
+def positions(hit: Column) -> Column:
     """Start of every match of one hit: the lengths of all gaps and matches before it."""
     empty = F.array().cast("array<struct<start:int,value:string>>")
     state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), empty.alias("out"))
@@ -178,7 +178,7 @@ def _scored(hit: Column, fact: Column, points: Column, n_chars: Column, entities
             _certainty(fact["pii_type"], f["value"], entities),
             lambda certain: F.when(F.coalesce(certain, F.lit(True)), finish(f, certain))))
 
-    return F.filter(F.transform(_positions(hit), one), lambda f: f.isNotNull())
+    return F.filter(F.transform(positions(hit), one), lambda f: f.isNotNull())
 
 
 def raw_findings(policy: Policy, with_context: bool = False) -> Column:
@@ -224,27 +224,30 @@ def drop_contained(cluster: Column) -> Column:
     ))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def is_false_positive(pii_type: Column, value: Column, words: tuple[str, ...]) -> Column:
     """A person whose first word is listed; an organisation, place or group with any listed word."""
     if not words:
         return F.lit(False)
-    tokens = F.split(F.lower(F.trim(value)), r"\s+", -1)
-    listed = F.array(*[F.lit(w.lower()) for w in words])
-    return (
-        F.when(pii_type == "PERSON", F.array_contains(listed, F.get(tokens, F.lit(0))))
-        .when(pii_type.isin("ORGANIZATION", "LOCATION", "NRP"), F.arrays_overlap(listed, tokens))
-        .otherwise(F.lit(False))
-    )
+    tokens = F.split(F.lower(stripped(value)), r"\s+", -1)
+    listed = F.expr("array(" + ", ".join(_quoted(w.lower()) for w in words) + ")")
+    # the first word for a person, every word for the others
+    judged = F.when(pii_type == "PERSON", F.slice(tokens, 1, 1)).otherwise(tokens)
+    return pii_type.isin("PERSON", "ORGANIZATION", "LOCATION", "NRP") & F.arrays_overlap(listed, judged)
 
 
 def person_type(pii_type: Column, value: Column, preceding: Column) -> Column:
     """An organisation or place is a person after a title, or when it is one capitalised word that is
     not an acronym.  ``preceding`` is the (up to) ten characters before the finding."""
-    last = F.element_at(F.split(F.lower(F.rtrim(preceding)), r"\s+", -1), -1)
+    last = F.element_at(F.split(F.lower(stripped(preceding)), r"\s+", -1), -1)
     titled = F.regexp_replace(last, r"\.+$", "").isin(*TITLES)
     first = F.substring(value, 1, 1)
     single = (
-        ~F.trim(value).rlike(r"\s") & (F.upper(first) == first) & (F.lower(first) != first)
+        ~stripped(value).rlike(r"\s") & (F.upper(first) == first) & (F.lower(first) != first)
         & (F.upper(value) != value) & (F.length(value) > 2)
     )
     return F.when(pii_type.isin("ORGANIZATION", "LOCATION") & (titled | single), F.lit("PERSON")).otherwise(pii_type)

@@ -156,7 +156,8 @@ def overlap_groups(findings: DataFrame, ids: list[str], stripe: int = 1 << 16) -
     text and carried from stripe to stripe through a table of one row per stripe, so a text with very
     many findings is spread over as many tasks as it has stripes.
     """
-    f = findings.withColumn("_stripe", F.floor(F.col("start") / stripe))
+    # one exchange that everything below reuses, so the findings are computed once
+    f = findings.withColumn("_stripe", F.floor(F.col("start") / stripe)).repartition(*ids, "_stripe")
     per_stripe = f.groupBy(*ids, "_stripe").agg(F.max("end").alias("_max_end"))
     earlier_stripes = W.partitionBy(*ids).orderBy("_stripe").rowsBetween(W.unboundedPreceding, -1)
     carried = per_stripe.select(*ids, "_stripe", F.max("_max_end").over(earlier_stripes).alias("_carried"))
