@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cloakframe.functions.text import let
 from cloakframe.policy import Policy
+from cloakframe.sources.staging import staged
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -69,7 +71,6 @@ def _append(done: Column, item: Column) -> Column:
 
 def clusters(spans: Column) -> Column:
     """Sorts the spans and cuts them where a span starts at or after the end of all before it."""
-    from cloakframe.functions.text import let
 
     def cut(ordered: Column) -> Column:
         start = F.struct(F.slice(ordered, 1, 0).alias("cur"), F.lit(-1).alias("reach"),
@@ -90,7 +91,8 @@ def clusters(spans: Column) -> Column:
             lambda c: F.size(c) > 0,
         )
 
-    return let(in_merge_order(spans), lambda o: F.when(F.size(o) == 1, F.array(o)).otherwise(cut(o)))
+    ordered = let(spans, in_merge_order)
+    return let(ordered, lambda o: F.when(F.size(o) == 1, F.array(o)).otherwise(cut(o)))
 
 
 def dedup(cluster: Column) -> Column:
@@ -131,7 +133,7 @@ def kept_spans(found: Column, policy: Policy) -> Column:
     """``found`` as from ``detect.found_clusters``: allow and deny lists, then dedupe, then merge."""
     return F.flatten(F.transform(
         found,
-        lambda c: merge(dedup(F.filter(c, lambda f: survives_lists(f["value"], policy)))),
+        lambda c: let(let(F.filter(c, lambda f: survives_lists(f["value"], policy)), dedup), merge),
     ))
 
 
@@ -156,8 +158,7 @@ def overlap_groups(findings: DataFrame, ids: list[str], stripe: int = 1 << 16) -
     text and carried from stripe to stripe through a table of one row per stripe, so a text with very
     many findings is spread over as many tasks as it has stripes.
     """
-    # one exchange that everything below reuses, so the findings are computed once
-    f = findings.withColumn("_stripe", F.floor(F.col("start") / stripe)).repartition(*ids, "_stripe")
+    f = staged(findings.withColumn("_stripe", F.floor(F.col("start") / stripe)), "spans")
     per_stripe = f.groupBy(*ids, "_stripe").agg(F.max("end").alias("_max_end"))
     earlier_stripes = W.partitionBy(*ids).orderBy("_stripe").rowsBetween(W.unboundedPreceding, -1)
     carried = per_stripe.select(*ids, "_stripe", F.max("_max_end").over(earlier_stripes).alias("_carried"))

@@ -131,7 +131,7 @@ def apply_second_pass(texts: DataFrame, text_col: str, responses: DataFrame, ids
     text = F.col(text_col)
 
     def kept(found: Column) -> Column:
-        return F.flatten(F.transform(clusters(found), lambda c: merge(dedup(c))))
+        return F.flatten(F.transform(clusters(found), lambda c: let(dedup(c), merge)))
 
     empty = F.array().cast("array<struct<ord:int,pii_type:string,value:string,start:int,end:int,confidence:double,"
                            "detector:string,shape:string>>")

@@ -627,11 +627,11 @@ _LISTED_SQL = (f"(pii_type IN ('PERSON','ORGANIZATION','LOCATION','ORG','NRP','G
 def _located_ctes(text_rel: str) -> str:
     """From parsed and ``text_rel`` (id, text) to ``located``: id, ord, pii_type, s, e, value, text."""
     pat = "'(?is)' || array_to_string(list_transform(string_split(regexp_replace(value, '\\s', '', 'g'), ''), lambda c: '\\Q' || c || '\\E'), '\\s*')"
-    return f"""at AS (SELECT p.id, p.ord, p.pii_type, p.value AS v, t.text, instr(t.text, p.value) AS x, instr(lower(t.text), lower(p.value)) AS ci,
+    return f"""seen AS (SELECT p.id, p.ord, p.pii_type, p.value AS v, t.text, instr(t.text, p.value) AS x, instr(lower(t.text), lower(p.value)) AS ci,
   regexp_extract(t.text, {pat}) AS w FROM parsed p JOIN {text_rel} t USING (id) WHERE NOT {_LISTED_SQL}
   AND NOT regexp_matches(t.text, '\\A[\\s\\[\\]A-Z_]*\\z')),
 span AS (SELECT *, CASE WHEN x > 0 THEN x - 1 WHEN ci > 0 THEN ci - 1 WHEN w <> '' THEN instr(text, w) - 1 END AS s,
-  CASE WHEN x > 0 OR ci > 0 THEN length(v) ELSE length(w) END AS n FROM at),
+  CASE WHEN x > 0 OR ci > 0 THEN length(v) ELSE length(w) END AS n FROM seen),
 located AS (SELECT id, ord, pii_type, CAST(s AS INT) AS s, CAST(s + n AS INT) AS e, substr(text, CAST(s + 1 AS INT), CAST(n AS INT)) AS value, text,
   0.85::DOUBLE AS confidence FROM span WHERE s IS NOT NULL)"""
 
