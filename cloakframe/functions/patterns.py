@@ -9,19 +9,45 @@ this), so the guard changes cost, never results.
     #1   any digit
     #6   six digits with at most four separators between neighbours
     #8   eight digits, same rule
+    #13  thirteen digits with at most one space or dash between neighbours
+
+A member that starts with ``|`` is looked for in the row's digit runs: ``12 March 1985, 0412 345`` has
+the runs ``|2|4|4|3|``.  It fits shapes whose digits are whole runs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 DIGIT_CLASSES = {
     "#1": r"[0-9]",
     "#6": r"[0-9](?:[-\s.()]{0,4}[0-9]){5}",
     "#8": r"[0-9](?:[-\s.()]{0,4}[0-9]){7}",
+    "#13": r"[0-9](?:[- ]?[0-9]){12}",
 }
 
 
+def runs(*groups: int | tuple[int, ...]) -> tuple[str, ...]:
+    """Every sequence of digit runs that groups of these sizes can make when the separator between two
+    groups may be missing: ``runs(4, 3)`` is ``|4|3|`` and ``|7|``."""
+    made = set()
+    for sizes in product(*[g if isinstance(g, tuple) else (g,) for g in groups]):
+        for cuts in product((True, False), repeat=len(sizes) - 1):
+            seq = [sizes[0]]
+            for size, cut in zip(sizes[1:], cuts):
+                if cut:
+                    seq.append(size)
+                else:
+                    seq[-1] += size
+            made.add("|" + "|".join(map(str, seq)) + "|")
+    return tuple(sorted(made))
+
+
+def one_run(*lengths: int) -> tuple[str, ...]:
+    return tuple(f"|{n}|" for n in lengths)
+
+
 @dataclass(frozen=True)
 class Shape:
     name: str
@@ -81,13 +107,13 @@ AU_ENTITIES = (
     Entity(
         "AU_PHONE_NUMBER",
         (
-            Shape("au_landline", r"\b\(?0[2-9]\)?[-\s]?\d{4}[-\s]?\d{4}\b", 0.85, (("#8",), ("0",))),
-            Shape("au_mobile", r"\b04\d{2}[-\s.]?\d{3}[-\s.]?\d{3}\b", 0.9, (("#8",), ("04",))),
+            Shape("au_landline", r"\b\(?0[2-9]\)?[-\s]?\d{4}[-\s]?\d{4}\b", 0.85, (("#8",), runs(2, 4, 4), ("0",))),
+            Shape("au_mobile", r"\b04\d{2}[-\s.]?\d{3}[-\s.]?\d{3}\b", 0.9, (("#8",), ("04",), runs(4, 3, 3))),
             Shape("au_international", r"\b\+?61[-\s]?\(?0?\)?[-\s]?[2-9][-\s]?\d{4}[-\s]?\d{4}\b", 0.95,
                   (("#8",), ("61",))),
             Shape("au_international_mobile", r"\b\+?61[-\s]?4\d{2}[-\s]?\d{3}[-\s]?\d{3}\b", 0.95,
                   (("#8",), ("61",))),
-            Shape("au_mobile_partial", r"\b04\d{2}[-\s]?\d{2,3}[-\s]?\d{2,3}\b", 0.6, (("#8",), ("04",))),
+            Shape("au_mobile_partial", r"\b04\d{2}[-\s]?\d{2,3}[-\s]?\d{2,3}\b", 0.6, (("#8",), ("04",), runs(4, (2, 3), (2, 3)))),
         ),
         context=("phone", "mobile", "cell", "number", "call", "contact", "tel", "ph"),
     ),
@@ -108,7 +134,7 @@ AU_ENTITIES = (
             Shape("dob_ddmmyyyy_dash", r"\b(0?[1-9]|[12][0-9]|3[01])-(0?[1-9]|1[0-2])-(19|20)\d{2}\b", 0.3,
                   (("-19", "-20"),)),
             Shape("dob_iso_format", r"\b(19|20)\d{2}-(0?[1-9]|1[0-2])-(0?[1-9]|[12][0-9]|3[01])\b", 0.3,
-                  (("#6",), ("19", "20"), ("-",))),
+                  (("#6",), ("19", "20"), ("|4|1|1|", "|4|1|2|", "|4|2|1|", "|4|2|2|"))),
             Shape("dob_written_long",
                   r"\b(\d{1,2})(?:st|nd|rd|th)?\s+(January|February|March|April|May|June|July|August|September"
                   r"|October|November|December)\s+(19|20)\d{2}\b",
@@ -141,9 +167,9 @@ AU_ENTITIES = (
     Entity(
         "AU_SPECIAL_PHONE",
         (
-            Shape("au_1300_number", r"\b1300[-\s]?\d{3}[-\s]?\d{3}\b", 0.9, (("1300",),)),
-            Shape("au_1800_number", r"\b1800[-\s]?\d{3}[-\s]?\d{3}\b", 0.9, (("1800",),)),
-            Shape("au_13_number", r"\b13[-\s]?\d{2}[-\s]?\d{2}\b", 0.85, (("#6",), ("13",))),
+            Shape("au_1300_number", r"\b1300[-\s]?\d{3}[-\s]?\d{3}\b", 0.9, (("1300",), runs(4, 3, 3))),
+            Shape("au_1800_number", r"\b1800[-\s]?\d{3}[-\s]?\d{3}\b", 0.9, (("1800",), runs(4, 3, 3))),
+            Shape("au_13_number", r"\b13[-\s]?\d{2}[-\s]?\d{2}\b", 0.85, (("#6",), ("13",), runs(2, 2, 2))),
         ),
         context=("phone", "call", "contact", "helpline", "support", "hotline", "number"),
     ),
@@ -168,8 +194,8 @@ AU_ENTITIES = (
         (
             Shape("imei_with_context", r"(?:imei|device\s*id|handset)[:\s#]*(\d{15,17})", 0.95,
                   (("#8",), ("imei", "device", "handset"))),
-            Shape("imei_15_digit", r"\b\d{15}\b", 0.4, (("#8",),)),
-            Shape("imei_formatted", r"\b\d{2}[-\s]?\d{6}[-\s]?\d{6}[-\s]?\d{1}\b", 0.7, (("#8",),)),
+            Shape("imei_15_digit", r"\b\d{15}\b", 0.4, (one_run(15),)),
+            Shape("imei_formatted", r"\b\d{2}[-\s]?\d{6}[-\s]?\d{6}[-\s]?\d{1}\b", 0.7, (("#13",), runs(2, 6, 6, 1))),
         ),
         context=("imei", "device id", "handset", "phone serial", "mobile device", "device"),
     ),
@@ -178,7 +204,7 @@ AU_ENTITIES = (
         (
             Shape("iccid_with_context", r"(?:iccid|sim|sim\s*card|sim\s*number)[:\s#]*(89\d{17,19})", 0.95,
                   (("#8",), ("iccid", "sim"), ("89",))),
-            Shape("iccid_generic", r"\b89\d{17,19}\b", 0.85, (("#8",), ("89",))),
+            Shape("iccid_generic", r"\b89\d{17,19}\b", 0.85, (("#13",), ("89",), one_run(19, 20, 21))),
         ),
         context=("iccid", "sim", "sim card", "sim number", "icc", "sim serial"),
     ),
@@ -208,10 +234,10 @@ AU_ENTITIES = (
             Shape("au_dl_license_state",
                   r"\b(?:vic|nsw|qld|sa|wa|tas|nt|act)\s+(?:licen[cs]e|lic\.?)\s*[:\-#]?\s*(\d{6,10})\b", 0.9,
                   (("#6",), ("lic",))),
-            Shape("au_dl_vic_alpha", r"\b[A-Za-z]\d{8}\b", 0.5, (("#8",),)),
-            Shape("au_dl_sa", r"\b[A-Za-z]\d{5}\b", 0.4, (("#1",),)),
-            Shape("au_dl_8digit", r"\b\d{8}\b", 0.01, (("#8",),)),
-            Shape("au_dl_9digit", r"\b\d{9}\b", 0.01, (("#8",),)),
+            Shape("au_dl_vic_alpha", r"\b[A-Za-z]\d{8}\b", 0.5, (one_run(8),)),
+            Shape("au_dl_sa", r"\b[A-Za-z]\d{5}\b", 0.4, (one_run(5),)),
+            Shape("au_dl_8digit", r"\b\d{8}\b", 0.01, (one_run(8),)),
+            Shape("au_dl_9digit", r"\b\d{9}\b", 0.01, (one_run(9),)),
         ),
         context=("driver license", "driver licence", "drivers license", "drivers licence", "driving license",
                  "driving licence", "DL", "licence number", "license number", "licence no", "license no",
@@ -220,9 +246,9 @@ AU_ENTITIES = (
     Entity(
         "AU_PASSPORT",
         (
-            Shape("au_passport_standard", r"\b[PNE][A-Za-z]\d{7}\b", 0.7, (("#6",),)),
-            Shape("au_passport_single_letter", r"\b[PNELM]\d{7}\b", 0.65, (("#6",),)),
-            Shape("au_passport_generic", r"\b[A-Za-z]{2}\d{7}\b", 0.5, (("#6",),)),
+            Shape("au_passport_standard", r"\b[PNE][A-Za-z]\d{7}\b", 0.7, (one_run(7),)),
+            Shape("au_passport_single_letter", r"\b[PNELM]\d{7}\b", 0.65, (one_run(7),)),
+            Shape("au_passport_generic", r"\b[A-Za-z]{2}\d{7}\b", 0.5, (one_run(7),)),
             Shape("au_passport_with_context",
                   r"(?:passport|passport\s*(?:no|number|num|#)|travel\s*document)[:\s#]*([A-Za-z]{1,2}\d{7})",
                   0.95, (("#6",), ("passport", "document"))),
@@ -233,7 +259,7 @@ AU_ENTITIES = (
     Entity(
         "AU_CENTRELINK_CRN",
         (
-            Shape("au_crn_standard", r"\b\d{9}[A-Za-z]\b", 0.75, (("#8",),)),
+            Shape("au_crn_standard", r"\b\d{9}[A-Za-z]\b", 0.75, (one_run(9),)),
             Shape("au_crn_with_context",
                   r"(?:centrelink|CRN|customer\s*reference\s*(?:no|number|num)?|reference\s*(?:no|number|num))"
                   r"[:\s#]*(\d{9}[A-Za-z])",
@@ -272,8 +298,8 @@ GENERAL_ENTITIES = (
         (
             Shape("phone_international", r"\+\d{1,3}[-\s.]?\(?\d{2,4}\)?(?:[-\s.]?\d{2,4}){2,3}\b", 0.75,
                   (("+",), ("#6",))),
-            Shape("phone_area_in_brackets", r"\(\d{3}\)\s?\d{3}[-\s.]\d{4}\b", 0.6, (("(",), ("#8",))),
-            Shape("phone_separated", r"\b\d{3}[-.]\d{3}[-.]\d{4}\b", 0.4, (("#8",),)),
+            Shape("phone_area_in_brackets", r"\(\d{3}\)\s?\d{3}[-\s.]\d{4}\b", 0.6, (("(",), ("|3|3|4|",))),
+            Shape("phone_separated", r"\b\d{3}[-.]\d{3}[-.]\d{4}\b", 0.4, (("|3|3|4|",),)),
         ),
         context=("phone", "number", "telephone", "cell", "cellphone", "mobile", "call"),
     ),
@@ -281,7 +307,7 @@ GENERAL_ENTITIES = (
         "CREDIT_CARD",
         (Shape("card_number",
                r"\b(?:4\d{3}|5[0-5]\d{2}|6\d{3}|1\d{3}|3\d{3})[- ]?\d{3,4}[- ]?\d{3,4}[- ]?\d{3,5}\b", 0.3,
-               (("#8",),)),),
+               (("#13",),)),),
         context=("credit", "card", "visa", "mastercard", "amex", "discover", "jcb", "diners", "maestro"),
         check="card",
     ),
@@ -300,45 +326,45 @@ GENERAL_ENTITIES = (
     ),
     Entity(
         "US_SSN",
-        (Shape("ssn_separated", r"\b\d{3}[- .]\d{2}[- .]\d{4}\b", 0.5, (("#8",),)),),
+        (Shape("ssn_separated", r"\b\d{3}[- .]\d{2}[- .]\d{4}\b", 0.5, (("|3|2|4|",),)),),
         context=("social", "security", "ssn", "ssns", "ssid"),
         check="ssn",
     ),
     Entity(
         "US_BANK_NUMBER",
-        (Shape("us_bank_digits", r"\b\d{8,17}\b", 0.05, (("#8",),)),),
+        (Shape("us_bank_digits", r"\b\d{8,17}\b", 0.05, (one_run(*range(8, 18)),)),),
         context=("bank", "check", "account", "acct", "save", "debit"),
     ),
     Entity(
         "US_DRIVER_LICENSE",
-        (Shape("us_dl_letter_digits", r"\b[A-Z]\d{6,8}\b", 0.3, (("#6",),)),),
+        (Shape("us_dl_letter_digits", r"\b[A-Z]\d{6,8}\b", 0.3, (one_run(6, 7, 8),)),),
         context=("driver", "license", "permit", "lic", "identification", "dls", "cdls"),
     ),
     Entity(
         "US_ITIN",
         (Shape("itin_separated", r"\b9\d{2}[- ](?:5\d|6[0-5]|7\d|8[0-8]|9[0-24-9])[- ]\d{4}\b", 0.5,
-               (("#8",), ("9",))),),
+               (("|3|2|4|",),)),),
         context=("individual", "taxpayer", "itin", "tax", "payer", "taxid", "tin"),
     ),
     Entity(
         "US_PASSPORT",
         (
-            Shape("us_passport_digits", r"\b\d{9}\b", 0.05, (("#8",),)),
-            Shape("us_passport_letter", r"\b[A-Z]\d{8}\b", 0.1, (("#8",),)),
+            Shape("us_passport_digits", r"\b\d{9}\b", 0.05, (one_run(9),)),
+            Shape("us_passport_letter", r"\b[A-Z]\d{8}\b", 0.1, (one_run(8),)),
         ),
         context=("us", "united", "states", "passport", "travel", "document"),
     ),
     Entity(
         "UK_NHS",
-        (Shape("nhs_grouped", r"\b\d{3}[- ]?\d{3}[- ]?\d{4}\b", 0.5, (("#8",),)),),
+        (Shape("nhs_grouped", r"\b\d{3}[- ]?\d{3}[- ]?\d{4}\b", 0.5, (runs(3, 3, 4),)),),
         context=("national health service", "nhs", "health services authority", "health authority"),
         check="nhs",
     ),
     Entity(
         "SG_NRIC_FIN",
         (
-            Shape("nric_prefixed", r"\b[STFGM]\d{7}[A-Z]\b", 0.5, (("#6",),)),
-            Shape("nric_any_letter", r"\b[A-Z]\d{7}[A-Z]\b", 0.3, (("#6",),)),
+            Shape("nric_prefixed", r"\b[STFGM]\d{7}[A-Z]\b", 0.5, (one_run(7),)),
+            Shape("nric_any_letter", r"\b[A-Z]\d{7}[A-Z]\b", 0.3, (one_run(7),)),
         ),
         context=("fin", "fin#", "nric", "nric#"),
     ),
@@ -363,8 +389,8 @@ GENERAL_ENTITIES = (
     Entity(
         "AU_TFN",
         (
-            Shape("tfn_grouped", r"\b\d{3}[\s-]\d{3}[\s-]\d{3}\b", 0.1, (("#8",),)),
-            Shape("tfn_compact", r"\b\d{9}\b", 0.01, (("#8",),)),
+            Shape("tfn_grouped", r"\b\d{3}[\s-]\d{3}[\s-]\d{3}\b", 0.1, (("|3|3|3|",),)),
+            Shape("tfn_compact", r"\b\d{9}\b", 0.01, (one_run(9),)),
         ),
         context=("tax file number", "tfn"),
         check="tfn",
@@ -372,8 +398,8 @@ GENERAL_ENTITIES = (
     Entity(
         "AU_MEDICARE",
         (
-            Shape("medicare_grouped", r"\b[2-6]\d{3}[\s-]\d{5}[\s-]\d\b", 0.1, (("#8",),)),
-            Shape("medicare_compact", r"\b[2-6]\d{9}\b", 0.01, (("#8",),)),
+            Shape("medicare_grouped", r"\b[2-6]\d{3}[\s-]\d{5}[\s-]\d\b", 0.1, (("|4|5|1|",),)),
+            Shape("medicare_compact", r"\b[2-6]\d{9}\b", 0.01, (one_run(10),)),
         ),
         context=("medicare",),
         check="medicare",
@@ -381,8 +407,8 @@ GENERAL_ENTITIES = (
     Entity(
         "AU_ABN",
         (
-            Shape("abn_grouped", r"\b\d{2}[\s-]\d{3}[\s-]\d{3}[\s-]\d{3}\b", 0.1, (("#8",),)),
-            Shape("abn_compact", r"\b\d{11}\b", 0.01, (("#8",),)),
+            Shape("abn_grouped", r"\b\d{2}[\s-]\d{3}[\s-]\d{3}[\s-]\d{3}\b", 0.1, (("|2|3|3|3|",),)),
+            Shape("abn_compact", r"\b\d{11}\b", 0.01, (one_run(11),)),
         ),
         context=("australian business number", "abn"),
         check="abn",
@@ -390,8 +416,8 @@ GENERAL_ENTITIES = (
     Entity(
         "AU_ACN",
         (
-            Shape("acn_grouped", r"\b\d{3}[\s-]\d{3}[\s-]\d{3}\b", 0.1, (("#8",),)),
-            Shape("acn_compact", r"\b\d{9}\b", 0.01, (("#8",),)),
+            Shape("acn_grouped", r"\b\d{3}[\s-]\d{3}[\s-]\d{3}\b", 0.1, (("|3|3|3|",),)),
+            Shape("acn_compact", r"\b\d{9}\b", 0.01, (one_run(9),)),
         ),
         context=("australian company number", "acn"),
         check="acn",

@@ -24,8 +24,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+# Texts up to this many characters are sliced as they are: walking to the piece is cheaper than the
+# conversion.
+_SHORT = 2048
+
+
 def code_points(text: Column) -> Column:
-    return F.encode(text, "UTF-32")
+    """What ``piece`` slices: the text, and for long texts its UTF-32 form."""
+    n = F.length(text)
+    return F.struct(text.alias("text"), n.alias("n"), F.when(n > _SHORT, F.encode(text, "UTF-32")).alias("wide"))
 
 
 def piece(points: Column, start: Column, length: Column) -> Column:
@@ -33,8 +40,9 @@ def piece(points: Column, start: Column, length: Column) -> Column:
 
     The leading blank keeps a byte-order mark at the start of a piece from being swallowed.
     """
-    raw = F.substring(points, start * 4 + 1, F.greatest(length, F.lit(0)) * 4)
-    return F.substring(F.decode(F.concat(F.lit(b"\x00\x00\x00\x20"), raw), "UTF-32"), F.lit(2), length + 1)
+    raw = F.substring(points["wide"], start * 4 + 1, F.greatest(length, F.lit(0)) * 4)
+    wide = F.substring(F.decode(F.concat(F.lit(b"\x00\x00\x00\x20"), raw), "UTF-32"), F.lit(2), length + 1)
+    return F.when(points["wide"].isNull(), F.substring(points["text"], start + 1, length)).otherwise(wide)
 
 
 def snippet(points: Column, n_chars: Column, start: Column, end: Column, around: int = 20) -> Column:

@@ -21,7 +21,6 @@ CONTEXT_BOOST = 0.35
 CONTEXT_FLOOR = 0.4
 CONTEXT_TOKENS = 5
 
-_TOKEN_GAP = r"[ \t\r\n]+"
 # Characters looked at first for the context tokens; when they hold too few tokens the whole text
 # before the match is used, so the reach is always exact.
 _WINDOW = 120
@@ -30,8 +29,8 @@ DETECTOR = "patterns"
 
 
 # Working columns next to the caller's own.
-_TEXT, _LOW, _D1, _D6, _D8, _HITS = "_cf_text", "_cf_low", "_cf_d1", "_cf_d6", "_cf_d8", "_cf_hits"
-_DIGIT_COLUMN = {"#1": _D1, "#6": _D6, "#8": _D8}
+_TEXT, _LOW, _RUNS, _HITS = "_cf_text", "_cf_low", "_cf_runs", "_cf_hits"
+_DIGIT_COLUMN = {"#1": "_cf_d1", "#6": "_cf_d6", "#8": "_cf_d8", "#13": "_cf_d13"}
 
 
 def _quoted(s: str) -> str:
@@ -46,20 +45,24 @@ def _raw(regex: str) -> str:
 def _presence_sql(shape: Shape) -> str:
     """True when every group of ``shape.needs`` has a member in the text."""
     haystack = _TEXT if shape.case_sensitive else _LOW
-    groups = [
-        " OR ".join(_DIGIT_COLUMN.get(need) or f"contains({haystack}, {_quoted(need)})" for need in group)
-        for group in shape.needs
-    ]
+
+    def member(need: str) -> str:
+        where = _RUNS if need.startswith("|") else haystack
+        return _DIGIT_COLUMN.get(need) or f"contains({where}, {_quoted(need)})"
+
+    groups = [" OR ".join(member(need) for need in group) for group in shape.needs]
     return " AND ".join(f"({g})" for g in groups) or f"{_TEXT} IS NOT NULL"
 
 
 def _hit_sql(order: int, shape: Shape) -> str:
-    """The matches of one shape and the text between them, or null."""
+    """The matches of one shape, or null.  Where a matched value occurs once in the text its place is
+    known; only where one occurs again is the text between the matches (``g``) needed to place it."""
     regex = _raw(shape.flagged())
+    again = f"exists(m, v -> locate(v, {_TEXT}, instr({_TEXT}, v) + 1) > 0)"
     return (
         f"CASE WHEN {_presence_sql(shape)} THEN get(transform("
         f"array(regexp_extract_all({_TEXT}, {regex}, 0)), m -> CASE WHEN size(m) > 0 THEN "
-        f"named_struct('ord', {order}, 'm', m, 'g', split({_TEXT}, {regex}, -1)) END), 0) END"
+        f"named_struct('ord', {order}, 'm', m, 'g', CASE WHEN {again} THEN split({_TEXT}, {regex}, -1) END) END), 0) END"
     )
 
 
@@ -91,17 +94,32 @@ def with_hits(df: DataFrame, text_col: str, policy: Policy) -> DataFrame:
     orders = shape_orders()
     cases = [_hit_sql(orders[(e.pii_type, s.name)], s) for e in policy.selected() for s in e.shapes]
     text = F.col(_TEXT)
+    d1, d6, d8, d13 = _DIGIT_COLUMN.values()
+    lengths = F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda r: F.length(r).cast("string"))
     return (
         df.withColumn(_TEXT, F.col(text_col))
-        .withColumns({_LOW: F.lower(text), _D1: text.rlike(DIGIT_CLASSES["#1"])})
-        .withColumn(_D6, F.col(_D1) & text.rlike(DIGIT_CLASSES["#6"]))
-        .withColumn(_D8, F.col(_D6) & text.rlike(DIGIT_CLASSES["#8"]))
+        .withColumns({_LOW: F.lower(text), d1: text.rlike(DIGIT_CLASSES["#1"])})
+        .withColumn(d6, F.col(d1) & text.rlike(DIGIT_CLASSES["#6"]))
+        .withColumn(d8, F.col(d6) & text.rlike(DIGIT_CLASSES["#8"]))
+        .withColumns({
+            d13: F.col(d8) & text.rlike(DIGIT_CLASSES["#13"]),
+            _RUNS: F.when(F.col(d1), F.concat(F.lit("|"), F.array_join(lengths, "|"), F.lit("|"))).otherwise(""),
+        })
         .withColumn(_HITS, F.expr("filter(array(" + ",\n".join(cases) + "), h -> h IS NOT NULL)"))
     )
 
 
-def positions(hit: Column) -> Column:
-    """Start of every match of one hit: the lengths of all gaps and matches before it."""
+def positions(hit: Column, text: Column | None = None) -> Column:
+    """Where the matches of one hit start: by their one place in ``text``, or from the lengths of all gaps
+    and matches before them."""
+    counted = _counted(hit)
+    if text is None:
+        return counted
+    return F.when(hit["g"].isNull(), F.transform(hit["m"], lambda v: F.struct(
+        (F.instr(text, v) - 1).alias("start"), v.alias("value")))).otherwise(counted)
+
+
+def _counted(hit: Column) -> Column:
     empty = F.array().cast("array<struct<start:int,value:string>>")
     state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), empty.alias("out"))
 
@@ -127,20 +145,30 @@ def _without_title(found: Column) -> Column:
 def has_context(points: Column, start: Column, value: Column, words: Column) -> Column:
     """Whether one of the last five tokens before the match, or the token it starts in, holds one of
     the lower-case ``words``.  A word of several tokens never fits into one token."""
-    keep = CONTEXT_TOKENS + 1  # the piece directly attached to the match counts as well
 
-    def last(parts: Column) -> Column:
-        return F.slice(parts, F.greatest(F.size(parts) - (keep - 1), F.lit(1)), F.lit(keep))
+    def tokens(text: Column) -> Column:
+        return F.filter(F.split(F.translate(text, "\t\r\n", "   "), " ", -1), lambda t: t != "")
+
+    def last(parts: Column, attached: Column) -> Column:
+        keep = F.lit(CONTEXT_TOKENS) + attached.cast("int")
+        return F.slice(parts, F.greatest(F.size(parts) - keep + 1, F.lit(1)), keep)
+
+    def near(window: Column) -> Column:
+        # a piece directly attached to the match counts besides the five
+        attached = ~F.right(window, F.lit(1)).isin(" ", "\t", "\r", "\n", "")
+
+        def chosen(parts: Column) -> Column:
+            # the first token of the window may be cut off
+            enough = (F.size(parts) > CONTEXT_TOKENS + 1) | (start <= _WINDOW)
+            return F.when(enough, last(parts, attached)).otherwise(
+                last(tokens(piece(points, F.lit(0), start)), attached))
 
-    def before(parts: Column) -> Column:
-        enough = (F.size(parts) > keep) | (start <= _WINDOW)
-        return F.when(enough, last(parts)).otherwise(
-            last(F.split(piece(points, F.lit(0), start), _TOKEN_GAP, -1)))
+        before = F.array_join(let(tokens(window), chosen), "\n")
+        own = F.substring_index(F.translate(value, "\t\r\n", "   "), " ", 1)
+        return F.lower(F.concat(before, F.lit("\n"), own))
 
-    window = F.greatest(start - _WINDOW, F.lit(0))
-    tokens = let(F.split(piece(points, window, start - window), _TOKEN_GAP, -1), before)
-    near = F.lower(F.concat(F.array_join(tokens, "\n"), F.lit("\n"), F.get(F.split(value, _TOKEN_GAP, -1), F.lit(0))))
-    return let(near, lambda s: F.exists(words, lambda w: F.contains(s, w)))
+    left = F.greatest(start - _WINDOW, F.lit(0))
+    return let(let(piece(points, left, start - left), near), lambda s: F.exists(words, lambda w: F.contains(s, w)))
 
 
 def boosted(score: Column, near: Column) -> Column:
@@ -160,7 +188,9 @@ def _certainty(pii_type: Column, value: Column, entities: tuple[Entity, ...]) ->
 
 def _scored(hit: Column, fact: Column, points: Column, n_chars: Column, entities, with_context: bool) -> Column:
     def finish(found: Column, certain: Column) -> Column:
-        near = has_context(points, found["start"], found["value"], fact["context"])
+        # nothing to look for, or nothing to gain
+        looked_up = (F.size(fact["context"]) > 0) & ~F.coalesce(certain, F.lit(False)) & (fact["score"] < 1)
+        near = F.when(looked_up, has_context(points, found["start"], found["value"], fact["context"])).otherwise(False)
         base = F.when(certain, F.lit(1.0)).otherwise(fact["score"])
         end = found["start"] + F.length(found["value"])
         fields = [
@@ -178,7 +208,7 @@ def _scored(hit: Column, fact: Column, points: Column, n_chars: Column, entities
             _certainty(fact["pii_type"], f["value"], entities),
             lambda certain: F.when(F.coalesce(certain, F.lit(True)), finish(f, certain))))
 
-    return F.filter(F.transform(positions(hit), one), lambda f: f.isNotNull())
+    return F.filter(F.transform(positions(hit, points["text"]), one), lambda f: f.isNotNull())
 
 
 def raw_findings(policy: Policy, with_context: bool = False) -> Column:
