@@ -16,6 +16,7 @@ from cloakframe.operators.detect import (
 from cloakframe.plans.anonymize import anonymize
 from cloakframe.plans.tables import anonymize_columns, long_form, resolved_findings, rewrite_with
 from cloakframe.policy import FALSE_POSITIVE_WORDS, SKIPPED_TYPES, Policy, Redact, Replace
+from cloakframe.sources.crm_notes import synth_crm_notes, synth_sql
 from cloakframe.sources.staging import shared_folder, staged
 from cloakframe.sources.tables import checked_columns, read_table, require_rows, scan_csv
 from registry import notes as N
@@ -787,3 +788,11 @@ def _stream_pseudonyms(spark, sf):
 
 register("stream_pseudonyms", _stream_pseudonyms, f"""WITH {S.found_ctes(N.DOCUMENTS, _DOC_POLICY)}
 SELECT DISTINCT pii_type, value, {S.pseudonym('pii_type', 'value')} AS replacement FROM found""")
+
+# ---- synthetic notes, seeded by the keys of a table -------------------------------------------
+
+register(
+    "synth_crm_notes",
+    lambda spark, sf: synth_crm_notes(read_table(spark, f"{sf}/orders.parquet", "o_orderkey"), "o_orderkey"),
+    synth_sql("orders", "o_orderkey"),
+)
