@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.patterns import CAPS_NAME
@@ -24,6 +24,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` whose expression stays where it is.
+
+    A filter on a plain column is pushed below it by writing the whole expression a second time into the
+    filter; what comes out of a generator is never rewritten like that, so a costly ``value`` is computed
+    once per row whatever is asked of the result.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 # Texts up to this many characters are sliced as they are: walking to the piece is cheaper than the
 # conversion.
 _SHORT = 2048

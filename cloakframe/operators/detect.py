@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import checksums
 from cloakframe.functions.patterns import DIGIT_CLASSES, TITLE_LEAD, TITLES, Entity, Shape
-from cloakframe.functions.text import code_points, let, piece, snippet
+from cloakframe.functions.text import code_points, let, piece, snippet, with_computed
 from cloakframe.operators.resolve import clusters
 from cloakframe.policy import Policy, registered_entities
 
@@ -304,16 +304,18 @@ def with_findings(df: DataFrame, text_col: str, policy: Policy | None = None, na
     """``df`` with one more column: the array of the row's findings."""
     hits = with_hits(df, text_col, policy or Policy())
     found = F.flatten(found_clusters(policy or Policy(), with_context=True))
-    return hits.select(*df.columns, found.alias(name))
+    return with_computed(hits, name, found).select(*df.columns, name)
 
 
 def detect(df: DataFrame, text_col: str, ids: list[str], policy: Policy | None = None) -> DataFrame:
     """One row per finding: ``ids`` and the findings schema."""
+    policy = policy or Policy()
+    needed = df.select(*dict.fromkeys([*ids, text_col]))
+    found = F.flatten(found_clusters(policy, with_context=True))
     # explode_outer plus a test on its result: a plain explode would add size(...) > 0 below itself and
     # the optimizer would evaluate all regexes once more for it
-    needed = df.select(*dict.fromkeys([*ids, text_col]))
     return (
-        with_findings(needed, text_col, policy, "_found").select(*ids, F.explode_outer("_found").alias("_f"))
+        with_hits(needed, text_col, policy).select(*ids, F.explode_outer(found).alias("_f"))
         .where(F.col("_f").isNotNull())
         .select(*ids, "_f.pii_type", "_f.value", "_f.start", "_f.end", "_f.confidence", "_f.context",
                 "_f.detector", "_f.shape", "_f.ord")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import code_points, let, piece
+from cloakframe.functions.text import code_points, let, piece, with_computed
 from cloakframe.operators.detect import _quoted, stripped
 from cloakframe.operators.resolve import clusters, dedup, merge
 from cloakframe.policy import Policy
@@ -136,7 +136,7 @@ def apply_second_pass(texts: DataFrame, text_col: str, responses: DataFrame, ids
     empty = F.array().cast("array<struct<ord:int,pii_type:string,value:string,start:int,end:int,confidence:double,"
                            "detector:string,shape:string>>")
     spans = let(F.coalesce(response_findings(text, F.col("content"), policy), empty), kept)
-    done = joined.withColumn("_p", let(spans, lambda k: F.struct(
+    done = with_computed(joined, "_p", let(spans, lambda k: F.struct(
         rewritten(text, k, policy).alias("text"), F.size(k).alias("n"))))
     out = []
     for c in texts.columns:

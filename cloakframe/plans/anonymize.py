@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.strategies import rewriter
-from cloakframe.functions.text import let, splice
+from cloakframe.functions.text import let, splice, with_computed
 from cloakframe.operators.detect import found_clusters, with_hits
 from cloakframe.operators.resolve import kept_spans
 from cloakframe.policy import Policy
@@ -47,7 +47,7 @@ def anonymize(df: DataFrame, text_col: str, policy: Policy | None = None) -> Dat
             )).alias("entries"),
         )
 
-    done = with_hits(df, text_col, policy).withColumn("_r", let(analysed(policy), result))
+    done = with_computed(with_hits(df, text_col, policy), "_r", let(analysed(policy), result))
     return done.select(
         *[F.col("_r.text").alias(c) if c == text_col else F.col(c) for c in df.columns],
         "_r.pii_found", "_r.pii_anonymized", "_r.entries",

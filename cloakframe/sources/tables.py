@@ -40,10 +40,8 @@ def require_rows(df: DataFrame) -> DataFrame:
 def scan_text_corpus(spark: SparkSession, path: str, recursive: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """(path, text): one row per ``*.txt`` file, its whole text."""
     if encoding.upper() in ("UTF-8", "UTF8"):
-        files = spark.read.option("wholetext", True)
-        text = F.col("value")
-        reader = files.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", recursive).text(path)
-        return reader.select(F.col("_metadata.file_path").alias("path"), text.alias("text"))
+        files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=recursive)
+        return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     reader = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
         .option("recursiveFileLookup", recursive).load(path)
