@@ -11,7 +11,7 @@ from cloakframe.functions import strategies as st
 from cloakframe.functions.text import normalize_titled_caps
 from cloakframe.operators import agreement, lookup, person, pseudonyms, report, resolve, second_pass, validate
 from cloakframe.operators.detect import (
-    detect, drop_contained, is_false_positive, person_type, raw_findings, with_hits,
+    detect, drop_contained, is_false_positive, person_type, raw_findings, with_findings, with_hits,
 )
 from cloakframe.plans.anonymize import anonymize
 from cloakframe.plans.tables import anonymize_columns, long_form, resolved_findings, rewrite_with
@@ -90,7 +90,7 @@ for _name, _source, _entities in [
     ("detect_us_ssn", "notes", ("US_SSN",)),
     ("detect_iban", "notes", ("IBAN_CODE",)),
     ("detect_crypto", "notes", ("CRYPTO",)),
-    ("detect_url", "pages", ("URL",)),
+    ("detect_url", "notes", ("URL",)),
     ("detect_au_tfn", "notes", ("AU_TFN",)),
     ("detect_au_medicare", "notes", ("AU_MEDICARE",)),
     ("detect_au_abn", "notes", ("AU_ABN",)),
@@ -99,6 +99,7 @@ for _name, _source, _entities in [
 ]:
     _detection(_name, _source, _entities)
 
+_detection("detect_in_pages", "pages", ("EMAIL_ADDRESS", "IP_ADDRESS", "GENERIC_NUMBER", "URL"))
 _detection("detect_other_national_ids", "notes",
            ("US_BANK_NUMBER", "US_DRIVER_LICENSE", "US_ITIN", "US_PASSPORT", "UK_NHS", "SG_NRIC_FIN"), threshold=0.05)
 _detection("detect_all_notes", "notes", patterns.DEFAULT_TYPES)
@@ -363,9 +364,11 @@ SELECT id, u.pii_type AS pii_type, u.value AS value, u.s AS start_pos, u.e AS en
 )
 register(
     "sort_findings",
-    lambda spark, sf: detect(notes(spark, sf), "text", ["id"], _MIX)
-    .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "pii_type"))).alias("a"))
-    .select("id", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["start"], x["pii_type"])), ",").alias("spans")),
+    # the findings of a row are already together: no shuffle
+    lambda spark, sf: with_findings(notes(spark, sf), "text", _MIX).where(F.size("findings") > 0).select(
+        "id", F.array_join(F.transform(
+            F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["ord"].alias("ord"), f["pii_type"].alias("t")))),
+            lambda x: F.concat_ws(":", x["start"], x["t"])), ",").alias("spans")),
     f"WITH {S.found_ctes(N.NOTES, _MIX)} SELECT id, string_agg(s || ':' || pii_type, ',' ORDER BY s, ord) AS spans FROM found GROUP BY id",
 )
 register(
