@@ -76,11 +76,12 @@ def _facts() -> Column:
     """What is known of each shape, by its order: one constant array."""
     rows = []
     for e in registered_entities().values():
-        words = ", ".join(_quoted(w.lower()) for w in e.context)
+        # a word of several tokens never fits into one token
+        words = ", ".join(_quoted(w.lower()) for w in e.context if " " not in w)
         words = f"array({words})" if words else "cast(array() AS array<string>)"
         for s in e.shapes:
             rows.append(f"named_struct('pii_type', {_quoted(e.pii_type)}, 'shape', {_quoted(s.name)}, "
-                        f"'score', {float(s.score)}D, 'context', {words})")
+                        f"'score', {float(s.score)}D, 'boosted', {boosted(s.score)}D, 'context', {words})")
     return F.expr("array(" + ", ".join(rows) + ")")
 
 
@@ -144,36 +145,42 @@ def _without_title(found: Column) -> Column:
 
 def has_context(points: Column, start: Column, value: Column, words: Column) -> Column:
     """Whether one of the last five tokens before the match, or the token it starts in, holds one of
-    the lower-case ``words``.  A word of several tokens never fits into one token."""
+    the lower-case ``words`` (single tokens)."""
 
     def tokens(text: Column) -> Column:
         return F.filter(F.split(F.translate(text, "\t\r\n", "   "), " ", -1), lambda t: t != "")
 
-    def last(parts: Column, attached: Column) -> Column:
-        keep = F.lit(CONTEXT_TOKENS) + attached.cast("int")
-        return F.slice(parts, F.greatest(F.size(parts) - keep + 1, F.lit(1)), keep)
-
-    def near(window: Column) -> Column:
+    def last(parts: Column, text: Column) -> Column:
         # a piece directly attached to the match counts besides the five
-        attached = ~F.right(window, F.lit(1)).isin(" ", "\t", "\r", "\n", "")
-
-        def chosen(parts: Column) -> Column:
-            # the first token of the window may be cut off
-            enough = (F.size(parts) > CONTEXT_TOKENS + 1) | (start <= _WINDOW)
-            return F.when(enough, last(parts, attached)).otherwise(
-                last(tokens(piece(points, F.lit(0), start)), attached))
-
-        before = F.array_join(let(tokens(window), chosen), "\n")
-        own = F.substring_index(F.translate(value, "\t\r\n", "   "), " ", 1)
-        return F.lower(F.concat(before, F.lit("\n"), own))
-
+        keep = F.lit(CONTEXT_TOKENS) + (~F.right(text, F.lit(1)).isin(" ", "\t", "\r", "\n", "")).cast("int")
+        return F.array_join(F.slice(parts, F.greatest(F.size(parts) - keep + 1, F.lit(1)), keep), " ")
+
+    def split_up(window: Column) -> Column:
+        # the first token of the window may be torn, so one more than needed must be there
+        return let(tokens(window), lambda t: F.when(
+            (F.size(t) > CONTEXT_TOKENS + 1) | (start <= _WINDOW), last(t, window),
+        ).otherwise(last(tokens(piece(points, F.lit(0), start)), window)))
+
+    def before(window: Column) -> Column:
+        # with single blanks between the tokens the last six pieces are what is looked for, unless the
+        # first of them may be torn
+        even = F.lit(True)
+        for gap in ("  ", "\n", "\t", "\r"):
+            even = even & ~F.contains(window, F.lit(gap))
+        pieces = F.substring_index(window, " ", -(CONTEXT_TOKENS + 1))
+        whole = (start <= _WINDOW) | (F.length(pieces) < F.length(window))
+        return F.when(even & whole, pieces).otherwise(split_up(window))
+
+    own = value
+    for gap in (" ", "\n", "\t", "\r"):
+        own = F.substring_index(own, gap, 1)
     left = F.greatest(start - _WINDOW, F.lit(0))
-    return let(let(piece(points, left, start - left), near), lambda s: F.exists(words, lambda w: F.contains(s, w)))
+    near = F.lower(F.concat(let(piece(points, left, start - left), before), F.lit(" "), own))
+    return let(near, lambda s: F.exists(words, lambda w: F.contains(s, w)))
 
 
-def boosted(score: Column, near: Column) -> Column:
-    lifted = F.least(F.greatest(score + CONTEXT_BOOST, F.lit(CONTEXT_FLOOR)), F.lit(1.0))
-    return F.round(F.when(near, lifted).otherwise(score), 2)
+def boosted(score: float) -> float:
+    return round(min(max(score + CONTEXT_BOOST, CONTEXT_FLOOR), 1.0), 2)
 
 
 def _certainty(pii_type: Column, value: Column, entities: tuple[Entity, ...]) -> Column:
@@ -191,11 +198,11 @@ def _scored(hit: Column, fact: Column, points: Column, n_chars: Column, entities
         # nothing to look for, or nothing to gain
         looked_up = (F.size(fact["context"]) > 0) & ~F.coalesce(certain, F.lit(False)) & (fact["score"] < 1)
         near = F.when(looked_up, has_context(points, found["start"], found["value"], fact["context"])).otherwise(False)
-        base = F.when(certain, F.lit(1.0)).otherwise(fact["score"])
+        confidence = F.when(certain, F.lit(1.0)).when(near, fact["boosted"]).otherwise(fact["score"])
         end = found["start"] + F.length(found["value"])
         fields = [
             hit["ord"].alias("ord"), fact["pii_type"].alias("pii_type"), found["value"].alias("value"),
-            found["start"].alias("start"), end.alias("end"), boosted(base, near).alias("confidence"),
+            found["start"].alias("start"), end.alias("end"), confidence.alias("confidence"),
             F.lit(DETECTOR).alias("detector"), fact["shape"].alias("shape"),
         ]
         if with_context:

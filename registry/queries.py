@@ -702,22 +702,25 @@ SELECT two.id, two.text, one.n + two.n AS pii_anonymized, two.n AS llm_pii_found
 )
 
 
-def _four_digit_client():
-    """Stands in for a model: reports the first po box of a text, and fails on texts without one."""
-    import json
-    import re
+def _infer(spark, sf):
+    # defined here, so that it travels to the workers by value
+    def make_client():
+        """Stands in for a model: reports the first po box of a text, and fails on texts without one."""
+        import json
+        import re
 
-    def client(text: str) -> str:
-        return json.dumps([{"t": "PO_BOX", "v": re.search(r"PO Box [0-9]+", text).group(0)}])
+        def client(text: str) -> str:
+            return json.dumps([{"t": "PO_BOX", "v": re.search(r"PO Box [0-9]+", text).group(0)}])
 
-    return client
+        return client
+
+    texts = notes(spark, sf).withColumn("text", F.when(F.col("id") % 2 == 0, F.col("text")).otherwise(F.lit("call back")))
+    return second_pass.infer(texts, "text", ["id"], make_client)
 
 
 register(
     "second_pass_infer",
-    lambda spark, sf: second_pass.infer(
-        notes(spark, sf).withColumn("text", F.when(F.col("id") % 2 == 0, F.col("text")).otherwise(F.lit("call back"))),
-        "text", ["id"], _four_digit_client),
+    _infer,
     f"""SELECT id, CASE WHEN id % 2 = 0 THEN '[{{"t": "PO_BOX", "v": "' || regexp_extract(text, 'PO Box [0-9]+') || '"}}]' ELSE '[]' END AS content
 FROM ({N.NOTES})""",
 )

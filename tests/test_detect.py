@@ -64,6 +64,25 @@ def test_context_words_raise_the_score(spark):
     assert ("DATE_OF_BIRTH", "15/03/1985") in found(spark, long_tokens)
 
 
+def test_context_equals_a_plain_restatement(spark):
+    rng = random.Random(11)
+    words = ["born", "xborny", "BORN", "word", "a", "x" * 70, "é😀", "met:"]
+    texts = [(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n", "\t", " \r\n"]) for _ in range(rng.randrange(12)))
+              + rng.choice(["", "("]) + "15/03/1985") for i in range(300)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    rows = {r.id: r for r in detect(df, "text", ["id"], Policy(entities=("DATE_OF_BIRTH",), threshold=0.0)).collect() if r["shape"] == "dob_ddmmyyyy_slash"}
+    for i, t in texts:
+        start = rows[i].start if i in rows else None
+        if start is None:
+            continue
+        prefix = t[:start]
+        attached = bool(prefix) and not prefix[-1].isspace()
+        near = prefix.split()[-(5 + attached):] if prefix.split() else []
+        want = any("born" in w.lower() for w in near)
+        assert rows[i].confidence == (0.65 if want else 0.3), (t, near)
+    assert len(rows) > 250 and len({r.confidence for r in rows.values()}) == 2
+
+
 def test_check_digits(spark):
     f = found(spark, "ABN 51 824 753 556, 98 765 432 109; ACN 004 085 616; medicare 2123 45670 1; 4111 1111 1111 1111; "
                      "4532-1488-0343-6467; nhs 943 476 5919; iban GB82 WEST 1234 5698 7654 32")
