@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import circulant, decision_lists, imatch
+from cloakframe.llm import (
+    byte_bpe, circulant, cotraining, decision_lists, imatch, lang_id, packing, secret_scan, toxicity, warc,
+)
 from cloakframe.llm.common import table
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +23,19 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
+    return cotraining.scored(docs, model).select(
+        F.col("id").alias("doc_id"), "text_score", "metadata_score", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = circulant.near_classes(table(spark, sf_dir, "documents"))
@@ -27,6 +44,58 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_classifier_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, chain).withColumnsRenamed({"id": "doc_id", "is_toxic": "toxic"})
+
+
+def remainder(id_col: str = "doc_id") -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs, F.coalesce(remainder() != 1, F.lit(False)))
+    return lang_id.predicted(docs, model).select(
+        F.col("id").alias("doc_id"), F.coalesce(remainder("id") == 1, F.lit(False)).alias("held_out"),
+        "lang_pred", "score")
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
+                             public_tokenizers.PATTERN, with_ids=False)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def _digest(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def kind(name: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
+
+    base = [r.kind for r in secret_scan.RULES if r.base]
+    return found.select(
+        "doc_id", *map(kind, base),
+        F.sha2(_digest(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        _digest(F.col("spans")).alias("spans"))
+
+
 @query
 def op9_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
