@@ -20,6 +20,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.text import with_computed
 from cloakframe.llm.common import hash_sample, words
 from cloakframe.sources.staging import staged
 
@@ -61,7 +62,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size(F.array_distinct("_h")).cast("long").alias("n_distinct"),
         F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
     )
-    return df.withColumn("stats", stats).drop("_w", "_h", "_g", "_s", "_p", "_lines")
+    return with_computed(df, "stats", stats).drop("_w", "_h", "_g", "_s", "_p", "_lines")
 
 
 def base_failed(stats: str = "stats") -> Column:
