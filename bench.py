@@ -9,14 +9,15 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 HEADLINE = [
-    "anonymize_documents", "detect_all_documents", "anonymize_notes", "detect_all_notes", "mask_dispatch",
-    "replace_pseudonym", "anonymize_columns", "merge_overlaps", "entity_frequency", "audit_log",
-    "apply_second_pass", "detect_person", "stream_anonymize",
+    "rewrite_documents", "detect_all_documents", "rewrite_notes", "detect_all_notes", "mask_dispatch",
+    "replace_pseudonym", "rewrite_columns", "merge_overlaps", "entity_frequency", "audit_log",
+    "apply_second_pass", "detect_person", "stream_rewrite",
 ]
 
 
@@ -29,7 +30,9 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", str(2 * int(cpus) if cpus.isdigit() else 16))
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
+        .config("cloakframe.input.partitions", str(2 * int(cpus) if cpus.isdigit() else 16)).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     from registry.queries import QUERIES

@@ -57,7 +57,7 @@ def _presence_sql(shape: Shape) -> str:
 def _hit_sql(order: int, shape: Shape) -> str:
     """The matches of one shape, or null.  Where a matched value occurs once in the text its place is
     known; only where one occurs again is the text between the matches (``g``) needed to place it."""
-    regex = _raw(shape.flagged())
+    regex = _raw(shape.anchored())
     again = f"exists(m, v -> locate(v, {_TEXT}, instr({_TEXT}, v) + 1) > 0)"
     return (
         f"CASE WHEN {_presence_sql(shape)} THEN get(transform("
@@ -314,16 +314,17 @@ def with_findings(df: DataFrame, text_col: str, policy: Policy | None = None, na
     return with_computed(hits, name, found).select(*df.columns, name)
 
 
-def detect(df: DataFrame, text_col: str, ids: list[str], policy: Policy | None = None) -> DataFrame:
-    """One row per finding: ``ids`` and the findings schema."""
+def detect(df: DataFrame, text_col: str, ids: list[str], policy: Policy | None = None,
+           with_context: bool = True) -> DataFrame:
+    """One row per finding: ``ids`` and the findings schema; for counts and values, leave out the snippets."""
     policy = policy or Policy()
     needed = df.select(*dict.fromkeys([*ids, text_col]))
-    found = F.flatten(found_clusters(policy, with_context=True))
+    found = F.flatten(found_clusters(policy, with_context))
     # explode_outer plus a test on its result: a plain explode would add size(...) > 0 below itself and
     # the optimizer would evaluate all regexes once more for it
     return (
         with_hits(needed, text_col, policy).select(*ids, F.explode_outer(found).alias("_f"))
         .where(F.col("_f").isNotNull())
-        .select(*ids, "_f.pii_type", "_f.value", "_f.start", "_f.end", "_f.confidence", "_f.context",
-                "_f.detector", "_f.shape", "_f.ord")
+        .select(*ids, "_f.pii_type", "_f.value", "_f.start", "_f.end", "_f.confidence",
+                *["_f.context"] * with_context, "_f.detector", "_f.shape", "_f.ord")
     )

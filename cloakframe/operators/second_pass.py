@@ -105,13 +105,28 @@ def response_findings(text: Column, content: Column, policy: Policy, filter_list
         F.transform(F.filter(parsed(content), keep), finding), lambda f: f.isNotNull()))
 
 
+def _by_text(responses: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, _contents): all answers that name something, together for each text, so that a text that was answered
+    twice stays one row."""
+    return responses.where(F.col("content").contains("{")).groupBy(*ids).agg(
+        F.sort_array(F.collect_set("content")).alias("_contents"))
+
+
+def _all_findings(text: Column, contents: Column, policy: Policy, filter_listed: bool = True) -> Column:
+    each = F.transform(contents, lambda c: F.coalesce(response_findings(text, c, policy, filter_listed), F.lit([]).cast(
+        "array<struct<ord:int,pii_type:string,value:string,start:int,end:int,confidence:double,detector:string,"
+        "shape:string>>")))
+    return F.flatten(each)
+
+
 def second_pass_findings(texts: DataFrame, text_col: str, responses: DataFrame, ids: list[str],
                          policy: Policy | None = None, filter_listed: bool = True) -> DataFrame:
     """One row per located finding of the responses (ids, content)."""
     policy = policy or Policy()
-    joined = texts.select(*ids, F.col(text_col).alias("_text")).join(responses.select(*ids, "content"), ids)
+    asked = candidates(texts.select(*ids, F.col(text_col).alias("_text")), "_text")
+    joined = asked.join(_by_text(responses, ids), ids)
     found = joined.select(
-        *ids, "_text", F.explode_outer(response_findings(F.col("_text"), F.col("content"), policy, filter_listed)).alias("_f"))
+        *ids, "_text", F.explode_outer(_all_findings(F.col("_text"), F.col("_contents"), policy, filter_listed)).alias("_f"))
     points = code_points(F.col("_text"))
     left = F.greatest(F.col("_f.start") - 20, F.lit(0))
     around = piece(points, left, F.least(F.col("_f.end") + 20, F.length("_text")) - left)
@@ -124,10 +139,10 @@ def apply_second_pass(texts: DataFrame, text_col: str, responses: DataFrame, ids
                       policy: Policy | None = None) -> DataFrame:
     """``texts`` with the located findings rewritten and ``llm_pii_found`` added; pii_anonymized, where
     present, grows by it.  A text without a response stays as it is."""
-    from cloakframe.plans.anonymize import rewritten
+    from cloakframe.plans.rewrite import rewritten
 
     policy = policy or Policy()
-    joined = texts.join(responses.select(*ids, "content"), ids, "left")
+    joined = texts.join(_by_text(responses, ids), ids, "left")
     text = F.col(text_col)
 
     def kept(found: Column) -> Column:
@@ -135,7 +150,7 @@ def apply_second_pass(texts: DataFrame, text_col: str, responses: DataFrame, ids
 
     empty = F.array().cast("array<struct<ord:int,pii_type:string,value:string,start:int,end:int,confidence:double,"
                            "detector:string,shape:string>>")
-    spans = let(F.coalesce(response_findings(text, F.col("content"), policy), empty), kept)
+    spans = let(F.coalesce(_all_findings(text, F.col("_contents"), policy), empty), kept)
     done = with_computed(joined, "_p", let(spans, lambda k: F.struct(
         rewritten(text, k, policy).alias("text"), F.size(k).alias("n"))))
     out = []
@@ -151,27 +166,29 @@ def apply_second_pass(texts: DataFrame, text_col: str, responses: DataFrame, ids
 
 def infer(texts: DataFrame, text_col: str, ids: list[str], make_client: Callable[[], Callable[[str], str]],
           concurrency: int = 8) -> DataFrame:
-    """Responses (ids, content) of a model for every candidate text.
+    """Responses (ids, content, error) of a model for every candidate text.
 
     ``make_client`` runs once per task and gives a function from text to response.  A call that fails
-    answers ``[]``, so one text never fails its batch; at most tasks x ``concurrency`` calls are open.
+    has no content and says why, so one text never fails its batch and is not taken for a text in which
+    nothing was found; at most tasks x ``concurrency`` calls are open.
     """
     slim = candidates(texts.select(*ids, F.col(text_col).alias("_text")), "_text")
-    schema = texts.select(*ids).schema.add("content", "string")
+    schema = texts.select(*ids).schema.add("content", "string").add("error", "string")
 
     def answer(batches: Iterable) -> Iterable:
         from concurrent.futures import ThreadPoolExecutor
 
         client = make_client()
 
-        def safe(text: str) -> str:
+        def safe(text: str) -> tuple[str | None, str | None]:
             try:
-                return client(text)
-            except Exception:  # the contract: a failed call finds nothing
-                return "[]"
+                return client(text), None
+            except Exception as e:  # the contract: one text never fails its batch
+                return None, f"{type(e).__name__}: {e}"
 
         with ThreadPoolExecutor(concurrency) as pool:
             for pdf in batches:
-                yield pdf[ids].assign(content=list(pool.map(safe, pdf["_text"])))
+                answers = list(pool.map(safe, pdf["_text"]))
+                yield pdf[ids].assign(content=[a[0] for a in answers], error=[a[1] for a in answers])
 
     return slim.mapInPandas(answer, schema)

@@ -30,7 +30,7 @@ def rewritten(text: Column, spans: Column, policy: Policy) -> Column:
     return splice(text, spans, lambda s: make(s["pii_type"], s["value"]))
 
 
-def anonymize(df: DataFrame, text_col: str, policy: Policy | None = None) -> DataFrame:
+def rewrite_text(df: DataFrame, text_col: str, policy: Policy | None = None) -> DataFrame:
     """``df`` with ``text_col`` rewritten and the run columns added: pii_found, pii_anonymized, entries
     (what was rewritten and where, never the value) and status (``skipped`` for a missing or empty
     text, which stays as it is)."""

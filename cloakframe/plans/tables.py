@@ -9,7 +9,7 @@ from cloakframe.functions.text import let
 from cloakframe.operators.detect import found_clusters, with_hits
 from cloakframe.operators.resolve import kept_spans, resolve_table
 from cloakframe.operators.validate import reject_reason
-from cloakframe.plans.anonymize import anonymize, rewritten
+from cloakframe.plans.rewrite import rewrite_text, rewritten
 from cloakframe.policy import Policy
 
 
@@ -22,7 +22,7 @@ def long_form(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     )
 
 
-def anonymize_columns(df: DataFrame, columns: list[str] | None = None, policy: Policy | None = None) -> DataFrame:
+def rewrite_columns(df: DataFrame, columns: list[str] | None = None, policy: Policy | None = None) -> DataFrame:
     """Rewrites each chosen column inside its row (all columns when None); the others stay, and so does
     the order.  Adds pii_found and pii_anonymized over all columns, and status."""
     from cloakframe.sources.tables import checked_columns
@@ -31,7 +31,7 @@ def anonymize_columns(df: DataFrame, columns: list[str] | None = None, policy: P
     columns = checked_columns(df, columns)
     out, found, applied = df, F.lit(0), F.lit(0)
     for i, c in enumerate(columns):
-        out = anonymize(out.withColumn(c, F.col(c).cast("string")), c, policy)
+        out = rewrite_text(out.withColumn(c, F.col(c).cast("string")), c, policy)
         out = out.withColumnsRenamed({"pii_found": f"_found{i}", "pii_anonymized": f"_applied{i}"}).drop("entries", "status")
         found, applied = found + F.col(f"_found{i}"), applied + F.col(f"_applied{i}")
     return out.select(*df.columns, found.alias("pii_found"), applied.alias("pii_anonymized"), F.lit("ok").alias("status"))

@@ -1,196 +1,167 @@
-"""Synthetic call-centre notes with known shapes, one per input row: the same id gives the same note, on
-any number of executors.
+"""Synthetic call-centre notes with known spans: one per input row, the same id giving the same note on any
+number of executors.
 
-Every random choice takes its digits from hashes of the row's id.  The expressions are SQL text that Spark
-and DuckDB read alike.
+A note is a chain of clauses.  Each clause draws one entity type, one way to introduce it and one valid value of
+it; the value's place is part of the output, so what a detector ought to find is known.  All draws come from hashes
+of the row's id, in SQL text that Spark and DuckDB read alike.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-# Digit streams of 32 characters that the choices of a row are cut from.
-STREAMS = 14
-
-FIRST = ("Alice", "Bruno", "Carla", "Derek", "Elena", "Felix", "Greta", "Hugo")
-LAST = ("Abbott", "Barker", "Castle", "Dalton", "Easton", "Foster", "Garner", "Holden")
-STATES = ("NSW", "VIC", "QLD", "SA", "WA", "TAS", "NT", "ACT")
-SUBURBS = ("Parramatta", "Richmond", "Toowong", "Glenelg", "Fremantle", "Sandy Bay", "Palmerston", "Belconnen")
-STREETS = ("Wattle", "Banksia", "Station", "Church", "Park", "Hill", "River", "Mill")
-STREET_TYPES = ("Street", "Road", "Avenue", "Drive", "Lane", "Court", "Place", "Crescent")
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
-          "November", "December")
-DOMAINS = ("mail.test", "post.test", "inbox.test", "letters.test")
-
-# Twenty kinds of notes; a name in braces is a field below.
-TEMPLATES = (
-    "Customer {CUSTOMER} phoned from {phone}, case {case}, account {account}. Also on the line: {other} ({dob}) of {address}. Medicare {medicare}, license {state} {licence}. Write to {email}. {nbn} {avc}. Next call {date}.",
-    "Rang {customer} on {phone} about account {account}. DOB {dob}, address {address} confirmed.",
-    "Mail from {email}: {customer} asks for a change of service. Medicare {medicare}, phone {phone} checked.",
-    "Line fault for {customer}. NBN location {nbn}, circuit {avc}, at {address}. Reach on {phone} / {email}.",
-    "Identity check {CUSTOMER} | DOB: {dob} | Address: {address} | Phone: {phone} | Email: {email} | License: {state} {licence} | Medicare: {medicare} | Account: {account}",
-    "{customer} ({phone}) disputes a bill on account {account}, with us since {date}. Case {case}.",
-    "New line for {customer} | at {address} | {phone} | {email} | seen DL {state} {licence} | visit {date}",
-    "Business line | ABN: {abn} | contact {customer} ({phone}) | {email} | {address} | account {account} | card {card}",
-    "{customer} leaves us. Account {account} closes {date}, last bill to {address}, questions to {phone}.",
-    "No dial tone at {address} since {date}, reported by {customer}. {nbn}. Call back {phone}. Medicare {medicare}.",
-    "Paid by {customer} ({account}) with card {card}. Receipt to {email}.",
-    "{CUSTOMER} (DOB {dob}) moves to {address} | phone {phone} | license {state} {licence}",
-    "Call back {customer} at {phone}, case {case}, else {phone2}. Mail {email}. Home {address}. By {date}.",
-    "Caller says to be {customer} but fails on Medicare {medicare}. Account {account} held. Came from {phone}.",
-    "{customer} | {nbn} | mobile {phone} | account {account} | {address} | DOB: {dob} | {email} | last {date}",
-    "{customer} shows Centrelink CRN {crn}. DOB: {dob}, Medicare: {medicare}. {address}. Phone {phone}.",
-    "Emergency contact of {customer} ({account}) is now {other}, {phone}. Mail {email}.",
-    "Visitor {customer} | passport {passport} | here {phone} | abroad {abroad} | {email} | stays at {address}",
-    "Credit check {CUSTOMER} | DOB: {dob} | License: {state} {licence} | {address} | {phone} | TFN {tfn}",
-    "Modem back from {customer} | account {account} | {address} | {phone} | refund to card {card}",
-)
-
-
-class _Fields:
-    """SQL of the fields, over a column ``id`` and the digit streams ``s0``, ``s1``, ..."""
-
-    def __init__(self):
-        self.cut: dict[tuple[str, int], str] = {}
-        self.at = (0, 1)
-
-    def streams(self) -> dict[str, str]:
-        return {f"s{i}": f"translate(md5(concat(cast(id as string), ':{i}')), 'abcdef', '012345')" for i in range(STREAMS)}
-
-    def digits(self, name: str, k: int) -> str:
-        """``k`` digits of their own; the same name and length gives the same digits again."""
-        if (name, k) not in self.cut:
-            stream, pos = self.at
-            if pos + k > 33:
-                stream, pos = stream + 1, 1
-            assert stream < STREAMS
-            self.cut[name, k] = f"substr(s{stream}, {pos}, {k})"
-            self.at = (stream, pos + k)
-        return self.cut[name, k]
-
-    def n(self, name: str, lo: int, hi: int) -> str:
-        width = len(str(hi - lo)) + 1
-        return f"({lo} + cast({self.digits(name, width)} as int) % {hi - lo + 1})"
-
-    def num(self, name: str, lo: int, hi: int) -> str:
-        return f"cast({self.n(name, lo, hi)} as string)"
-
-    def one_of(self, name: str, options) -> str:
+CLAUSES = 5
+_DIGITS = 31
+
+
+def _with_check(stem: str, check: Callable[[list[int]], int | None]) -> str | None:
+    d = check([int(c) for c in stem])
+    return None if d is None else f"{stem}{d}"
+
+
+def _luhn(d: list[int]) -> int:
+    doubled = [x if i % 2 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d))]
+    return -sum(doubled) % 10
+
+
+def _weighted(weights: tuple[int, ...], modulus: int) -> Callable[[list[int]], int | None]:
+    def check(d: list[int]) -> int | None:
+        r = sum(w * x for w, x in zip(weights, d)) % modulus
+        return r if r < 10 else None
+
+    return check
+
+
+def _grown(stems: list[str], make: Callable[[str], str | None], n: int = 8) -> list[str]:
+    return [v for v in map(make, stems) if v][:n]
+
+
+def _stems(length: int, lead: str = "") -> list[str]:
+    """Digit strings of one length from a fixed linear rule."""
+    out, x = [], 20_240_229 + length
+    for _ in range(24):
+        s = ""
+        while len(s) < length - len(lead):
+            x = (x * 1_103_515_245 + 12_345) % (1 << 31)
+            s += str(x % 1_000_000).zfill(6)
+        out.append(lead + s[:length - len(lead)])
+    return out
+
+
+def _groups(value: str, *sizes: int, by: str = " ") -> str:
+    parts, at = [], 0
+    for n in sizes:
+        parts.append(value[at:at + n])
+        at += n
+    return by.join([*parts, value[at:]] if at < len(value) else parts)
+
+
+class _Draw:
+    """SQL of the draws of one clause from its digit stream."""
+
+    def __init__(self, stream: str) -> None:
+        self.stream, self.at = stream, 1
+
+    def digits(self, n: int) -> str:
+        if self.at + n > _DIGITS:
+            self.at = 3
+        out = f"substr({self.stream}, {self.at}, {n})"
+        self.at += n
+        return out
+
+    def below(self, n: int) -> str:
+        return f"(cast({self.digits(4)} as int) % {n})"
+
+    def one(self, options: list[str]) -> str:
         cases = " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(options))
-        return f"CASE {self.n(name, 0, len(options) - 1)} {cases} END"
-
-    def word(self, name: str, words) -> str:
-        return self.one_of(name, [f"'{w}'" for w in words])
-
-    def first_level(self) -> dict[str, str]:
-        return {
-            "first": self.word("first", FIRST), "last": self.word("last", LAST), "first2": self.word("first2", FIRST),
-            "last2": self.word("last2", LAST), "state": self.word("state", STATES), "suburb": self.word("suburb", SUBURBS),
-            "street": f"concat({self.word('street', STREETS)}, ' ', {self.word('street_type', STREET_TYPES)})",
-            "day": self.num("day", 10, 28), "month": self.n("month", 1, 12), "year": self.num("year", 2019, 2024),
-            "bday": self.num("bday", 10, 28), "bmonth": self.n("bmonth", 1, 12), "byear": self.num("byear", 1940, 2004),
-            "template": self.n("template", 0, len(TEMPLATES) - 1),
-        }
-
-    def phone(self, name: str) -> str:
-        d = lambda part, k: self.digits(name + part, k)
-        area = self.num(name + "a", 2, 9)
-        return self.one_of(name, [
-            f"concat('04', {d('m', 8)})",
-            f"concat('04', {d('x', 2)}, ' ', {d('y', 3)}, ' ', {d('z', 3)})",
-            f"concat('04', {d('x', 2)}, '-', {d('y', 3)}, '-', {d('z', 3)})",
-            f"concat('+614', {d('m', 8)})",
-            f"concat('+61 4', {d('x', 2)}, ' ', {d('y', 3)}, ' ', {d('z', 3)})",
-            f"concat('0', {area}, ' ', {d('p', 4)}, ' ', {d('q', 4)})",
-            f"concat('(0', {area}, ') ', {d('p', 4)}, ' ', {d('q', 4)})",
-        ])
-
-    def _months(self, column: str, short: bool = False) -> str:
-        return f"CASE {column} " + " ".join(f"WHEN {i} THEN '{m[:3] if short else m}'" for i, m in enumerate(MONTHS, 1)) + " END"
-
-    def second_level(self) -> dict[str, str]:
-        mm, bm = "lpad(cast(month as string), 2, '0')", "lpad(cast(bmonth as string), 2, '0')"
-        med = self.digits("medicare", 9)
-        lead = self.num("medicare_first", 2, 6)
-        m10 = f"concat({lead}, {med})"
-        slash = f"concat(bday, '/', {bm}, '/', byear)"
-        written = f"concat(bday, ' ', {self._months('bmonth')}, ' ', byear)"
-        unit, house = self.num("unit", 1, 50), self.num("house", 1, 500)
-        tail = "concat(suburb, ' ', state, ' ', " + self.num("postcode", 2000, 7999) + ")"
-        at = f"concat('@', {self.word('domain', DOMAINS)})"
-        lf, ll = "lower(first)", "lower(last)"
-        t9, a11 = self.digits("tfn", 9), self.digits("abn", 11)
-        return {
-            "customer": "concat(first, ' ', last)", "CUSTOMER": "concat(upper(first), ' ', upper(last))",
-            "other": "concat(first2, ' ', last2)", "state": "state",
-            "phone": self.phone("phone"), "phone2": self.phone("phone_two"),
-            "medicare": self.one_of("medicare_form", [
-                m10, f"concat(substr({m10}, 1, 4), ' ', substr({m10}, 5, 5), ' ', substr({m10}, 10, 1))",
-                f"concat(substr({m10}, 1, 4), '-', substr({m10}, 5, 5), '-', substr({m10}, 10, 1))"]),
-            "licence": "CASE state " + " ".join(f"WHEN '{s}' THEN {f}" for s, f in {
-                "VIC": self.digits("lic", 9), "NSW": f"concat('AB', {self.digits('lic', 6)})", "QLD": self.digits("lic", 8),
-                "SA": f"concat('S', {self.digits('lic', 5)})", "WA": self.digits("lic", 7), "TAS": self.digits("lic", 6),
-                "NT": f"concat('N', {self.digits('lic', 6)})", "ACT": f"concat('1', {self.digits('lic', 6)})"}.items()) + " END",
-            "date": self.one_of("date_form", [
-                f"concat(day, '/', {mm}, '/', year)", f"concat(day, '-', {mm}, '-', year)", f"concat(year, '-', {mm}, '-', day)",
-                f"concat({self._months('month')}, ' ', day, ', ', year)", f"concat(day, ' ', {self._months('month')}, ' ', year)",
-                f"concat(day, ' ', {self._months('month', True)}, ' ', year)"]),
-            "dob": self.one_of("dob_form", [
-                slash, f"concat(bday, '-', {bm}, '-', byear)", written, f"concat(bday, '/', {bm}, '/', substr(byear, 3, 2))",
-                f"concat('DOB: ', {slash})", f"concat('Date of Birth: ', {written})", f"concat('Born: ', {slash})"]),
-            "address": self.one_of("address_form", [
-                f"concat({house}, ' ', street, ', ', {tail})", f"concat({house}, ' ', street, ' ', {tail})",
-                f"concat('Unit ', {unit}, '/', {house}, ' ', street, ', ', {tail})",
-                f"concat({house}, '/', {unit}, ' ', street, ', ', suburb, ' ', state)", f"concat('Lot ', {unit}, ', ', {house}, ' ', street, ', ', {tail})"]),
-            "email": self.one_of("email_form", [
-                f"concat({lf}, '.', {ll}, {at})", f"concat({lf}, {ll}, {at})", f"concat(substr({lf}, 1, 1), {ll}, {at})",
-                f"concat({lf}, '_', {ll}, {at})", f"concat({ll}, '.', {lf}, {at})", f"concat({lf}, {self.num('email_n', 1, 99)}, {at})"]),
-            "account": self.one_of("account_form", [
-                f"concat('1', {self.digits('acc', 8)})", f"concat('ACC', {self.digits('acc', 8)})",
-                f"concat({self.digits('acc_a', 4)}, '-', {self.digits('acc_b', 4)}, '-', {self.digits('acc_c', 4)})", f"concat('CUS', {self.digits('acc', 6)})"]),
-            "case": self.one_of("case_form", [self.num("case", 1000000, 9999999), f"concat('#', {self.digits('case', 5)})"]),
-            "nbn": f"concat('LOC', {self.digits('loc', 12)})", "avc": f"concat('AVC', {self.digits('avc', 12)})",
-            "tfn": self.one_of("tfn_form", [t9, f"concat(substr({t9}, 1, 3), ' ', substr({t9}, 4, 3), ' ', substr({t9}, 7, 3))"]),
-            "abn": self.one_of("abn_form", [a11, f"concat(substr({a11}, 1, 2), ' ', substr({a11}, 3, 3), ' ', substr({a11}, 6, 3), ' ', substr({a11}, 9, 3))"]),
-            "card": self.one_of("card_form", [
-                f"concat('**** **** **** ', {self.digits('card', 4)})", f"concat('ending ', {self.digits('card', 4)})",
-                f"concat('4', {self.digits('card_a', 3)}, ' ', {self.digits('card_b', 4)}, ' ', {self.digits('card_c', 4)}, ' ', {self.digits('card', 4)})"]),
-            "crn": f"concat({self.digits('crn', 9)}, 'K')", "passport": f"concat('PA', {self.digits('passport', 7)})",
-            "abroad": f"concat('+', {self.num('country', 10, 99)}, ' ', {self.digits('abroad_a', 3)}, ' ', {self.digits('abroad_b', 7)})",
-        }
-
-    def comment(self) -> str:
-        cases = []
-        for i, template in enumerate(TEMPLATES):
-            parts = [p for p in re.split(r"(\{\w+\})", template) if p]
-            args = ", ".join(f"f_{p[1:-1]}" if p.startswith("{") else f"'{p}'" for p in parts)
-            cases.append(f"WHEN {i} THEN concat({args})")
-        return "CASE template " + " ".join(cases) + " END"
-
-    def case_number(self) -> str:
-        return self.num("case_number", 1000000, 9999999)
-
-    def created(self) -> str:
-        return "concat(year, '-', lpad(cast(month as string), 2, '0'), '-', day)"
-
-
-# the upper-case field must not share a column name with the lower-case one
-def _column(field: str) -> str:
-    return "f_CUSTOMER_caps" if field == "CUSTOMER" else f"f_{field}"
+        return options[0] if len(options) == 1 else f"CASE {self.below(len(options))} {cases} END"
+
+    def listed(self, values: list[str]) -> str:
+        return self.one([_quoted(v) for v in values])
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _cat(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
+
+
+def _two(number: str) -> str:
+    return f"lpad(cast({number} as string), 2, '0')"
+
+
+_TOWNS = ["Ballarat VIC 3350", "Dubbo NSW 2830", "Cairns QLD 4870", "Whyalla SA 5600", "Albany WA 6330"]
+_ROADS = ["Quarry Road", "Lantern Street", "Heron Lane", "Orchard Avenue", "Signal Drive"]
+
+
+def _entities() -> list[tuple[str, list[str], Callable[[_Draw], str]]]:
+    """(entity type, introductions, maker of a valid value)."""
+    tfn = _grown(_stems(8), lambda s: _with_check(s, _weighted((1, 4, 3, 7, 5, 8, 6, 9), 11)))
+    care = _grown(_stems(8, "4"), lambda s: (v := _with_check(s, _weighted((1, 3, 7, 9, 1, 3, 7, 9), 10))) and v + "2")
+    cards = _grown(_stems(15, "47"), lambda s: _with_check(s, _luhn)) + _grown(
+        _stems(15, "2345"), lambda s: _with_check(s, _luhn))
+    imei = _grown(_stems(14, "35"), lambda s: _with_check(s, _luhn))
+    return [
+        ("AU_PHONE_NUMBER", ["rings back from", "left the number", "prefers a text to"], lambda d: d.one([
+            _cat("'04'", d.digits(2), "' '", d.digits(3), "' '", d.digits(3)), _cat("'04'", d.digits(8)),
+            _cat("'(07) '", d.digits(4), "' '", d.digits(4))])),
+        ("EMAIL_ADDRESS", ["writes as", "copies in", "wants it sent to"], lambda d: _cat(
+            d.listed(["quill", "marsh.lark", "o-reed", "tansy_fen"]), d.digits(3), "'@'",
+            d.listed(["parcel.test", "harbour.test", "kiln.test"]))),
+        ("DATE_OF_BIRTH", ["gives a birthday, DOB:", "date of birth:"], lambda d: _cat(
+            _two(f"1 + {d.below(28)}"), "'/'", _two(f"1 + {d.below(12)}"), "'/'", f"cast(1950 + {d.below(50)} as string)")),
+        ("AU_ADDRESS", ["now lives at", "moved out of"], lambda d: _cat(
+            f"cast(1 + {d.below(300)} as string)", "' '", d.listed(_ROADS), "', '", d.listed(_TOWNS))),
+        ("AU_TFN", ["reads out the TFN", "tax file number"], lambda d: d.listed([_groups(v, 3, 3, 3) for v in tfn])),
+        ("AU_MEDICARE", ["shows Medicare", "medicare card"], lambda d: d.listed([_groups(v, 4, 5, 1) for v in care])),
+        ("CREDIT_CARD", ["pays by credit card", "card on file"], lambda d: d.listed(
+            [_groups(v, 4, 4, 4, 4) for v in cards[:8]] + cards[8:])),
+        ("IMEI", ["reads from the box IMEI:", "handset IMEI:"], lambda d: d.listed(imei)),
+        ("AU_NBN_LOC_ID", ["premises is", "connection point"], lambda d: _cat("'LOC'", d.digits(12))),
+        ("AU_NBN_SERVICE_ID", ["circuit shows", "service is"], lambda d: _cat("'AVC'", d.digits(12))),
+        ("AU_CENTRELINK_CRN", ["holds a pension, CRN", "concession under CRN"], lambda d: _cat(
+            d.digits(9), d.listed(["A", "H", "T"]))),
+        ("AU_PO_BOX", ["collects mail at", "return it to"], lambda d: _cat("'PO Box '", d.digits(3))),
+        ("IP_ADDRESS", ["modem answers on", "logged in from ip"], lambda d: _cat(
+            "'10.'", f"cast({d.below(250)} as string)", "'.'", f"cast({d.below(250)} as string)", "'.7'")),
+    ]
+
+
+_JOINS = ["; ", ". ", ", then "]
 
 
 def _levels() -> list[list[str]]:
-    """The select lists from the innermost to the outermost."""
-    f = _Fields()
-    streams = [f"{v} AS {k}" for k, v in f.streams().items()]
-    first = [f"{v} AS {k}" for k, v in f.first_level().items()]
-    second = [f"{v} AS {_column(k)}" for k, v in f.second_level().items()]
-    last = [f"{f.case_number()} AS CaseNumber", f"{f.created()} AS CreatedDate",
-            f"{f.comment().replace('f_CUSTOMER', 'f_CUSTOMER_caps')} AS CommentBody"]
-    kept = [f"s{i}" for i in range(STREAMS)]
-    return [["id", *streams], [*kept, *first], [*kept, "template", "year", "month", "day", *second], last]
+    """Select lists from the innermost to the outermost."""
+    streams = [f"translate(md5(concat('note ', cast(id as string), ' clause {i}')), 'abcdef', '314159') AS d{i}"
+               for i in range(CLAUSES + 1)]
+    kinds = _entities()
+    kept = [f"d{i}" for i in range(CLAUSES + 1)]
+    # clauses of a note draw from types a fixed stride apart, so that none comes twice
+    pick = ["id", *kept, *(f"(cast(substr(d0, 1, 4) as int) + {i * 3}) % {len(kinds)} AS k{i}" for i in range(CLAUSES))]
+    out = []
+    for i in range(CLAUSES):
+        leads, values, types = [], [], []
+        for name, intros, make in kinds:
+            draw = _Draw(f"d{i + 1}")
+            leads.append(draw.listed(intros))
+            values.append(make(draw))
+            types.append(_quoted(name))
+        for column, options in (("lead", leads), ("value", values), ("type", types)):
+            cases = " ".join(f"WHEN {j} THEN {o}" for j, o in enumerate(options))
+            out.append(f"CASE k{i} {cases} END AS {column}{i}")
+    out += ["d0", "id"]
+    pieces = ["'Note '", "substr(d0, 5, 3)", "': '"]
+    for i in range(CLAUSES):
+        join = "'.'" if i == CLAUSES - 1 else _quoted(_JOINS[i % len(_JOINS)])
+        pieces += [f"lead{i}", "' '", f"value{i}", join]
+    day = f"concat(cast(2021 + cast(substr(d0, 8, 2) as int) % 4 as string), '-', {_two('1 + cast(substr(d0, 10, 2) as int) % 12')}, '-', {_two('1 + cast(substr(d0, 12, 2) as int) % 28')})"
+    last = [f"concat(cast(1 + cast(substr(d0, 14, 1) as int) % 9 as string), substr(d0, 15, 6)) AS CaseNumber",
+            f"{day} AS CreatedDate", f"{_cat(*pieces)} AS CommentBody"]
+    return [["id", *streams], pick, out, last]
 
 
 def synth_crm_notes(ids: DataFrame, id_col: str) -> DataFrame:
@@ -201,6 +172,16 @@ def synth_crm_notes(ids: DataFrame, id_col: str) -> DataFrame:
     return out
 
 
+def known_values(ids: DataFrame, id_col: str) -> DataFrame:
+    """(id, CommentBody, pii_type, value): what each note holds, five rows for each of ``ids``."""
+    *inner, last = _levels()
+    out = ids.selectExpr(f"{id_col} AS id")
+    for level in inner:
+        out = out.selectExpr(*level)
+    held = ", ".join(f"struct(type{i} AS pii_type, value{i} AS value)" for i in range(CLAUSES))
+    return out.selectExpr("id", last[-1], f"inline(array({held}))")
+
+
 def synth_sql(source: str, id_col: str) -> str:
     """The DuckDB statement of ``synth_crm_notes``."""
     out = f"(SELECT {id_col} AS id FROM {source})"

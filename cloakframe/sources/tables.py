@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """A parquet table, only the named columns.  A table with fewer splits than the cluster has cores is
-    spread, because the work per byte of text is high; a large one is read as it lies."""
+    """A parquet table as it lies, only the named columns.
+
+    The work per byte of text is high, so a table needs many splits: write it with small row groups or files.  Where
+    that can't be had, as with the small one-file tables of the tests, the session setting
+    ``cloakframe.input.partitions`` asks for a shuffle of every input into so many partitions; it is off by default.
+    """
     df = spark.read.parquet(path)
     df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+    spread = spark.conf.get("cloakframe.input.partitions", None)
+    return df.repartition(int(spread)) if spread else df
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV; every cell is a string, quoted cells may hold line breaks."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"',
+def scan_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """Header CSV; every cell is a string.  Quoted cells may hold line breaks, unless ``line_breaks`` is off: a file
+    is then split over tasks, else it is one task's work."""
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks, quote='"', escape='"',
                           ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=False)
 
 

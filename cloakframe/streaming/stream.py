@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cloakframe.operators.detect import detect
 from cloakframe.operators.pseudonyms import pseudonym_map
-from cloakframe.plans.anonymize import anonymize
+from cloakframe.plans.rewrite import rewrite_text
 from cloakframe.policy import Policy, Replace
 
 
@@ -21,19 +21,17 @@ def read_stream(spark: SparkSession, folder: str, glob: str, files_per_batch: in
     )
 
 
-def stream_anonymize(stream: DataFrame, text_col: str, target: str, checkpoint: str,
+def stream_rewrite(stream: DataFrame, text_col: str, target: str, checkpoint: str,
                      policy: Policy | None = None) -> StreamingQuery:
     """Stateless: every batch is rewritten row by row and appended to ``target``."""
     return (
-        anonymize(stream, text_col, policy).writeStream.format("parquet").option("path", target)
+        rewrite_text(stream, text_col, policy).writeStream.format("parquet").option("path", target)
         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     )
 
 
-def entity_counts(stream: DataFrame, text_col: str, ts_col: str, policy: Policy | None = None,
-                  window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
-    """Findings per type and event-time window; the state holds one counter per open window and type."""
-    found = detect(stream.withWatermark(ts_col, lateness), text_col, [ts_col], policy)
+def entity_counts(found: DataFrame, ts_col: str, window: str = "1 hour") -> DataFrame:
+    """Findings per type and event-time window."""
     return (
         found.groupBy(F.window(ts_col, window).alias("_w"), "pii_type").agg(F.count("*").alias("n"))
         .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "pii_type", "n")
@@ -41,14 +39,27 @@ def entity_counts(stream: DataFrame, text_col: str, ts_col: str, policy: Policy
 
 
 def stream_counts(stream: DataFrame, text_col: str, ts_col: str, target: str, checkpoint: str,
-                  policy: Policy | None = None) -> StreamingQuery:
-    """Appends each window to ``target`` once the watermark has passed it."""
+                  policy: Policy | None = None, window: str = "1 hour") -> StreamingQuery:
+    """The counts of every batch, one folder per batch; ``read_counts`` adds them up.
+
+    Nothing is ever late: a row counts in its window whenever it comes, and no state is kept.  A batch that is
+    repeated overwrites its own folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = entity_counts(detect(batch, text_col, [ts_col], policy, with_context=False), ts_col, window)
+        counts.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
     return (
-        entity_counts(stream, text_col, ts_col, policy).writeStream.format("parquet").option("path", target)
-        .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
+def read_counts(spark: SparkSession, target: str) -> DataFrame:
+    """(window_start, window_end, pii_type, n) over all batches so far."""
+    return spark.read.parquet(target).groupBy("window_start", "window_end", "pii_type").agg(F.sum("n").alias("n"))
+
+
 def stream_pseudonyms(stream: DataFrame, text_col: str, target: str, checkpoint: str, policy: Policy | None = None,
                       options: Replace = Replace()) -> StreamingQuery:
     """The pseudonym table of every batch, one folder per batch.
@@ -58,7 +69,7 @@ def stream_pseudonyms(stream: DataFrame, text_col: str, target: str, checkpoint:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mapping = pseudonym_map(detect(batch, text_col, [], policy), options)
+        mapping = pseudonym_map(detect(batch, text_col, [], policy, with_context=False), options)
         mapping.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import strategies as st
+from cloakframe.functions.arrays import running_sums
 from cloakframe.functions.text import normalize_titled_caps
 from cloakframe.operators import agreement, lookup, person, pseudonyms, report, resolve, second_pass, validate
 from cloakframe.operators.detect import (
     detect, drop_contained, is_false_positive, person_type, raw_findings, with_findings, with_hits,
 )
-from cloakframe.plans.anonymize import anonymize
-from cloakframe.plans.tables import anonymize_columns, long_form, resolved_findings, rewrite_with
+from cloakframe.plans.rewrite import rewrite_text
+from cloakframe.plans.tables import rewrite_columns, long_form, resolved_findings, rewrite_with
 from cloakframe.policy import FALSE_POSITIVE_WORDS, SKIPPED_TYPES, Policy, Redact, Replace
 from cloakframe.sources.crm_notes import synth_crm_notes, synth_sql
 from cloakframe.sources.staging import shared_folder, staged
@@ -204,16 +205,20 @@ def model_findings(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(o).alias("ord"), F.lit(t).alias("pii_type"), F.lit(v).alias("value"), F.lit(c).alias("confidence"))
         for o, t, v, c in MODEL_TERMS])
     found = notes(spark, sf).select("id", "text", F.explode(terms).alias("t")).select("id", "text", "t.*")
-    start = F.instr("text", F.col("value")) - 1
-    return found.withColumn("start", start).where(F.col("start") >= 0).select(
+    pieces = F.split("text", F.concat(F.lit("\\Q"), F.col("value"), F.lit("\\E")), -1)
+    # the end of each piece but the last is where the value stands
+    ends = running_sums(F.transform(pieces, lambda p, i: F.length(p) + F.when(i > 0, F.length("value")).otherwise(0)))
+    places = F.slice(ends, F.lit(1), F.size(ends) - 1)
+    return found.withColumn("start", F.explode(places)).withColumn("start", F.col("start").cast("int")).select(
         "id", "text", "pii_type", "value", "start", (F.col("start") + F.length("value")).alias("end"), "confidence",
         F.lit("model").alias("detector"), "ord")
 
 
 _MODEL_CTE = f"""src AS ({N.NOTES}),
 terms(ord, pii_type, value, confidence) AS (VALUES {", ".join(f"({o}, '{t}', {S.q(v)}, {c}::DOUBLE)" for o, t, v, c in MODEL_TERMS)}),
-model AS (SELECT id, text, pii_type, value, CAST(instr(text, value) - 1 AS INT) AS s, CAST(instr(text, value) - 1 + length(value) AS INT) AS e,
-  confidence, ord FROM src, terms WHERE instr(text, value) > 0)"""
+placed AS (SELECT id, text, pii_type, value, confidence, ord, unnest(range(length(text))) AS p FROM src, terms WHERE instr(text, value) > 0),
+model AS (SELECT id, text, pii_type, value, CAST(p AS INT) AS s, CAST(p + length(value) AS INT) AS e, confidence, ord FROM placed
+  WHERE substr(text, p + 1, length(value)) = value)"""
 _M = ["id", "pii_type", "value", "start AS start_pos", "`end` AS end_pos", "confidence"]
 _M_SQL = "id, pii_type, value, s AS start_pos, e AS end_pos, confidence"
 
@@ -373,14 +378,14 @@ register(
 )
 register(
     "distinct_values",
-    lambda spark, sf: pseudonyms.distinct_values(detect(notes(spark, sf), "text", ["id"], _MIX)),
+    lambda spark, sf: pseudonyms.distinct_values(detect(notes(spark, sf), "text", ["id"], _MIX, with_context=False)),
     f"WITH {S.found_ctes(N.NOTES, _MIX)} SELECT DISTINCT pii_type, value FROM found",
 )
 _MAPPED = Policy(entities=("EMAIL_ADDRESS", "AU_PO_BOX", "PERSON"))
 
 
 def _mapped(spark, sf):
-    found = staged(detect(notes(spark, sf), "text", ["id"], _MAPPED), "findings")
+    found = staged(detect(notes(spark, sf), "text", ["id"], _MAPPED, with_context=False), "findings")
     mapping = pseudonyms.pseudonym_map(found).where(F.col("pii_type") != "AU_PO_BOX")
     return pseudonyms.with_pseudonyms(found, mapping).select("id", "pii_type", F.col("start").alias("start_pos"), "value", "replacement")
 
@@ -395,7 +400,7 @@ def _rewrite(name: str, source: str, policy: Policy, replacement: str, text_out:
     load, src = SOURCES[source]
     register(
         name,
-        lambda spark, sf: anonymize(load(spark, sf), "text", policy).select(
+        lambda spark, sf: rewrite_text(load(spark, sf), "text", policy).select(
             "id", F.col("text").alias(text_out), F.col("pii_anonymized").cast("long").alias("n_applied")),
         f"WITH {S.kept_ctes(src, policy)},\n{S.spliced_ctes(replacement)}\nSELECT id, text AS {text_out}, n AS n_applied FROM spliced",
     )
@@ -411,8 +416,8 @@ _rewrite("hash_sha256", "notes", Policy(entities=_SOME, strategy="hash"), S.hash
 _rewrite("replace_pseudonym", "notes", Policy(entities=_STRUCTURED, strategy="replace"), S.pseudonym("pii_type", "value"))
 _rewrite("replace_fallback", "notes", Policy(entities=_SOME, strategy="replace", replace_with=Replace(available=False)),
          "('[' || pii_type || '_FAKE]')")
-_rewrite("anonymize_documents", "documents", Policy(), S.REDACT)
-_rewrite("anonymize_notes", "notes", Policy(), S.REDACT)
+_rewrite("rewrite_documents", "documents", Policy(), S.REDACT)
+_rewrite("rewrite_notes", "notes", Policy(), S.REDACT)
 
 
 def _masked(name: str, fn, sql_fn, expr: str) -> None:
@@ -481,8 +486,8 @@ def _two_columns(spark, sf):
 
 _MAILS = f"SELECT o_orderkey AS id, {_MAIL_TEXT} AS text FROM orders"
 register(
-    "anonymize_columns",
-    lambda spark, sf: anonymize_columns(_two_columns(spark, sf), ["note", "mail"], _TWO_POLICY)
+    "rewrite_columns",
+    lambda spark, sf: rewrite_columns(_two_columns(spark, sf), ["note", "mail"], _TWO_POLICY)
     .select("id", "priority", "note", "mail", F.col("pii_anonymized").cast("long").alias("n_applied")),
     f"""SELECT a.id, o.o_orderpriority AS priority, a.text AS note, b.text AS mail, a.n + b.n AS n_applied FROM
 (WITH {S.kept_ctes(N.NOTES, _TWO_POLICY)},{S.spliced_ctes(S.REDACT)} SELECT * FROM spliced) a
@@ -539,7 +544,7 @@ _DOC_POLICY = Policy(entities=("EMAIL_ADDRESS", "IP_ADDRESS", "CREDIT_CARD", "PH
 
 
 def _done(spark, sf, policy=_DOC_POLICY):
-    return anonymize(notes(spark, sf), "text", policy)
+    return rewrite_text(notes(spark, sf), "text", policy)
 
 
 _DONE_CTE = f"{S.kept_ctes(N.NOTES, _DOC_POLICY)}"
@@ -563,7 +568,7 @@ register(
 )
 register(
     "entity_frequency",
-    lambda spark, sf: report.entity_frequency(detect(notes(spark, sf), "text", ["id"])),
+    lambda spark, sf: report.entity_frequency(detect(notes(spark, sf), "text", ["id"], with_context=False)),
     f"WITH {S.found_ctes(N.NOTES, Policy())} SELECT pii_type, count(*) AS n FROM found GROUP BY pii_type",
 )
 register(
@@ -590,7 +595,7 @@ register(
 _CHAT_POLICY = Policy(entities=("EMAIL_ADDRESS", "PHONE_NUMBER", "AU_DRIVER_LICENSE", "AU_ADDRESS"))
 register(
     "conversation_counts",
-    lambda spark, sf: report.count_found_per_doc(anonymize(
+    lambda spark, sf: report.count_found_per_doc(rewrite_text(
         read_table(spark, f"{sf}/conversations.parquet", "conv_id", "text"), "text", _CHAT_POLICY), ["conv_id"]),
     f"""WITH {S.kept_ctes("SELECT conv_id * 1000000 + turn AS id, text FROM conversations", _CHAT_POLICY)}
 SELECT conv_id, coalesce(sum(a.n), 0) AS pii_found, coalesce(sum(b.n), 0) AS pii_anonymized, 0::BIGINT AS llm_pii_found FROM conversations c
@@ -644,16 +649,14 @@ _FIRST = Policy(entities=("EMAIL_ADDRESS", "AU_NBN_LOC_ID"))
 
 
 def _first_pass(spark, sf):
-    return anonymize(notes(spark, sf), "text", _FIRST)
+    return rewrite_text(notes(spark, sf), "text", _FIRST)
 
 
 _FIRST_CTE = f"{S.kept_ctes(N.NOTES, _FIRST)},\n{S.spliced_ctes(S.REDACT)}"
 register(
     "second_pass_candidates",
-    # every third text is nothing but markers or blank
-    lambda spark, sf: second_pass.candidates(_first_pass(spark, sf).withColumn("text", F.when(
-        F.col("id") % 3 == 0, F.lit("[EMAIL_ADDRESS_REDACTED]\n [A]")).when(F.col("id") % 3 == 1, F.lit("  ")).otherwise(F.col("text"))), "text").select("id", "text"),
-    f"WITH {_FIRST_CTE} SELECT id, text FROM spliced WHERE id % 3 = 2 AND NOT regexp_matches(text, '\\A[\\s\\[\\]A-Z_]*\\z')",
+    lambda spark, sf: second_pass.candidates(_first_pass(spark, sf), "text").select("id", "text"),
+    f"WITH {_FIRST_CTE} SELECT id, text FROM spliced WHERE NOT regexp_matches(text, '\\A[\\s\\[\\]A-Z_]*\\z')",
 )
 register(
     "parse_llm_response",
@@ -705,24 +708,24 @@ SELECT two.id, two.text, one.n + two.n AS pii_anonymized, two.n AS llm_pii_found
 def _infer(spark, sf):
     # defined here, so that it travels to the workers by value
     def make_client():
-        """Stands in for a model: reports the first po box of a text, and fails on texts without one."""
+        """Stands in for a model: reports a text's first odd box, and fails on texts without one."""
         import json
         import re
 
         def client(text: str) -> str:
-            return json.dumps([{"t": "PO_BOX", "v": re.search(r"PO Box [0-9]+", text).group(0)}])
+            return json.dumps([{"t": "PO_BOX", "v": re.search(r"PO Box [0-9]*[13579]\b", text).group(0)}])
 
         return client
 
-    texts = notes(spark, sf).withColumn("text", F.when(F.col("id") % 2 == 0, F.col("text")).otherwise(F.lit("call back")))
-    return second_pass.infer(texts, "text", ["id"], make_client)
+    return second_pass.infer(notes(spark, sf), "text", ["id"], make_client).select(
+        "id", "content", F.col("error").isNotNull().alias("failed"))
 
 
 register(
     "second_pass_infer",
     _infer,
-    f"""SELECT id, CASE WHEN id % 2 = 0 THEN '[{{"t": "PO_BOX", "v": "' || regexp_extract(text, 'PO Box [0-9]+') || '"}}]' ELSE '[]' END AS content
-FROM ({N.NOTES})""",
+    f"""SELECT id, CASE WHEN v <> '' THEN '[{{"t": "PO_BOX", "v": "' || v || '"}}]' END AS content, v = '' AS failed
+FROM (SELECT id, regexp_extract(text, 'PO Box [0-9]*[13579]\\b') AS v FROM ({N.NOTES}))""",
 )
 
 # ---- 2.1 sources, 2.2 sinks, 2.12 streams: written and read back -------------------------------
@@ -737,7 +740,7 @@ def _csv_round_trip(spark, sf):
         F.concat(F.lit('says "call 0412 345 678",\nmail cust'), F.col("c_custkey").cast("string"), F.lit("@corp.test")).alias("notes"))
     sink_csv(customers, customers.columns, f"{folder}/in")
     rows = require_rows(scan_csv(spark, f"{folder}/in"))
-    done = anonymize_columns(rows, checked_columns(rows, ["notes"]), Policy(entities=("EMAIL_ADDRESS", "AU_PHONE_NUMBER")))
+    done = rewrite_columns(rows, checked_columns(rows, ["notes"]), Policy(entities=("EMAIL_ADDRESS", "AU_PHONE_NUMBER")))
     sink_csv(done, rows.columns, f"{folder}/out")
     return scan_csv(spark, f"{folder}/out")
 
@@ -753,15 +756,15 @@ register(
 
 
 def _streamed(spark, sf):
-    from cloakframe.streaming.stream import read_stream, stream_anonymize
+    from cloakframe.streaming.stream import read_stream, stream_rewrite
 
-    folder = shared_folder(spark, "stream-anonymize")
+    folder = shared_folder(spark, "stream_rewrite")
     stream = read_stream(spark, sf, "documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    stream_anonymize(stream, "text", f"{folder}/out", f"{folder}/checkpoint", _DOC_POLICY).awaitTermination()
+    stream_rewrite(stream, "text", f"{folder}/out", f"{folder}/checkpoint", _DOC_POLICY).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("id", "text", F.col("pii_anonymized").cast("long").alias("n_applied"))
 
 
-register("stream_anonymize", _streamed,
+register("stream_rewrite", _streamed,
          f"WITH {S.kept_ctes(N.DOCUMENTS, _DOC_POLICY)},\n{S.spliced_ctes(S.REDACT)}\nSELECT id, text, n AS n_applied FROM spliced")
 
 _EVENT_TEXT = "concat('user ', cast(user_id as string), '@corp.test from 10.0.0.', cast(user_id % 256 as string), ' did ', event_type)"
@@ -769,18 +772,16 @@ _EVENT_POLICY = Policy(entities=("EMAIL_ADDRESS", "IP_ADDRESS"))
 
 
 def _stream_counts(spark, sf):
-    """All windows that the watermark has passed when the input is read, so all but the last ones."""
-    from cloakframe.streaming.stream import read_stream, stream_counts
+    from cloakframe.streaming.stream import read_counts, read_stream, stream_counts
 
     folder = shared_folder(spark, "stream-counts")
     stream = read_stream(spark, sf, "events.parquet").selectExpr("cast(ts as timestamp) AS ts", f"{_EVENT_TEXT} AS text")
     stream_counts(stream, "text", "ts", f"{folder}/out", f"{folder}/checkpoint", _EVENT_POLICY).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("window_start", "pii_type", "n")
+    return read_counts(spark, f"{folder}/out").select("window_start", "pii_type", "n")
 
 
-register("stream_entity_counts", _stream_counts, f"""WITH {S.found_ctes(f"SELECT event_id AS id, {_EVENT_TEXT} AS text FROM events", _EVENT_POLICY)},
-w AS (SELECT date_trunc('hour', ts) AS window_start, pii_type, count(*) AS n FROM found JOIN events ON id = event_id GROUP BY ALL)
-SELECT window_start, pii_type, n FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+register("stream_entity_counts", _stream_counts, f"""WITH {S.found_ctes(f"SELECT event_id AS id, {_EVENT_TEXT} AS text FROM events", _EVENT_POLICY)}
+SELECT date_trunc('hour', ts) AS window_start, pii_type, count(*) AS n FROM found JOIN events ON id = event_id GROUP BY ALL""")
 
 
 def _stream_pseudonyms(spark, sf):
