@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.arrays import running_max, running_sums
-from cloakframe.functions.text import let, splice
+from cloakframe.functions.text import let, splice, with_computed
 from cloakframe.sources.staging import staged
 
 
@@ -177,7 +177,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         else:
             asked = text.rlike(_PRESENT.get(rule.kind, rule.pattern))
         parts.append(F.when(asked, spans_of(text, rule, i)).otherwise(none))
-    return df.withColumn("spans", F.sort_array(F.concat(*parts))).drop("__kinds")
+    return with_computed(df, "spans", F.sort_array(F.concat(*parts))).drop("__kinds")
 
 
 def disjoint(spans: Column) -> Column:
