@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cloakframe.llm import (
     byte_bpe, circulant, cotraining, decision_lists, imatch, lang_id, packing, secret_scan, toxicity, warc,
 )
+from cloakframe.llm import sql
 from cloakframe.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -110,3 +111,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("key").alias("doc_id"), "n_chars", "edited_sha256", F.array_join("prints", "-").alias("fingerprint"),
         F.array_join("edited_prints", "-").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+ORACLES.update(op3_circulant_minhash=sql.NEAR_DUPLICATES, op4_warc=sql.ARCHIVES, op8_secret_scans=sql.SECRETS,
+               op10_imatch=sql.FINGERPRINTS)
