@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,13 @@ from cloakframe.operators.detect import (
 )
 from cloakframe.plans.rewrite import rewrite_text
 from cloakframe.plans.tables import rewrite_columns, long_form, resolved_findings, rewrite_with
-from cloakframe.policy import FALSE_POSITIVE_WORDS, SKIPPED_TYPES, Policy, Redact, Replace
+from cloakframe.policy import (
+    FALSE_POSITIVE_WORDS, SKIPPED_TYPES, Policy, Redact, Replace, register_patterns, unregister_patterns,
+)
+from cloakframe.sources import sinks
 from cloakframe.sources.crm_notes import synth_crm_notes, synth_sql
 from cloakframe.sources.staging import shared_folder, staged
-from cloakframe.sources.tables import checked_columns, read_table, require_rows, scan_csv
+from cloakframe.sources.tables import checked_columns, read_table, require_rows, scan_csv, scan_text_corpus
 from registry import notes as N
 from registry import sql as S
 from cloakframe.functions import patterns
@@ -417,6 +421,30 @@ _rewrite("replace_pseudonym", "notes", Policy(entities=_STRUCTURED, strategy="re
 _rewrite("replace_fallback", "notes", Policy(entities=_SOME, strategy="replace", replace_with=Replace(available=False)),
          "('[' || pii_type || '_FAKE]')")
 _rewrite("rewrite_documents", "documents", Policy(), S.REDACT)
+
+st.register_strategy("stars", lambda t, v: F.repeat(F.lit("*"), F.length(v)))
+_rewrite("register_strategy", "notes", Policy(entities=_SOME, strategy="stars"), "repeat('*', length(value))")
+
+
+@contextmanager
+def _own_pattern():
+    """A caller's entity: location ids that end in an even digit, told from others by its own regex."""
+    register_patterns("EVEN_LOCATION", [("even", r"\bLOC\d{11}[02468]\b", 0.9)])
+    try:
+        yield Policy(entities=("EVEN_LOCATION", "EMAIL_ADDRESS"))
+    finally:
+        unregister_patterns("EVEN_LOCATION")
+
+
+def _with_own_pattern(spark, sf):
+    with _own_pattern() as policy:
+        return rewrite_text(notes(spark, sf), "text", policy).select(
+            "id", F.col("text").alias("new_text"), F.col("pii_anonymized").cast("long").alias("n_applied"))
+
+
+with _own_pattern() as _own:
+    register("register_patterns", _with_own_pattern, f"WITH {S.kept_ctes(N.NOTES, _own)},\n{S.spliced_ctes(S.REDACT)}\n"
+             "SELECT id, text AS new_text, n AS n_applied FROM spliced")
 _rewrite("rewrite_notes", "notes", Policy(), S.REDACT)
 
 
@@ -748,6 +776,56 @@ def _csv_round_trip(spark, sf):
 _CSV_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, 'says "call [AU_PHONE_NUMBER_REDACTED]",' || chr(10) || 'mail [EMAIL_ADDRESS_REDACTED]' AS notes FROM customer"""
 register("scan_csv", _csv_round_trip, _CSV_SQL)
 register("sink_csv", _csv_round_trip, _CSV_SQL)
+
+
+def _text_sink(spark, sf):
+    folder = shared_folder(spark, "texts")
+    done = rewrite_text(documents(spark, sf), "text", _DOC_POLICY).withColumn(
+        "path", F.concat(F.lit("in/doc."), F.col("id"), F.lit(".txt")))
+    sinks.sink_text(done, folder)
+    return spark.read.parquet(folder).select("id", "out_path", "text")
+
+
+register("sink_text", _text_sink, f"""WITH {S.kept_ctes(N.DOCUMENTS, _DOC_POLICY)},
+{S.spliced_ctes(S.REDACT)} SELECT id, 'in/doc.' || id || '_anonymized.txt' AS out_path, text FROM spliced""")
+
+
+def _backup(spark, sf):
+    folder = shared_folder(spark, "backup")
+    sinks.sink_backup(documents(spark, sf), folder)
+    return spark.read.parquet(f"{folder}/_original")
+
+
+register("sink_backup", _backup, "SELECT doc_id AS id, text FROM documents")
+
+
+def _corpus_scan(spark, sf):
+    """Conversations as one text file each, read as a folder."""
+    folder = shared_folder(spark, "corpus")
+    turns = read_table(spark, f"{sf}/conversations.parquet", "conv_id", "turn", "text").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    turns.select(F.array_join("t.text", "\n").alias("value"), "conv_id").repartition("conv_id").write.partitionBy(
+        "conv_id").option("lineSep", "\n").text(folder)
+    found = scan_text_corpus(spark, folder, recursive=True)
+    return found.select(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("id"), "text")
+
+
+register("scan_text_corpus", _corpus_scan, """SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) || chr(10) AS text
+FROM conversations GROUP BY conv_id""")
+
+
+def _checked(spark, sf):
+    customers = read_table(spark, f"{sf}/customer.parquet")
+    try:
+        checked_columns(customers, ["c_name", "c_nothing"])
+        missing = ""
+    except ValueError as e:
+        missing = str(e)
+    return customers.select("c_custkey", *checked_columns(customers, ["c_name"]), F.lit(missing).alias("message"))
+
+
+register("scan_columns_check", _checked,
+         "SELECT c_custkey, c_name, 'Columns not found: [''c_nothing'']' AS message FROM customer")
 register(
     "scan_table_text",
     lambda spark, sf: pages(spark, sf).select("id", F.length("text").cast("long").alias("n_chars")),

@@ -233,3 +233,10 @@ def test_a_text_answered_twice_stays_one_row(spark):
                                   "id long, content string")
     got = second_pass.apply_second_pass(texts, "text", twice, ["id"]).collect()
     assert len(got) == 1 and "Tess" not in got[0].text and "Lark" not in got[0].text and got[0].llm_pii_found == 2
+
+
+def test_csv_export_keeps_the_order_of_rows(spark, tmp_path):
+    df = spark.range(500).select(F.col("id").alias("line"), F.concat(F.lit("n"), 499 - F.col("id")).alias("name"))
+    sinks.sink_csv(df.repartition(7), ["name"], str(tmp_path / "o"), order_by="line")
+    files = sorted(glob.glob(str(tmp_path / "o/part-*")))
+    assert [x for f in files for x in open(f).read().split()[1:]] == [f"n{499 - i}" for i in range(500)]
