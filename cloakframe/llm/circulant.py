@@ -1,9 +1,10 @@
 """Near duplicates by circulant MinHash: two permutations make the whole signature.
 
 A text is the set of its distinct five-word shingles.  One permutation of 2^20 places scatters the hashed
-shingles, a second one, shifted circularly by k, gives coordinate k as the least value over the set; 120
-coordinates make 24 bands of five.  Two sets with a Jaccard similarity of 0.85 miss each other in all bands
-with a probability of 8e-7, more similar ones with less.  Every link is confirmed on the full sets.
+shingles, a second one, shifted circularly by k, gives coordinate k as the least value over the set; coordinates make
+bands of five.  The least Jaccard similarity of a link is a parameter, in per cent, and everything follows from it:
+there are as many bands as two sets at just that similarity need to miss each other in all of them with a probability
+below 1e-6 (24 at 85, 35 at 80), more similar ones with less.  Every link is confirmed on the full sets.
 
 Texts with equal sets are one *class*, represented by its smallest id, before anything is compared; only
 representatives are banded.  Inside a band's bucket every member is compared with the hub, the one that meets most
@@ -19,6 +20,7 @@ matter; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,23 +31,47 @@ from pyspark.sql import functions as F
 
 from cloakframe.sources.staging import staged
 
-WIDTH, ROWS, BANDS = 5, 5, 24
-COORDINATES = ROWS * BANDS
-#: Coordinates of 120 that must agree before full sets are fetched: at a similarity of 0.85, 102 are expected, and
-#: fewer than this come about once in 10^8 pairs.
-AGREE = 80
+WIDTH, ROWS = 5, 5
+#: The least similarity of a link, in per cent, where none is given.
+SIMILARITY = 85
 #: Shingles are hashed into this many places, which both permutations rearrange.
 PLACES = 1 << 20
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 @functools.cache
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def band_count(similarity: int) -> int:
+    """The least number of bands that miss a pair at ``similarity`` per cent with a probability below 1e-6."""
+    if not 1 <= similarity <= 100:
+        raise ValueError(f"a similarity of 1 to 100 per cent is needed, not {similarity}")
+    hit = (similarity / 100) ** ROWS
+    return 1 if hit == 1 else math.ceil(math.log(1e-6) / math.log1p(-hit))
+
+
+@functools.cache
+def agree_floor(similarity: int) -> int:
+    """Coordinates that must agree before full sets are fetched: fewer come about once in 10^8 pairs."""
+    p, n = similarity / 100, ROWS * band_count(similarity)
+    if p == 1:
+        return n
+    below = floor = 0
+    while (below := below + math.exp(
+            math.lgamma(n + 1) - math.lgamma(floor + 1) - math.lgamma(n - floor + 1)
+            + floor * math.log(p) + (n - floor) * math.log1p(-p))) <= 1e-8:
+        floor += 1
+    return floor
+
+
+COORDINATES = ROWS * band_count(SIMILARITY)
+
+
+@functools.cache
+def _permutations(coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
     """The scattering permutation, and the second one at all its shifts: row i has coordinate k at place i + k."""
     draw = np.random.default_rng(20240229)
     scatter, order = draw.permutation(PLACES), draw.permutation(PLACES).astype(np.uint32)
-    around = np.concatenate([order, order[:COORDINATES]])
-    return scatter, np.lib.stride_tricks.sliding_window_view(around, COORDINATES)
+    around = np.concatenate([order, order[:coordinates]])
+    return scatter, np.lib.stride_tricks.sliding_window_view(around, coordinates)
 
 
 @functools.cache
@@ -93,11 +119,11 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """Coordinate k: the least of the second permutation, shifted by k, over the scattered shingles."""
-    scatter, shifted = _permutations()
+    scatter, shifted = _permutations(coordinates)
     at = scatter[(found >> np.uint64(44)).view(np.int64)]
-    least = np.full(COORDINATES, PLACES, np.uint32)
+    least = np.full(coordinates, PLACES, np.uint32)
     for i in range(0, len(at), 512):
         np.minimum(least, shifted[at[i:i + 512]].min(axis=0), out=least)
     return least
@@ -105,19 +131,19 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 def bands(least: np.ndarray) -> list[int]:
     raw = least.tobytes()
-    return [xxhash.xxh64_intdigest(raw[i * 4 * ROWS:(i + 1) * 4 * ROWS]) - (1 << 63) for i in range(BANDS)]
+    return [xxhash.xxh64_intdigest(raw[i * 4 * ROWS:(i + 1) * 4 * ROWS]) - (1 << 63) for i in range(len(least) // ROWS)]
 
 
 _SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()),
                      ("bands", pa.list_(pa.int64())), ("low", pa.list_(pa.int16()))])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], coordinates: int = COORDINATES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[list] = [[], [], [], [], []]
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = shingles(text.as_py())
-            least = signature(found) if len(found) and key is not None else None
+            least = signature(found, coordinates) if len(found) and key is not None else None
             for out, v in zip(rows, (
                 key, len(found), xxhash.xxh128_digest(found.tobytes()), None if least is None else bands(least),
                 None if least is None else least.astype(np.uint16).view(np.int16),
@@ -137,18 +163,18 @@ def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow a link."""
     of = {s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("low").alias(f"low_{s}"))
           for s in "ab"}
     return (
         pairs.join(of["a"], "a").join(of["b"], "b")
-        .where(100 * F.least("n_a", "n_b") >= 85 * F.greatest("n_a", "n_b"))
-        .where(_agree(F.col("low_a"), F.col("low_b")) >= AGREE).select("a", "b", "n_a", "n_b")
+        .where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+        .where(_agree(F.col("low_a"), F.col("low_b")) >= agree_floor(similarity)).select("a", "b", "n_a", "n_b")
     )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """Links among plausible pairs, by the full sets of both texts."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = staged(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")
@@ -157,7 +183,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        .where(100 * both >= 85 * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+        .where(100 * both >= similarity * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
     )
 
 
@@ -197,10 +223,13 @@ def _buckets(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component, representative): one row for each row of ``docs``."""
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 similarity: int = SIMILARITY) -> DataFrame:
+    """(id, n_shingles, component, representative): one row for each row of ``docs``; a link is a Jaccard similarity
+    of at least ``similarity`` per cent."""
+    sketch = functools.partial(_sketch, coordinates=ROWS * band_count(similarity))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = staged(texts.mapInArrow(_sketch, "id long, n long, same binary, bands array<long>, low array<short>"),
+    sketches = staged(texts.mapInArrow(sketch, "id long, n long, same binary, bands array<long>, low array<short>"),
                       "sketches")
     linked = F.col("id").isNotNull() & (F.col("n") > 0)
     reps = staged(sketches.where(linked).groupBy("same", "n").agg(
@@ -216,8 +245,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = staged(members.join(hubs, "key"), "buckets")
     first = members.where("id <> hub").select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = staged(_confirmed(staged(_plausible(first, reps), "pairs"), texts), "confirmed")
-    links = _rest(reps, members, links, texts)
+    links = staged(_confirmed(staged(_plausible(first, reps, similarity), "pairs"), texts, similarity), "confirmed")
+    links = _rest(reps, members, links, texts, similarity)
 
     labels = _labelled(reps, links)
     classes = reps.select("id", "same", "n").join(labels, "id").select(
@@ -228,11 +257,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", F.col("n").alias("n_shingles"), "component", "representative").unionByName(alone)
 
 
-def _rest(reps: DataFrame, members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(reps: DataFrame, members: DataFrame, links: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """All links, those included that the comparison with hubs did not find.
 
     Members of buckets that still hold several components are compared by an exact rule: order all shingles from
-    rare to frequent; sets of n shingles that are linked share one of their first n - 0.85 n + 1.  Edited copies
+    rare to frequent; sets of n shingles that are linked share one of their first n - s n + 1
+    at a similarity of s.  Edited copies
     differ by rare shingles, so those that are too far from each other hardly ever meet.
     """
     labels = staged(_labelled(reps, links), "components")
@@ -247,12 +277,13 @@ def _rest(reps: DataFrame, members: DataFrame, links: DataFrame, texts: DataFram
     often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "shingle"))
     head = staged(each.join(often, "shingle", "left").withColumn("at", rank)
-                  .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 85 / 100) + 1).where("often > 1")
+                  .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1).where("often > 1")
                   .join(ids, "id").select("shingle", "id", "n", "at", "component"), "prefixes")
     x, y = head.alias("x"), head.alias("y")
     pairs = x.join(y, F.expr(
         "x.shingle = y.shingle and x.id < y.id and x.component <> y.component "
-        "and 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) "
-        "and 185 * (1 + least(x.n - x.at, y.n - y.at)) >= 85 * (x.n + y.n)"
+        f"and 100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) "
+        f"and {100 + similarity} * (1 + least(x.n - x.at, y.n - y.at)) >= {similarity} * (x.n + y.n)"
     )).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return links.unionByName(staged(_confirmed(staged(_plausible(pairs, reps), "pairs"), texts), "confirmed"))
+    return links.unionByName(
+        staged(_confirmed(staged(_plausible(pairs, reps, similarity), "pairs"), texts, similarity), "confirmed"))

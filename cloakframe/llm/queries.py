@@ -39,7 +39,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = circulant.near_classes(table(spark, sf_dir, "documents"))
+    found = circulant.near_classes(table(spark, sf_dir, "documents"), similarity=85)
     return found.select(
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

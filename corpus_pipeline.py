@@ -28,9 +28,13 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, chain, keep=tuple(docs.columns)).where(~F.col("is_toxic")).select(docs.columns)
 
 
+#: The least Jaccard similarity of near duplicates in the corpus, in per cent.
+NEAR = 80
+
+
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates, once; rows without id or words stay."""
-    found = circulant.near_classes(docs)
+    found = circulant.near_classes(docs, similarity=NEAR)
     dropped = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component"))).select(
         F.col("id").alias("doc_id")).distinct()
     rest = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti")

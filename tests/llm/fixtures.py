@@ -55,8 +55,8 @@ def shingle_set(text: str | None) -> frozenset:
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def near_components(rows) -> dict:
-    """doc_id -> smallest id reachable over links of similarity 0.85."""
+def near_components(rows, similarity: int = 85) -> dict:
+    """doc_id -> smallest id reachable over links of ``similarity`` per cent."""
     known = [(k, shingle_set(t)) for k, t in rows if k is not None]
     label = {k: k for k, _ in known}
 
@@ -67,7 +67,7 @@ def near_components(rows) -> dict:
 
     for i, (a, x) in enumerate(known):
         for b, y in known[:i]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= similarity * len(x | y):
                 p, q = sorted((find(a), find(b)))
                 label[q] = p
     return {k: find(k) for k in label}

@@ -203,3 +203,15 @@ def test_near_duplicate_stage_keeps_rows_without_id(spark):
     want = near_components(rows)
     assert got.count(None) == 2
     assert sorted(k for k in got if k is not None) == sorted({k for k, _ in rows if k is not None and want[k] == k})
+
+
+def test_near_duplicate_stage_links_from_a_similarity_of_80(spark):
+    rows = [(k, t) for k, t in awkward() if k is not None] + [
+        (200 + 30 * b + i, " ".join([*prose(900 + b, 200)[:j], f"own{i}", f"own{i}b", *prose(900 + b, 200)[j + 2:]]))
+        for b in (0, 1) for i in range(8) for j in [10 + 20 * i]]
+    # two texts at exactly 0.8: 8 shared shingles of 10
+    rows += [(300, "a b c d e f g h i j k l m"), (301, "a b c d e f g h i j k l x")]
+    want = near_components(rows, 80)
+    got = [r.doc_id for r in corpus_pipeline.unique(spark, docs(spark, rows), "").select("doc_id").collect()]
+    assert sorted(got) == sorted({k for k in want if want[k] == k})
+    assert set(got) < {k for k, c in near_components(rows).items() if k == c} and 301 not in got

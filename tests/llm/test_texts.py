@@ -41,6 +41,15 @@ def test_near_classes_on_copies_that_hardly_reach_each_other(spark):
     assert got == want and 1 < len(set(want.values())) < 150
 
 
+@pytest.mark.parametrize("similarity", [70, 80, 90])
+def test_near_classes_at_other_similarities(spark, similarity):
+    rows = awkward()
+    want = near_components(rows, similarity)
+    got = circulant.near_classes(docs(spark, rows), similarity=similarity).collect()
+    assert {r.id: r.component for r in got if r.id is not None} == want != near_components(rows)
+    assert 0 < circulant.agree_floor(similarity) < 5 * circulant.band_count(similarity) * similarity / 100
+
+
 def test_signature_is_a_shifted_permutation():
     scatter, shifted = circulant._permutations()
     assert sorted(scatter[:5]) != list(scatter[:5]) and len(set(scatter.tolist())) == circulant.PLACES
