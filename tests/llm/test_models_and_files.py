@@ -56,6 +56,34 @@ def test_co_training_exchanges_labels_and_scores_all(spark):
     assert cotraining.scored(empty(spark), model).count() == 0
 
 
+def test_co_training_exchanges_all_texts_but_the_labelled(spark, monkeypatch):
+    """More texts than any sample, labels for few; the telling source of the second half never occurs in labels."""
+    n = 6000
+    rows = [(i, " ".join(x + "&&&" * (i % 4 == 0) for x in prose(i, 30, 200))) for i in range(n)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 300)], "doc_id long, quality int")
+    seen = []
+    confidence = cotraining._Corpus.confidence
+    monkeypatch.setattr(cotraining._Corpus, "confidence", lambda c, r, v: seen.append(
+        (c.n, confidence(c, r, v))) or seen[-1][1])
+    df = docs(spark, rows).withColumn("source", F.when(F.col("doc_id") < 300, "s").otherwise(
+        F.when(F.col("doc_id") % 4 == 0, "spoilt").otherwise("clean")))
+    model = cotraining.fit(df, labels)
+    assert {k for k, _ in seen} == {n - 300} and seen[0][1][0].sum() > 4000
+    most = int(0.05 * (n - 300))
+    assert 1.5 * most < model.exchanged[0][0] <= 2 * most
+    got = cotraining.scored(df, model).collect()
+    assert sum((r.score >= 0.5) != (r.id % 4 != 0) for r in got) <= n // 50
+
+
+def test_co_training_cuts_pass_the_surest():
+    found = np.zeros((2, 2, cotraining._BINS))
+    found[0, 1, [10, 20, 30]] = 5, 8, 4
+    least, part, passed = cotraining._cuts(found, 8)
+    assert (least[0, 1], part[0, 1], passed[0, 1]) == (20, cotraining._CHANCE // 2, 8)
+    assert least[1, 0] == 0 and passed[1, 0] == 0
+    assert list(cotraining._bins(np.array([-40.0, 0.0, 2.9, 3.0, 90.0]), 0.95)) == [-1, -1, -1, 7, cotraining._BINS - 1]
+
+
 def test_language_id_on_held_out_texts(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     got = QUERIES["op6_language_id"](spark, sf).join(table.select("doc_id", "lang"), "doc_id").collect()
