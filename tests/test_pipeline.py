@@ -240,3 +240,19 @@ def test_csv_export_keeps_the_order_of_rows(spark, tmp_path):
     sinks.sink_csv(df.repartition(7), ["name"], str(tmp_path / "o"), order_by="line")
     files = sorted(glob.glob(str(tmp_path / "o/part-*")))
     assert [x for f in files for x in open(f).read().split()[1:]] == [f"n{499 - i}" for i in range(500)]
+
+
+def test_cards_next_to_other_digits(spark):
+    cards = {
+        "4111-1111-1111-1111 12/27": "[CREDIT_CARD_REDACTED]/27|[CREDIT_CARD_REDACTED] 12/27",
+        "4111 1111 1111 1111 123": "[CREDIT_CARD_REDACTED] 123",
+        "2 4111 1111 1111 1111": "2 [CREDIT_CARD_REDACTED]",
+        "12 12 4111 1111 1111 1111 x": "12 12 [CREDIT_CARD_REDACTED] x",
+        "\u00e4 4111 1111 1111 1111 123 and 4111 1111 1111 1111 123": None,
+        "4111 1111 1111 1112 12": "4111 1111 1111 1112 12",
+    }
+    df = spark.createDataFrame(list(enumerate(cards)), "id int, text string")
+    got = [r.text for r in rewrite_text(df, "text", Policy(entities=("CREDIT_CARD",))).orderBy("id").collect()]
+    for text, want in zip(got, cards.values()):
+        assert "4111 1111 1111 1111" not in text and "4111-1111-1111-1111" not in text, got
+        assert want is None or text in want.split("|"), got
