@@ -195,8 +195,9 @@ def _certainty(pii_type: Column, value: Column, entities: tuple[Entity, ...]) ->
 
 def _cards(raw: Column, points: Column) -> Column:
     """Cards among the groups of a run of digits that is none as a whole: every stretch of whole groups that starts in
-    the match and whose check digit is right.  Separators are one character each; 19 digits that start among the first
-    19 end within 80 characters."""
+    the match and whose check digit is right.  Numbers joined by hyphens are cut only where a card's usual grouping
+    (four digits first, or one group) begins, so that the inside of another kind of number is none.  Separators are one
+    character each; 19 digits that start among the first 19 end within 80 characters."""
     def among(run: Column, groups: Column) -> Column:
         def joined(first: Column, n: Column) -> Column:
             return F.length(F.array_join(F.slice(groups, first, n), " "))
@@ -205,12 +206,14 @@ def _cards(raw: Column, points: Column) -> Column:
             at = F.when(i > 1, joined(F.lit(1), i - 1) + 1).otherwise(0)
             return F.when(at < F.length(raw["value"]), F.transform(
                 F.sequence(i, F.least(F.size(groups), i + 18)),
-                lambda j: F.struct((raw["start"] + at).alias("start"),
-                                   F.substring(run, at + 1, joined(i, j - i + 1)).alias("value"))))
+                lambda j: let(joined(i, j - i + 1), lambda n: F.when(
+                    F.length(F.get(groups, i - 1)).isin(4, *range(13, 20))
+                    | (((i == 1) | (F.substring(run, at, 1) == " ")) & (F.substring(run, at + n + 1, 1) != "-")),
+                    F.struct((raw["start"] + at).alias("start"), F.substring(run, at + 1, n).alias("value"))))))
 
         parts = F.flatten(F.filter(
             F.transform(F.sequence(F.lit(1), F.size(groups)), stretches), lambda x: x.isNotNull()))
-        return F.filter(parts, lambda f: f["value"].rlike("^[1-6]") & checksums.card(f["value"]))
+        return F.filter(parts, lambda f: f.isNotNull() & f["value"].rlike("^[1-6]") & checksums.card(f["value"]))
 
     run = F.regexp_extract(piece(points, raw["start"], F.lit(80)), r"^\d(?:[- ]?\d)*", 0)
     return let(run, lambda r: let(F.regexp_extract_all(r, F.lit(r"\d+"), F.lit(0)), lambda g: among(r, g)))

@@ -249,6 +249,9 @@ def test_cards_next_to_other_digits(spark):
         "2 4111 1111 1111 1111": "2 [CREDIT_CARD_REDACTED]",
         "12 12 4111 1111 1111 1111 x": "12 12 [CREDIT_CARD_REDACTED] x",
         "\u00e4 4111 1111 1111 1111 123 and 4111 1111 1111 1111 123": None,
+        "imei 35-000004-000062-7": "imei 35-000004-000062-7",
+        "4111-1111-1111-1111-123": "[CREDIT_CARD_REDACTED]-123",
+        "41111 11111 111111 123": "[CREDIT_CARD_REDACTED] 123",
         "4111 1111 1111 1112 12": "4111 1111 1111 1112 12",
     }
     df = spark.createDataFrame(list(enumerate(cards)), "id int, text string")
