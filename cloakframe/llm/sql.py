@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -96,3 +98,50 @@ s AS (SELECT doc_id, side, string_agg(h, '-' ORDER BY k) AS fp FROM f GROUP BY A
 SELECT e.doc_id, n AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
   x1.near AS near_edited, x2.near AS near_next FROM e JOIN s a ON a.doc_id = e.doc_id AND a.side = 0
   JOIN s b ON b.doc_id = e.doc_id AND b.side = 1 JOIN x1 ON x1.doc_id = e.doc_id JOIN x2 ON x2.doc_id = e.doc_id"""
+
+_MARKS = "<<SYS>>|<</SYS>>|\\[INST\\]|\\[/INST\\]|<s>|</s>|\\[ROLE\\]|\\[/ROLE\\]|\\[/TURN\\]|\\[NOROLE\\]"
+CHATS = f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+t AS (SELECT *, lag(role) OVER w AS before, lead(turn) OVER w IS NULL AS at_end,
+  CASE role WHEN 'system' THEN 8 + 11 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 4 + 6
+    ELSE 6 + length(role) + 7 + 7 END + length(text) + length(text) - length(replace(text, chr(92), ''))
+    + len(regexp_extract_all(text, '{_MARKS}')) AS chars FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(CASE role WHEN 'system' THEN before IS NULL
+    WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') WHEN 'assistant' THEN before = 'user' AND before IS NOT NULL
+    ELSE false END) AS valid, bool_or(at_end AND role = 'assistant') AS answered FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars, valid, valid AND answered AS complete FROM g"""
+
+_ORDERS = ", ".join(f"('{''.join(p)}')" for p in itertools.permutations("ABCDE"))
+AUDIT = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+  doc_id > min(doc_id) OVER (PARTITION BY text) AS e FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END,
+    CASE WHEN e THEN 'E' END) AS fails, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT o AS filter_order, CAST(i AS INT) AS step, substr(o, CAST(i AS INT), 1) AS filter, left(o, CAST(i AS INT) - 1) AS before
+  FROM (VALUES {_ORDERS}) t(o), range(1, 6) r(i)),
+x AS (SELECT *, contains(fails, filter) AS hit, translate(fails, before, '') <> fails AS gone FROM m, o),
+y AS (SELECT part, filter_order, step, filter, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (gone AND hit), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (fails = filter), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0) AS BIGINT) AS toxic_lost FROM x GROUP BY ALL)
+SELECT * EXCLUDE (filter), CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM y"""
+
+_TERMS = f"""regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+SEARCH = f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term),
+p AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM p WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
