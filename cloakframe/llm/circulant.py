@@ -6,14 +6,15 @@ bands of five.  The least Jaccard similarity of a link is a parameter, in per ce
 there are as many bands as two sets at just that similarity need to miss each other in all of them with a probability
 below 1e-6 (24 at 85, 35 at 80), more similar ones with less.  Every link is confirmed on the full sets.
 
-Texts with equal sets are one *class*, represented by its smallest id, before anything is compared; only
-representatives are banded.  Inside a band's bucket every member is compared with the hub, the one that meets most
+Texts with equal sets are one *class*, whatever their ids, before anything is compared; only classes are banded, each
+under a number of its own, and fetch their set by the smallest id and the digest of the set.  Inside a band's bucket every member is compared with the hub, the one that meets most
 others over all its bands, so a group of near copies costs as many pairs as it has members.  Where a bucket's
 members still lie in different components, the rest is found by an exact prefix join on their rarest shingles.
 
 Defined cases: a null or empty text and one without words has no shingles, links with nothing and is kept; fewer
 than five words are one shingle; a row with a null id links with nothing, its component is null and it is kept;
-rows that repeat an id and a text have the same class.  Other columns are never read, so clashing names don't
+rows that repeat an id and a text have the same class; rows that share an id but not the text are compared and linked
+each by its own text.  Other columns are never read, so clashing names don't
 matter; an empty table gives an empty result.
 """
 
@@ -135,28 +136,35 @@ def bands(least: np.ndarray) -> list[int]:
 
 
 _SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()),
-                     ("bands", pa.list_(pa.int64())), ("low", pa.list_(pa.int16()))])
+                     ("bands", pa.list_(pa.int64())), ("low", pa.list_(pa.int16())), ("text_digest", pa.binary())])
+_SKETCH_COLUMNS = "id long, n long, same binary, bands array<long>, low array<short>, text_digest binary"
+_SET_COLUMNS = "id long, same binary, set array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], coordinates: int = COORDINATES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        rows: list[list] = [[], [], [], [], [], []]
+        for key, text, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             found = shingles(text.as_py())
             least = signature(found, coordinates) if len(found) and key is not None else None
             for out, v in zip(rows, (
-                key, len(found), xxhash.xxh128_digest(found.tobytes()), None if least is None else bands(least),
-                None if least is None else least.astype(np.uint16).view(np.int16),
+                key, len(found), _digest(found), None if least is None else bands(least),
+                None if least is None else least.astype(np.uint16).view(np.int16), digest,
             )):
                 out.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(rows, _SKETCH)], schema=_SKETCH)
 
 
+def _digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(found.tobytes())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("set", pa.list_(pa.int64()))])
     for batch in batches:
-        found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, schema.field(1).type)], schema=schema)
+        found = [shingles(t.as_py()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, found), pa.binary()), pa.array(
+            [f.view(np.int64) for f in found], schema.field(2).type)], schema=schema)
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -165,7 +173,7 @@ def _agree(a: Column, b: Column) -> Column:
 
 def _plausible(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow a link."""
-    of = {s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("low").alias(f"low_{s}"))
+    of = {s: reps.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("low").alias(f"low_{s}"))
           for s in "ab"}
     return (
         pairs.join(of["a"], "a").join(of["b"], "b")
@@ -174,15 +182,22 @@ def _plausible(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+def _sets_of(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, set) of the classes ``nodes``: by the id of a text of the class, and told by the digest from other texts
+    of that id."""
+    wanted = staged(reps.select("node", "id", "same").join(nodes, "node", "left_semi"), "wanted")
+    found = texts.select("id", "text").join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, _SET_COLUMNS)
+    return staged(found.join(wanted, ["id", "same"]).select("node", "set"), "shingle-sets").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """Links among plausible pairs, by the full sets of both texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = staged(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")
-                  .mapInArrow(_sets, "id long, set array<long>"), "shingle-sets").dropDuplicates(["id"])
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets_of(wanted, reps, texts)
     both = F.size(F.array_intersect("set_a", "set_b"))
     return (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         .where(100 * both >= similarity * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
     )
 
@@ -213,9 +228,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _labelled(reps: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return reps.select("id").join(found, "id", "left").select(
-        "id", F.coalesce("component", "id").alias("component"))
+    found = components(links).withColumnRenamed("id", "node")
+    return reps.select("node").join(found, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"))
+
+
+def _smallest_ids(reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, group, component): the number of the node's component, and its smallest id."""
+    named = reps.select("node", "id").join(labels, "node")
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    return named.join(least, "component").select("node", F.col("component").alias("group"), F.col("least").alias("component"))
 
 
 def _buckets(members: DataFrame) -> DataFrame:
@@ -225,36 +247,67 @@ def _buckets(members: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  similarity: int = SIMILARITY) -> DataFrame:
-    """(id, n_shingles, component, representative): one row for each row of ``docs``; a link is a Jaccard similarity
-    of at least ``similarity`` per cent."""
+    """(id, text_digest, n_shingles, group, component, representative): one row for each row of ``docs``; a link is a
+    Jaccard similarity of at least ``similarity`` per cent.  ``text_digest`` is ``text_digest()`` of the row's text,
+    ``group`` tells components apart also where they share their smallest id; null for what links with nothing."""
     sketch = functools.partial(_sketch, coordinates=ROWS * band_count(similarity))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = staged(texts.mapInArrow(sketch, "id long, n long, same binary, bands array<long>, low array<short>"),
-                      "sketches")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                        text_digest(F.col(text_col)).alias("text_digest"))
+    sketches = staged(texts.mapInArrow(sketch, _SKETCH_COLUMNS), "sketches")
     linked = F.col("id").isNotNull() & (F.col("n") > 0)
+    # once written, the numbers stay what they are
     reps = staged(sketches.where(linked).groupBy("same", "n").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
+        F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("low").alias("low")).withColumn(
+        "node", F.monotonically_increasing_id()), "classes")
 
-    members = reps.select("id", F.posexplode("bands").alias("band", "key")).withColumn(
-        "key", F.xxhash64("band", "key"))
+    members = reps.select("node", F.posexplode("bands").alias("band", "key")).select(
+        "node", F.xxhash64("band", "key").alias("key"))
     members = staged(members.join(_buckets(members), "key"), "buckets")
     # the member that meets most others over all its bands: of copies of one text, mostly that text
-    company = members.groupBy("id").agg(F.sum("size").alias("company"))
-    hubs = members.join(company, "id").groupBy("key").agg(
-        F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("hub")).select("key", (-F.col("hub.id")).alias("hub"))
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    hubs = members.join(company, "node").groupBy("key").agg(
+        F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("hub")).select(
+        "key", (-F.col("hub.node")).alias("hub"))
     members = staged(members.join(hubs, "key"), "buckets")
-    first = members.where("id <> hub").select(
-        F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = staged(_confirmed(staged(_plausible(first, reps, similarity), "pairs"), texts, similarity), "confirmed")
+    first = members.where("node <> hub").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = staged(_confirmed(staged(_plausible(first, reps, similarity), "pairs"), reps, texts, similarity), "confirmed")
     links = _rest(reps, members, links, texts, similarity)
 
-    labels = _labelled(reps, links)
-    classes = reps.select("id", "same", "n").join(labels, "id").select(
-        "same", "n", "component", F.col("id").alias("representative"))
+    labels = _smallest_ids(reps, _labelled(reps, links))
+    classes = reps.select("node", "id", "same", "n").join(labels, "node").select(
+        "same", "n", "group", "component", F.col("id").alias("representative"))
     alone = sketches.where(~linked).select(
-        "id", F.col("n").alias("n_shingles"), F.col("id").alias("component"), F.col("id").alias("representative"))
-    return sketches.where(linked).select("id", "same", "n").join(classes, ["same", "n"]).select(
-        "id", F.col("n").alias("n_shingles"), "component", "representative").unionByName(alone)
+        "id", "text_digest", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("group"),
+        F.col("id").alias("component"), F.col("id").alias("representative"))
+    return sketches.where(linked).select("id", "text_digest", "same", "n").join(classes, ["same", "n"]).select(
+        "id", "text_digest", F.col("n").alias("n_shingles"), "group", "component", "representative").unionByName(alone)
+
+
+def text_digest(text: Column) -> Column:
+    """What tells the texts of one id apart; the same for null and empty texts."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                similarity: int = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, of its texts in the component the one with the
+    smallest digest, of equal rows one.  Rows without id or words all stay; columns are as they were."""
+    found = staged(near_classes(docs, id_col, text_col, similarity), "near-classes").where("group is not null")
+    first = found.where(F.col("id") == F.col("component")).groupBy("group").agg(F.min("text_digest").alias("first"))
+    goes = found.join(first, "group").where(
+        (F.col("id") != F.col("component")) | (F.col("text_digest") != F.col("first")))
+    key = F.struct(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("text_digest"))
+    # under names of our own, so that no column of the caller's is in the way
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    dropped = goes.select(F.struct("id", "text_digest").alias("key")).distinct()
+    rest = rows.join(dropped, "key", "left_anti")
+    again = staged(found.groupBy("id", "text_digest").count().where("count > 1").select(
+        F.struct("id", "text_digest").alias("key")), "repeated")
+    if not again.isEmpty():
+        rest = rest.join(again, "key", "left_anti").unionByName(
+            rest.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return rest.select("row.*")
 
 
 def _rest(reps: DataFrame, members: DataFrame, links: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
@@ -266,24 +319,23 @@ def _rest(reps: DataFrame, members: DataFrame, links: DataFrame, texts: DataFram
     differ by rare shingles, so those that are too far from each other hardly ever meet.
     """
     labels = staged(_labelled(reps, links), "components")
-    open_ = members.where("size > 2").select("key", "id").join(labels, "id")
+    open_ = members.where("size > 2").select("key", "node").join(labels, "node")
     mixed = open_.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
-    ids = staged(open_.join(mixed.select("key"), "key").select("id", "component").distinct(), "open")
-    if ids.isEmpty():
+    nodes = staged(open_.join(mixed.select("key"), "key").select("node", "component").distinct(), "open")
+    if nodes.isEmpty():
         return links
-    sets = staged(texts.join(ids.select("id").hint("shuffle_hash"), "id", "left_semi")
-                  .mapInArrow(_sets, "id long, set array<long>"), "shingle-sets").dropDuplicates(["id"])
-    each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    sets = _sets_of(nodes.select("node"), reps, texts)
+    each = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "shingle"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "shingle"))
     head = staged(each.join(often, "shingle", "left").withColumn("at", rank)
                   .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1).where("often > 1")
-                  .join(ids, "id").select("shingle", "id", "n", "at", "component"), "prefixes")
+                  .join(nodes, "node").select("shingle", "node", "n", "at", "component"), "prefixes")
     x, y = head.alias("x"), head.alias("y")
     pairs = x.join(y, F.expr(
-        "x.shingle = y.shingle and x.id < y.id and x.component <> y.component "
+        "x.shingle = y.shingle and x.node < y.node and x.component <> y.component "
         f"and 100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) "
         f"and {100 + similarity} * (1 + least(x.n - x.at, y.n - y.at)) >= {similarity} * (x.n + y.n)"
-    )).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    )).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return links.unionByName(
-        staged(_confirmed(staged(_plausible(pairs, reps, similarity), "pairs"), texts, similarity), "confirmed"))
+        staged(_confirmed(staged(_plausible(pairs, reps, similarity), "pairs"), reps, texts, similarity), "confirmed"))

@@ -461,7 +461,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         chance = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(_CHANCE)).alias("chance")
         features = some.select("id", chance, *some.columns[1:]).mapInArrow(
             compact, f"id {kind}, chance long, a array<int>, b array<int>")
-        rest = staged(features.join(known.select("id").hint("shuffle_hash"), "id", "left_anti").select("chance", "a", "b"), "features")
+        rest = staged(features.join(known.select("id").hint("merge"), "id", "left_anti").select("chance", "a", "b"), "features")
         n = rest.count()
         # every task passes on sums of its own for all features, so tasks follow the texts, not the files
         return keys, rest.coalesce(max(1, n // 20_000)), n

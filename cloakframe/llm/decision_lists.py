@@ -7,8 +7,12 @@ and is kept if it is precise enough there; what it covers goes, and the next one
 counts by feature and bin, so no row reaches the driver.  The list is emitted as one conditional expression.
 
 Defined cases: null and empty texts have zero words and fail the base rules; rows with null ids are scored like
-others; labels that are null, or whose id is not among the texts, teach nothing; with no labels, or labels of one
-kind only, the list is empty and the base rules alone decide.
+others, and rows that repeat an id each by its own text; labels that are null, or whose id is not among the texts,
+teach nothing; with no labels, or labels of one kind only, the list is empty and the base rules alone decide; the
+caller's columns travel in one struct ``row``, whatever their names are; texts are read whole.
+
+The list has at most ``max_rules`` rules of at most ``max_conditions`` thresholds, drawn from twice ``bins`` quantiles
+of each feature: parameters of the learner, alike at every size of the corpus.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ _NO_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the base counts in the struct ``stats``, and ``n_lines``, ``n_distinct`` and ``n_upper`` in it.
+    """(row, stats): the columns of ``docs`` in a struct, the base counts and ``n_lines``, ``n_distinct`` and
+    ``n_upper`` in another.
 
     Cost is that of sorting a text's three-word windows, and only texts that repeat one are sorted.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_w", words(F.col(text_col)))
+    text = F.coalesce(F.col("_t"), F.lit(""))
+    df = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("_t"))
+    df = df.withColumn("_w", words(F.col("_t")))
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     h = F.col("_h")
     df = df.withColumn("_g", F.when(F.size("_h") > 2, F.transform(
@@ -62,7 +68,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size(F.array_distinct("_h")).cast("long").alias("n_distinct"),
         F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
     )
-    return with_computed(df, "stats", stats).drop("_w", "_h", "_g", "_s", "_p", "_lines")
+    return with_computed(df, "stats", stats).select("row", "stats")
 
 
 def base_failed(stats: str = "stats") -> Column:
@@ -131,7 +137,7 @@ def learn(
     df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(given), "_id")
     df = with_statistics(df, "_t")
     names = list(features())
-    df = staged(df.select("_id", "_y", *[v.alias(k) for k, v in features().items()]), "labelled-statistics")
+    df = staged(df.select("row._id", "row._y", *[v.alias(k) for k, v in features().items()]), "labelled-statistics")
     cuts = _cuts(df, names, bins)
     if not cuts:
         return DecisionList()
@@ -206,7 +212,7 @@ def _grow(df: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, int]
 
 
 def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``stats``, ``base_failed``, ``rule`` (the first that holds) and ``kept``."""
+    """(row, stats, base_failed, rule, kept): ``row`` holds the columns of ``docs``, ``rule`` is the first that holds."""
     df = with_statistics(docs, text_col)
     return df.withColumns({
         "base_failed": base_failed(),

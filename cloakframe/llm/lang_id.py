@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import hash_sample
 
 PLACES, LONGEST = 1 << 15, 4
 UNKNOWN = "und"
@@ -156,16 +155,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [places(t.as_py()) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([a for a, _ in both], pa.list_(pa.int64())),
-            pa.array([c for _, c in both], pa.list_(pa.float32()))], names=["lang", "at", "count"])
+            pa.array([c for _, c in both], pa.list_(pa.float32())), batch.column(2)],
+            names=["lang", "at", "count", "at_random"])
+
+
+def _shares(counts: dict[str, int], sample: int, least: int) -> dict[str, float]:
+    """The part of each language's rows that is drawn: that of the sample, or what gives ``least`` rows."""
+    total = sum(counts.values())
+    return {k: min(1.0, max(sample / total, least / n)) for k, n in counts.items()}
 
 
 def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        sample: int = 4_000) -> Model:
+        sample: int = 4_000, least: int = 64) -> Model:
     """A model from the rows where ``may_learn`` holds and the language is given.
 
-    Document frequencies cover all of them; weights and temperature come from about ``sample`` rows chosen by a hash
-    of the id, of which a fifth is kept aside for the temperature.  Only hashed counts of the sample reach the
-    driver.
+    Languages and document frequencies cover all of them; weights and temperature come from about ``sample`` rows
+    chosen by a hash of the id, and of a rarer language from about ``least`` of its rows, or all it has, so that no
+    language of the table is unknown.  Every fifth row of a language is kept aside for the temperature.  Only counts
+    by language and hashed counts of the sample reach the driver.
     """
     known = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -173,20 +180,27 @@ def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: st
     for r in known.select("text").mapInArrow(_count_texts, "place long, n long").groupBy("place").agg(
             F.sum("n").alias("n")).collect():
         df[r["place"]] = r["n"]
-    rows = hash_sample(known, "id", sample).select("lang", "text").mapInArrow(
-        _features, "lang string, at array<long>, count array<float>").toArrow()
+    counts = {r["lang"]: r["count"] for r in known.where("id is not null").groupBy("lang").count().collect()}
     idf = np.log((1 + df.max()) / (1 + df)) + 1
-    languages = sorted(set(rows["lang"].to_pylist()))
+    languages = sorted(counts)
+    if not languages:
+        return Model([], idf, np.zeros((PLACES + 1, 0), np.float32))
+    shares = docs.sparkSession.createDataFrame(pa.table({
+        "lang": languages, "below": [int(_shares(counts, sample, least)[k] * (1 << 30)) for k in languages]}))
+    drawn = known.where("id is not null").join(F.broadcast(shares), "lang").where(
+        F.pmod(F.xxhash64("id", F.lit(0)), F.lit(1 << 30)) < F.col("below"))
+    rows = drawn.select("lang", "text", F.xxhash64("id", "text").alias("at_random")).mapInArrow(
+        _features, "lang string, at array<long>, count array<float>, at_random long").toArrow().sort_by("at_random")
     order = {name: i for i, name in enumerate(languages)}
-    data = []
+    data, aside, seen = [], [], dict.fromkeys(languages, 0)
     for lang, at, count in zip(rows["lang"].to_pylist(), rows["at"], rows["count"]):
         at, count = np.asarray(at.values), np.asarray(count.values)
         if len(at):
-            data.append((at, weighed(at, count, idf), order[lang]))
+            seen[lang] += 1
+            (data if seen[lang] % 5 or len(rows) < 50 else aside).append((at, weighed(at, count, idf), order[lang]))
     if not data:
         return Model([], idf, np.zeros((PLACES + 1, 0), np.float32))
-    aside = [r for i, r in enumerate(data) if i % 5 == 0] if len(data) >= 50 else []
-    weights = ftrl([r for i, r in enumerate(data) if i % 5] if aside else data, len(languages))
+    weights = ftrl(data, len(languages))
     model = Model(languages, idf, weights)
     if aside:
         z = np.array([v @ weights[at] + weights[PLACES] for at, v, _ in aside])

@@ -57,7 +57,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_classifier_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, chain).withColumnsRenamed({"id": "doc_id", "is_toxic": "toxic"})
+    found = toxicity.scored(docs, chain, keep=("doc_id",))
+    return found.select("row.doc_id", *(f"p_{n}" for n in chain.names), F.col("is_toxic").alias("toxic"))
 
 
 def remainder(id_col: str = "doc_id") -> Column:
@@ -96,7 +97,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = [r.kind for r in secret_scan.RULES if r.base]
     return found.select(
-        "doc_id", *map(kind, base),
+        "row.doc_id", *map(kind, base),
         F.sha2(_digest(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         _digest(F.col("spans")).alias("spans"))
 
@@ -106,7 +107,7 @@ def op9_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = decision_lists.learn(docs, table(spark, sf_dir, "labels"))
     return decision_lists.judged(docs, rules).select(
-        "doc_id", *[F.col("stats")[c].alias(c) for c in decision_lists.BASE], "base_failed", "kept", "rule")
+        "row.doc_id", *[F.col("stats")[c].alias(c) for c in decision_lists.BASE], "base_failed", "kept", "rule")
 
 
 @query

@@ -9,8 +9,8 @@ Places are code points.  They come from the lengths of the matches and of the pi
 many matches costs about as much as one with few.
 
 Defined cases: a null text is empty and has no findings; rows that repeat an id share their postings, and each is
-verified on its own text; a null id is indexed like any other; other columns pass through, and working columns have
-names with a leading underscore pair that a table is not expected to use.
+verified on its own text; a null id is indexed like any other; the caller's columns travel in one struct ``row``,
+whatever their names are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -164,20 +164,20 @@ _PRESENT = {"hex": "[0-9a-f]{16}"}
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, order, end, kind), sorted."""
-    found = candidates(docs, id_col, text_col, rules).select(
-        F.col("id").alias("__id"), F.col("kinds").alias("__kinds")).hint("shuffle_hash")
-    df = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """(row, spans): the columns of ``docs`` in a struct, and an array of (start, order, end, kind), sorted."""
+    found = candidates(docs, id_col, text_col, rules).select(F.col("id").alias("_id"), "kinds")
+    df = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    df = df.join(found, F.col("_key").eqNullSafe(F.col("_id")), "left")
+    text = F.coalesce(F.col("_text"), F.lit(""))
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
     parts = []
     for i, rule in enumerate(rules):
         if all(trigram_query(rule.pattern)):
-            asked = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
+            asked = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
         else:
             asked = text.rlike(_PRESENT.get(rule.kind, rule.pattern))
         parts.append(F.when(asked, spans_of(text, rule, i)).otherwise(none))
-    return with_computed(df, "spans", F.sort_array(F.concat(*parts))).drop("__kinds")
+    return with_computed(df, "spans", F.sort_array(F.concat(*parts))).select("row", "spans")
 
 
 def disjoint(spans: Column) -> Column:

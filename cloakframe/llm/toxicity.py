@@ -10,7 +10,8 @@ markers or more and *light* with one or two.
 
 Defined cases: null and empty texts have no features and are never toxic; rows with null ids or labels teach
 nothing; labels of one kind only, or none, give a constant chain that calls nothing toxic (or, where all labels are
-toxic, every text with a word).  Columns other than id and text are not read.
+toxic, every text with a word); rows that repeat an id are scored each by its own text; texts are read whole.  The
+caller's columns travel in one struct ``row``, whatever their names are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cloakframe.llm.common import hash_sample
 from cloakframe.llm.linear import Logistic, Rows, among, fit as fit_linear, logit, telling
@@ -111,25 +113,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_chain(rows, toxic) if len(rows) else Chain()
 
 
-def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text",
-           keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, probabilities by category, toxic), and the columns ``keep`` of ``docs`` as they are."""
+def scored(docs: DataFrame, chain: Chain, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(row, probabilities by category, is_toxic): ``row`` is a struct of the columns ``keep`` of ``docs``, or of all."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    given = docs.select(*[F.col(c) for c in keep], F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]),
-                        *(f"p_{n} double" for n in chain.names), "is_toxic boolean"])
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep)) if keep else docs
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("row"), F.col(text_col).alias("text"))
+    schema = StructType([StructField("row", kept.schema)])
+    for n in chain.names:
+        schema = schema.add(f"p_{n}", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = shared.value
         for batch in batches:
-            p = np.zeros((batch.num_rows, len(chain_().names)))
-            if chain_().models:
-                p = chain_().prob(Rows.of([keys_of(t.as_py()) for t in batch.column(len(keep) + 1)]))
+            p = np.zeros((batch.num_rows, len(chain.names)))
+            if chain.models:
+                p = chain.prob(Rows.of([keys_of(t.as_py()) for t in batch.column(1)]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array(p[:, i]) for i in range(p.shape[1])),
-                 pa.array(p[:, -1] >= chain_().threshold)],
-                names=[*batch.schema.names[:-1], *(f"p_{n}" for n in chain_().names), "is_toxic"])
+                [batch.column(0), *(pa.array(p[:, i]) for i in range(p.shape[1])),
+                 pa.array(p[:, -1] >= chain.threshold)],
+                names=["row", *(f"p_{n}" for n in chain.names), "is_toxic"])
 
-    def chain_() -> Chain:
-        return shared.value
-
-    return given.mapInArrow(run, fields).withColumnRenamed("__id", "id")
+    return given.mapInArrow(run, schema.add("is_toxic", "boolean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -71,3 +72,45 @@ def near_components(rows, similarity: int = 85) -> dict:
                 p, q = sorted((find(a), find(b)))
                 label[q] = p
     return {k: find(k) for k in label}
+
+
+def near_rows(rows, similarity: int = 85) -> dict:
+    """(doc_id, text) -> (smallest id reachable, all (doc_id, text) reachable), every text compared on its own."""
+    known = {r: shingle_set(r[1]) for r in rows if r[0] is not None and shingle_set(r[1])}
+    group = {r: {r} for r in known}
+    nodes = list(known)
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            x, y = known[a], known[b]
+            if group[a] is not group[b] and 100 * len(x & y) >= similarity * len(x | y):
+                both = group[a] | group[b]
+                for r in both:
+                    group[r] = both
+    return {r: (min(k for k, _ in g), g) for r, g in group.items()}
+
+
+def one_of_each(rows, similarity: int = 80) -> list:
+    """The rows that stay when each group of near duplicates keeps one text."""
+    found, seen, out = near_rows(rows, similarity), set(), []
+    for r in rows:
+        if r not in found:
+            out.append(r)
+            continue
+        least, group = found[r]
+        first = min((t for t in group if t[0] == least), key=lambda t: hashlib.sha256((t[1] or "").encode()).digest())
+        if r == first and r not in seen:
+            seen.add(r)
+            out.append(r)
+    return out
+
+
+#: Extra columns with the names that operators use for columns of their own.
+CLASHES = ("id", "key", "row", "stats", "kept", "rule", "base_failed", "spans", "is_toxic", "p_toxic", "text_digest", "group",
+           "component", "n", "same", "_w", "_t", "_text", "_key", "_lines", "__id", "__text", "kinds", "word count")
+
+
+def clashing(spark, rows):
+    """``rows`` as documents with every name of ``CLASHES`` as an extra column that tells the row."""
+    table = [(k, t, "en", "s", None, *(f"{c}{i}" for c in CLASHES)) for i, (k, t) in enumerate(rows)]
+    return spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"`{c}` string" for c in CLASHES)).repartition(3)

@@ -36,8 +36,8 @@ def test_toxicity_chain_on_held_out_texts(spark):
     rows, labels = labelled(spark, lambda w, i: [*w[:40], "vilebadword"[:9 + i % 3], *w[40:]])
     chain = toxicity.fit(docs(spark, rows), labels)
     got = toxicity.scored(docs(spark, rows + [(None, None), (900, "")]), chain).collect()
-    assert {r.id for r in got if r.is_toxic} == {i for i in range(0, 400, 4)}
-    assert len(got) == 402 and not any(r.is_toxic for r in got if r.id in (None, 900))
+    assert {r.row.doc_id for r in got if r.is_toxic} == {i for i in range(0, 400, 4)}
+    assert len(got) == 402 and not any(r.is_toxic for r in got if r.row.doc_id in (None, 900))
     for none in (labels.where("toxic = 0"), labels.where("doc_id < 0")):
         kept = toxicity.scored(docs(spark), toxicity.fit(docs(spark, rows), none))
         assert kept.where("is_toxic").count() == 0 and kept.count() == len(awkward())
@@ -105,6 +105,126 @@ def test_language_id_defined_cases(spark):
     assert lang_id.predicted(empty(spark), model).count() == 0
 
 
+def test_language_id_knows_rare_languages(spark):
+    """Three texts of 30,000: a uniform sample of 4,000 would hardly hold one."""
+    rows = [(i, " ".join(prose(1 + i % 2, 12))) for i in range(30_000)]
+    for i in (5, 11_111, 29_000):
+        rows[i] = (i, "αβγ δεζ " * 9)
+    df = docs(spark, rows).withColumn("lang", F.when(F.col("text").startswith("α"), "el").when(
+        F.col("doc_id") % 2 == 0, "la").otherwise("lb"))
+    model = lang_id.fit(df, F.lit(True))
+    assert model.languages == ["el", "la", "lb"]
+    got = {r.id: r.lang_pred for r in lang_id.predicted(
+        docs(spark, [(1, "γαδ βε δεζ"), (2, rows[2][1]), (3, rows[3][1])]), model).collect()}
+    assert got == {1: "el", 2: "la", 3: "lb"}
+    shares = lang_id._shares({"a": 10**9, "b": 3, "c": 1000}, 4000, 64)
+    assert shares["b"] == 1 and shares["c"] * 1000 == 64 and shares["a"] * 10**9 < 4001
+
+
+def test_ftrl_equals_a_plain_loop():
+    """The published update, one weight at a time."""
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        at = np.unique(draw.integers(0, 25, 6))
+        rows.append((at, draw.random(len(at)), i % 3))
+    got = lang_id.ftrl(rows, 3, passes=2, alpha=0.7, beta=1.3, l1=0.05, l2=0.2, seed=5)
+    z, n = {}, {}
+
+    def weight(i, k):
+        free = i == lang_id.PLACES
+        s, a, b = z.get((i, k), 0.0), 0 if free else 0.05, 0 if free else 0.2
+        return 0.0 if abs(s) <= a else -(s - np.sign(s) * a) / ((1.3 + n.get((i, k), 0.0) ** 0.5) / 0.7 + b)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for r in order.permutation(40):
+            x = {**dict(zip(rows[r][0].tolist(), rows[r][1].tolist())), lang_id.PLACES: 1.0}
+            e = np.exp([sum(v * weight(i, k) for i, v in x.items()) for k in range(3)])
+            for i, v in x.items():
+                for k in range(3):
+                    g = v * (e[k] / e.sum() - (rows[r][2] == k))
+                    before, w = n.get((i, k), 0.0), weight(i, k)
+                    # the other weights of the row must still be those before the update
+                    x_new = (z.get((i, k), 0.0) + g - ((before + g * g) ** 0.5 - before ** 0.5) / 0.7 * w, before + g * g)
+                    z[i, k], n[i, k] = x_new
+    want = np.array([[weight(i, k) for k in range(3)] for i in [*range(25), lang_id.PLACES]])
+    assert got[[*range(25), lang_id.PLACES]] == pytest.approx(want, abs=1e-5) and (want == 0).any()
+
+
+def test_chain_equals_models_fitted_one_by_one():
+    """A chain of plain logistic models; what a later one sees of the earlier ones comes from other folds."""
+    draw = np.random.default_rng(2)
+    lists = [np.unique(draw.integers(0, 40, 8)) for _ in range(240)]
+    toxic = np.array([(3 in x) or (7 in x and 9 in x) for x in lists])
+    rows = Rows.of(lists)
+    chain = toxicity.fit_chain(rows, toxic)
+    keys = telling(rows, toxic)
+    labels = toxicity._derived(rows, toxic, keys)
+
+    def plain_fit(lists, y, dense, keys):
+        """The same steps with dense rows."""
+        x = np.array([[float(k in set(r.tolist())) for k in keys] for r in lists]).reshape(len(lists), len(keys))
+        p = y.sum()
+        if p in (0, len(y)):
+            return lambda a, d: np.full(len(a), 1 / (1 + np.exp(-5.0 if p else 5.0)))
+        weight = np.where(y > 0, 0.5 / p, 0.5 / (len(y) - p))
+        use = x.sum(axis=0) >= 3
+        full = np.hstack([x, dense, np.ones((len(x), 1))])
+        w, m, s = (np.zeros(full.shape[1]) for _ in range(3))
+        for t in range(1, 61):
+            g = full.T @ (weight * (1 / (1 + np.exp(-np.clip(full @ w, -35, 35))) - y))
+            g[:len(keys)] *= use
+            g[:-1] += 1e-3 * w[:-1] / len(w) ** 0.5
+            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+            w = w - 0.15 * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-6)
+
+        def prob(lists, d):
+            x = np.array([[float(k in set(r.tolist())) for k in keys] for r in lists]).reshape(len(lists), len(keys))
+            return 1 / (1 + np.exp(-np.clip(np.hstack([x, d, np.ones((len(x), 1))]) @ w, -35, 35)))
+
+        return prob
+
+    fold, held, out = np.arange(240) % 4, np.zeros((240, 3)), np.zeros((240, 3))
+    logit = lambda p: np.log(np.clip(p, 1e-3, 1 - 1e-3) / (1 - np.clip(p, 1e-3, 1 - 1e-3)))
+    for i in range(3):
+        before = logit(held[:, :i])
+        for k in range(4):
+            seen = np.flatnonzero(fold != k)
+            own = telling(rows.take(seen), toxic[seen])
+            prob = plain_fit([lists[j] for j in seen], labels[seen, i], before[seen], own)
+            aside = np.flatnonzero(fold == k)
+            held[aside, i] = prob([lists[j] for j in aside], before[aside])
+        out[:, i] = plain_fit(lists, labels[:, i], before, keys)(lists, logit(out[:, :i]))
+    assert chain.prob(rows) == pytest.approx(out, abs=1e-6)
+
+
+def test_plan_is_best_fit_piece_by_piece():
+    """The plan by counts against one piece at a time: each into the fullest open bin, or a new one of least cost."""
+    draw = random.Random(9)
+    for lengths in ((16, 32, 64), (100,), (8, 64)):
+        for _ in range(20):
+            pieces = sorted((draw.randint(1, max(lengths)) for _ in range(draw.randint(1, 120))), reverse=True)
+            bins, left = [], sum(pieces)
+            for n in pieces:
+                fits = [b for b in bins if b[0] - sum(b[1]) >= n]
+                if fits:
+                    best = min(b[0] - sum(b[1]) for b in fits)
+                    # of equally full bins the one that was made so last, as the plan's stack of kinds does
+                    next(b for b in fits if b[0] - sum(b[1]) == best)[1].append(n)
+                else:
+                    size = min((s for s in lengths if s >= n), key=lambda s: packing.cost(s) / min(s, max(n, min(left, s))))
+                    bins.append((size, [n]))
+                left -= n
+            kinds = packing.plan({n: pieces.count(n) for n in set(pieces)}, lengths)
+            got = sorted(min(s for s in lengths if s >= sum(n * c for n, c in k.pieces)) for k in kinds for _ in range(k.count))
+            want = sorted(min(s for s in lengths if s >= sum(b)) for _, b in bins)
+            if len(lengths) == 1:
+                assert sorted(k.size - k.room for k in kinds for _ in range(k.count)) == sorted(sum(b) for _, b in bins)
+            # among several lengths, equally full bins of different sizes may be filled in another order
+            assert sum(got) <= 1.05 * sum(want) + max(lengths) and abs(len(got) - len(want)) <= 1 + len(want) // 20
+
+
 def test_ftrl_leaves_weights_at_zero_and_temperature_calibrates():
     draw = np.random.default_rng(0)
     rows = []
@@ -213,10 +333,10 @@ def test_pipeline_stages(spark, sf):
         out = spark.read.parquet(path)
         kept.append(out.count())
         if name != "packing":
-            assert out.columns == table.columns
+            assert out.columns == docs_.columns
         after = {r.doc_id: r["text"] for r in out.select("doc_id", "text").collect()} if "text" in out.columns else {}
         if name == "near duplicates":
-            want = near_components(list(before.items()))
+            want = near_components(list(before.items()), corpus_pipeline.NEAR)
             assert set(after) == {k for k in before if want[k] == k}
         if name == "secrets":
             assert set(after) == set(before)
@@ -228,7 +348,7 @@ def test_near_duplicate_stage_keeps_rows_without_id(spark):
     rows = awkward()
     df = docs(spark, rows)
     got = [r.doc_id for r in corpus_pipeline.unique(spark, df, "").select("doc_id").collect()]
-    want = near_components(rows)
+    want = near_components(rows, corpus_pipeline.NEAR)
     assert got.count(None) == 2
     assert sorted(k for k in got if k is not None) == sorted({k for k, _ in rows if k is not None and want[k] == k})
 

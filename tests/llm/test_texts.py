@@ -10,9 +10,11 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.llm import byte_bpe, circulant, decision_lists, imatch, secret_scan
+from cloakframe.llm import byte_bpe, circulant, decision_lists, imatch, secret_scan, toxicity
 from cloakframe.llm.queries import QUERIES
-from tests.llm.fixtures import WORD, awkward, docs, empty, near_components, prose, shingle_set
+from tests.llm.fixtures import (
+    CLASHES, WORD, awkward, clashing, docs, empty, near_components, near_rows, one_of_each, prose, shingle_set,
+)
 
 
 def test_near_classes_against_all_pairs(spark):
@@ -50,6 +52,41 @@ def test_near_classes_at_other_similarities(spark, similarity):
     assert 0 < circulant.agree_floor(similarity) < 5 * circulant.band_count(similarity) * similarity / 100
 
 
+def test_texts_that_share_an_id_are_compared_each_on_its_own(spark):
+    a, c, d = (" ".join(prose(40 + i, 60)) for i in range(3))
+    near = a.replace(a.split()[30], "other")
+    rows = [(3, a), (7, a), (7, c), (7, d), (7, d), (9, near), (7, near), (0, c), (1, None), (7, ""), (None, a)]
+    rows += [(0, " ".join(prose(60 + i, 50))) for i in range(20)]
+    want = near_rows(rows)
+    got = circulant.near_classes(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    digest = {hashlib.sha256((t or "").encode()).digest(): (t or "") for _, t in rows}
+    for r in got:
+        text = digest[bytes(r.text_digest)]
+        assert r.component == (want[r.id, text][0] if (r.id, text) in want else r.id)
+    for similarity in (80, 85):
+        kept = circulant.one_of_each(docs(spark, rows), similarity=similarity).select("doc_id", "text").collect()
+        assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, one_of_each(rows, similarity)))
+
+
+def test_extra_columns_pass_whatever_their_names(spark):
+    rows = awkward() + [(300, "token = abcdefghijklmnop " + " ".join(prose(3, 80)))]
+    df = clashing(spark, rows)
+    given = {r.key: r.asDict() for r in df.collect()}
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    chain = toxicity.Chain()
+    outs = {
+        "quality": decision_lists.judged(df, decision_lists.learn(df, none)).where("kept").select("row.*"),
+        "toxicity": toxicity.scored(df, chain).where("not is_toxic").select("row.*"),
+        "near": circulant.one_of_each(df, similarity=80), "secrets": secret_scan.with_spans(df).select("row.*"),
+    }
+    for name, out in outs.items():
+        assert out.columns == df.columns, name
+        kept = out.collect()
+        assert kept and all(r.asDict() == given[r.key] for r in kept), name
+    assert len(CLASHES) > 20
+
+
 def test_signature_is_a_shifted_permutation():
     scatter, shifted = circulant._permutations()
     assert sorted(scatter[:5]) != list(scatter[:5]) and len(set(scatter.tolist())) == circulant.PLACES
@@ -78,7 +115,7 @@ def plain_statistics(text):
 
 def test_statistics_against_plain_counting(spark):
     rows = awkward() + [(200, "a b c a b c a b c d"), (201, "# a|b <c> &amp; a|b"), (202, "x " * 400)]
-    got = decision_lists.with_statistics(docs(spark, rows).drop("stats")).select("text", "stats.*").collect()
+    got = decision_lists.with_statistics(docs(spark, rows)).select("row.text", "stats.*").collect()
     for r in got:
         assert tuple(r[c] for c in decision_lists.BASE) == plain_statistics(r["text"])
 
@@ -94,11 +131,11 @@ def test_decision_list_learns_orders_and_filters(spark):
     given = spark.createDataFrame(labels, "doc_id long, quality int")
     rules = decision_lists.learn(docs(spark, rows), given)
     assert rules.rules and all(str(c) for r in rules.rules for c in r)
-    out = decision_lists.judged(docs(spark, rows).drop("stats"), rules).where("kept").select("doc_id").collect()
+    out = decision_lists.judged(docs(spark, rows), rules).where("kept").select("row.doc_id").collect()
     assert {r.doc_id for r in out} == {i for i, y in labels if y}
     assert not decision_lists.learn(docs(spark, rows), given.where("quality = 1")).rules
     assert not decision_lists.learn(empty(spark), given).rules
-    assert decision_lists.judged(empty(spark).drop("stats"), rules).count() == 0
+    assert decision_lists.judged(empty(spark), rules).count() == 0
 
 
 def test_secret_spans_against_plain_search(spark):
@@ -110,7 +147,7 @@ def test_secret_spans_against_plain_search(spark):
         (303, "-----BEGIN RSA PRIVATE KEY----- xoxb-1234567890-abc eyJabcdefghijklmnop.qrstuvwxyz012345.6789abcdefghij"),
         (304, "ſecret=abcdefghijklmnop toKen=abcdefghijklmnop AIza" + "b" * 35), (None, f"{key} password=aaaabbbbccccdddd"),
     ]
-    got = secret_scan.with_spans(docs(spark, rows)).select("doc_id", "text", "spans").collect()
+    got = secret_scan.with_spans(docs(spark, rows)).select("row.doc_id", "row.text", "spans").collect()
     assert len(got) == len(rows)
     for r in got:
         want = []
@@ -119,9 +156,9 @@ def test_secret_spans_against_plain_search(spark):
                 if len(m[rule.group]) >= rule.least:
                     want.append((m.start(), i, m.end(), rule.kind))
         assert [tuple(s) for s in r["spans"]] == sorted(want), r["doc_id"]
-    clean = secret_scan.with_spans(docs(spark, rows)).withColumn(
-        "text", secret_scan.redacted(F.col("text"), F.col("spans")))
-    assert secret_scan.with_spans(clean.drop("spans")).where("size(spans) > 0").count() == 0
+    clean = secret_scan.with_spans(docs(spark, rows)).select(
+        "row.doc_id", secret_scan.redacted(F.col("row.text"), F.col("spans")).alias("text"))
+    assert secret_scan.with_spans(clean).where("size(spans) > 0").count() == 0
     assert secret_scan.with_spans(empty(spark)).count() == 0
 
 
