@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, toxicity, near duplicates, secrets, packing.
 
 Each stage takes what its predecessor kept and calls one operator.  All but the last return the columns of
-``documents``; extra columns pass through the filtering stages.  Models are fitted on the stage's own input and the
+``documents``; extra columns pass through the filtering stages as they are, whatever their names.  Models are fitted on the stage's own input and the
 table ``labels``.  Null and empty texts fail the quality rules (no words), so later stages rarely see them; each
 operator defines them all the same.
 """
@@ -19,13 +19,13 @@ from cloakframe.sources.staging import staged
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that fail the base rules or that a learned rule rejects."""
     rules = decision_lists.learn(docs, table(spark, sf_dir, "labels"))
-    return decision_lists.judged(docs, rules).where("kept").select(docs.columns)
+    return decision_lists.judged(docs, rules).where("kept").select("row.*")
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that the chain calls toxic."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, chain, keep=tuple(docs.columns)).where(~F.col("is_toxic")).select(docs.columns)
+    return toxicity.scored(docs, chain).where(~F.col("is_toxic")).select("row.*")
 
 
 #: The least Jaccard similarity of near duplicates in the corpus, in per cent.
@@ -33,23 +33,15 @@ NEAR = 80
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates, once; rows without id or words stay."""
-    found = circulant.near_classes(docs, similarity=NEAR)
-    dropped = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component"))).select(
-        F.col("id").alias("doc_id")).distinct()
-    rest = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti")
-    again = found.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1").select(
-        F.col("id").alias("doc_id"))
-    if again.isEmpty():
-        return rest.select(docs.columns)
-    repeated = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(again, "doc_id", "left_anti").unionByName(repeated).select(docs.columns)
+    """Keeps one text of each group of near duplicates, that of the smallest id, once; rows without id or words stay."""
+    return circulant.one_of_each(docs, similarity=NEAR)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; no text is dropped."""
     found = secret_scan.with_spans(docs)
-    return found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans"))).select(docs.columns)
+    text = secret_scan.redacted(F.col("row.text"), F.col("spans"))
+    return found.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
