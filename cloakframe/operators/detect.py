@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions import checksums
+from cloakframe.functions.arrays import first_of_runs, running_max, running_sums
 from cloakframe.functions.patterns import DIGIT_CLASSES, TITLE_LEAD, TITLES, Entity, Shape
 from cloakframe.functions.text import code_points, let, piece, snippet, with_computed
-from cloakframe.operators.resolve import clusters
+from cloakframe.operators.resolve import FEW, clusters, in_merge_order
 from cloakframe.policy import Policy, registered_entities
 
 # How much a nearby context word adds, the least score it lifts to, and the reach.
@@ -25,11 +26,15 @@ CONTEXT_TOKENS = 5
 # before the match is used, so the reach is always exact.
 _WINDOW = 120
 
+# So many matches of a shape are looked up in the text one by one; more are placed by a second pass of the regex.
+_LOOKED_UP = 4
+
 DETECTOR = "patterns"
 
 
 # Working columns next to the caller's own.
 _TEXT, _LOW, _RUNS, _HITS = "_cf_text", "_cf_low", "_cf_runs", "_cf_hits"
+_RAW, _SORTED, GROUPS = "_cf_raw", "_cf_sorted", "_cf_groups"
 _DIGIT_COLUMN = {"#1": "_cf_d1", "#6": "_cf_d6", "#8": "_cf_d8", "#13": "_cf_d13"}
 
 
@@ -55,10 +60,10 @@ def _presence_sql(shape: Shape) -> str:
 
 
 def _hit_sql(order: int, shape: Shape) -> str:
-    """The matches of one shape, or null.  Where a matched value occurs once in the text its place is
-    known; only where one occurs again is the text between the matches (``g``) needed to place it."""
+    """The matches of one shape, or null.  Where a few matched values occur once each in the text their places are
+    known; only where one occurs again, or there are more, is the text between the matches (``g``) needed."""
     regex = _raw(shape.anchored())
-    again = f"exists(m, v -> locate(v, {_TEXT}, instr({_TEXT}, v) + 1) > 0)"
+    again = f"size(m) > {_LOOKED_UP} OR exists(m, v -> locate(v, {_TEXT}, instr({_TEXT}, v) + 1) > 0)"
     return (
         f"CASE WHEN {_presence_sql(shape)} THEN get(transform("
         f"array(regexp_extract_all({_TEXT}, {regex}, 0)), m -> CASE WHEN size(m) > 0 THEN "
@@ -121,17 +126,9 @@ def positions(hit: Column, text: Column | None = None) -> Column:
 
 
 def _counted(hit: Column) -> Column:
-    empty = F.array().cast("array<struct<start:int,value:string>>")
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, value: Column) -> Column:
-        start = acc["at"] + F.length(F.get(hit["g"], acc["i"]))
-        return F.struct(
-            (acc["i"] + 1).alias("i"), (start + F.length(value)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), value.alias("value")))).alias("out"),
-        )
-
-    return F.aggregate(hit["m"], state, step, lambda acc: acc["out"])
+    steps = F.transform(hit["m"], lambda v, i: F.length(F.get(hit["g"], i)) + F.length(v))
+    return let(running_sums(steps), lambda ends: F.transform(hit["m"], lambda v, i: F.struct(
+        (F.get(ends, i) - F.length(v)).cast("int").alias("start"), v.alias("value"))))
 
 
 def _without_title(found: Column) -> Column:
@@ -220,8 +217,9 @@ def _cards(raw: Column, points: Column) -> Column:
 
 
 def _with_cards(found: Column, points: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(
+    cards = F.array_sort(F.flatten(F.transform(
         found, lambda raw: F.when(checksums.card(raw["value"]), F.array(raw)).otherwise(_cards(raw, points)))))
+    return let(cards, lambda c: first_of_runs(c, lambda a, b: (a["start"] == b["start"]) & (a["value"] == b["value"])))
 
 
 def _scored(hit: Column, fact: Column, points: Column, n_chars: Column, entities, with_context: bool) -> Column:
@@ -289,11 +287,29 @@ def before(a: Column, b: Column) -> Column:
 
 def drop_contained(cluster: Column) -> Column:
     """Removes a span that lies inside an earlier (``before``) span of the same type."""
-    return F.when(F.size(cluster) < 2, cluster).otherwise(F.filter(
+    few = F.filter(
         cluster,
         lambda f: ~F.exists(cluster, lambda g: (g["pii_type"] == f["pii_type"]) & (g["start"] <= f["start"])
                             & (g["end"] >= f["end"]) & before(g, f)),
-    ))
+    )
+
+    def sorted_of(kind: Column) -> Column:
+        # whatever contains a span stands before it here, and of equal spans the one that stays
+        return F.transform(F.array_sort(F.transform(F.filter(cluster, lambda f: f["pii_type"] == kind), lambda f: F.struct(
+            f["start"].alias("start"), (-f["end"]).alias("end"), (-f["confidence"]).alias("sure"), f["ord"].alias("ord"),
+            f.alias("f")))), lambda x: x["f"])
+
+    def free(of_kind: Column, levels: Column) -> Column:
+        # for each level of confidence, how far the spans that are at least so sure reach
+        reach = F.transform(levels, lambda c: running_max(F.transform(of_kind, lambda f: F.when(
+            f["confidence"] >= c, f["end"]).otherwise(-1))))
+        return let(reach, lambda r: F.filter(of_kind, lambda f, i: (i == 0) | (
+            F.get(F.get(r, F.array_position(levels, f["confidence"]).cast("int") - 1), i - 1) < f["end"])))
+
+    kinds = F.array_distinct(F.transform(cluster, lambda f: f["pii_type"]))
+    many = in_merge_order(F.flatten(F.transform(kinds, lambda k: let(sorted_of(k), lambda o: let(
+        F.array_distinct(F.transform(o, lambda f: f["confidence"])), lambda levels: free(o, levels))))))
+    return F.when(F.size(cluster) < 2, cluster).when(F.size(cluster) <= FEW, few).otherwise(many)
 
 
 def stripped(text: Column) -> Column:
@@ -333,20 +349,21 @@ def passes(f: Column, policy: Policy) -> Column:
     return ok & ~is_false_positive(f["pii_type"], f["value"], policy.false_positive_words)
 
 
-def found_clusters(policy: Policy, with_context: bool = False) -> Column:
-    """Groups of overlapping findings, left to right, after the analysis step.  No span of one group
-    touches a span of another, so everything that compares spans can stay inside a group."""
-    return F.transform(
-        clusters(raw_findings(policy, with_context)),
-        lambda c: F.filter(drop_contained(c), lambda f: passes(f, policy)),
-    )
+def with_groups(df: DataFrame, text_col: str, policy: Policy, with_context: bool = False) -> DataFrame:
+    """``with_hits`` and the column ``GROUPS``: groups of overlapping findings, left to right, after the analysis step.
+    No span of one group touches a span of another, so everything that compares spans can stay inside a group.
+
+    Each step is a column of its own: the analyzer resolves nested lambdas a level a round, and its rounds are limited.
+    """
+    df = with_hits(df, text_col, policy).withColumn(_RAW, raw_findings(policy, with_context))
+    df = df.withColumn(_SORTED, clusters(F.col(_RAW))).withColumn(_SORTED, F.transform(_SORTED, drop_contained))
+    return df.withColumn(GROUPS, F.transform(_SORTED, lambda c: F.filter(c, lambda f: passes(f, policy))))
 
 
 def with_findings(df: DataFrame, text_col: str, policy: Policy | None = None, name: str = "findings") -> DataFrame:
     """``df`` with one more column: the array of the row's findings."""
-    hits = with_hits(df, text_col, policy or Policy())
-    found = F.flatten(found_clusters(policy or Policy(), with_context=True))
-    return with_computed(hits, name, found).select(*df.columns, name)
+    groups = with_groups(df, text_col, policy or Policy(), with_context=True)
+    return with_computed(groups, name, F.flatten(GROUPS)).select(*df.columns, name)
 
 
 def detect(df: DataFrame, text_col: str, ids: list[str], policy: Policy | None = None,
@@ -354,11 +371,10 @@ def detect(df: DataFrame, text_col: str, ids: list[str], policy: Policy | None =
     """One row per finding: ``ids`` and the findings schema; for counts and values, leave out the snippets."""
     policy = policy or Policy()
     needed = df.select(*dict.fromkeys([*ids, text_col]))
-    found = F.flatten(found_clusters(policy, with_context))
     # explode_outer plus a test on its result: a plain explode would add size(...) > 0 below itself and
     # the optimizer would evaluate all regexes once more for it
     return (
-        with_hits(needed, text_col, policy).select(*ids, F.explode_outer(found).alias("_f"))
+        with_groups(needed, text_col, policy, with_context).select(*ids, F.explode_outer(F.flatten(GROUPS)).alias("_f"))
         .where(F.col("_f").isNotNull())
         .select(*ids, "_f.pii_type", "_f.value", "_f.start", "_f.end", "_f.confidence",
                 *["_f.context"] * with_context, "_f.detector", "_f.shape", "_f.ord")

@@ -1,56 +1,35 @@
-"""Names and places by gazetteer: the words of the texts joined to a table of known words."""
+"""Names and places by gazetteer, listed values by deny table: findings from tables of any size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import code_points, let, snippet
-from cloakframe.operators.detect import detect, is_false_positive, person_type, positions
-from cloakframe.operators.lookup import lookup
+from cloakframe.operators import dictionary
+from cloakframe.operators.detect import detect, is_false_positive, person_type
 from cloakframe.policy import Policy
 
-WORD = r"\p{Lu}\p{L}+(?:['-]\p{L}+)*"
-
-
-def words(df: DataFrame, text_col: str, ids: list[str]) -> DataFrame:
-    """One row per capitalised word: ``ids``, key (lower case), value, start, end, preceding (the ten
-    characters before it) and context."""
-    text = F.col(text_col)
-
-    def located(hit):
-        return let(F.struct(code_points(text).alias("p"), F.length(text).alias("n")), lambda t: F.transform(
-            positions(hit),
-            lambda w: F.struct(
-                F.lower(w["value"]).alias("key"), w["value"].alias("value"), w["start"].alias("start"),
-                (w["start"] + F.length(w["value"])).alias("end"),
-                F.substring(text, F.greatest(w["start"] - 10, F.lit(0)) + 1, F.least(w["start"], F.lit(10))).alias("preceding"),
-                snippet(t["p"], t["n"], w["start"], w["start"] + F.length(w["value"])).alias("context"),
-            )))
-
-    hit = F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("m"), F.split(text, WORD, -1).alias("g"))
-    found = df.select(*ids, let(hit, located).alias("_w"))
-    return (
-        found.select(*ids, F.explode_outer("_w").alias("_w")).where(F.col("_w").isNotNull()).select(*ids, "_w.*")
-    )
-
 
 def detect_gazetteer(df: DataFrame, text_col: str, ids: list[str], gazetteer: DataFrame,
                      policy: Policy | None = None, score: float = 0.85) -> DataFrame:
-    """Findings for every word listed in ``gazetteer`` (key in lower case, pii_type), after the
-    false-positive words and the organisation/place -> person rule."""
+    """Findings for every name listed in ``gazetteer`` (key of one or more words, pii_type), leftmost-longest, then
+    without the false-positive words and after the organisation/place -> person rule."""
     policy = policy or Policy()
-    found = lookup(words(df, text_col, ids), gazetteer.select("key", "pii_type"), ["key"], "inner")
+    found = dictionary.matches(df, text_col, ids, dictionary.prepared(gazetteer), score, "gazetteer")
     found = found.where(~is_false_positive(F.col("pii_type"), F.col("value"), policy.false_positive_words))
-    return found.select(
-        *ids, person_type(F.col("pii_type"), F.col("value"), F.col("preceding")).alias("pii_type"), "value",
-        "start", "end", F.lit(score).alias("confidence"), "context", F.lit("gazetteer").alias("detector"),
-        F.lit("known_word").alias("shape"), F.lit(1_000_000).alias("ord"),
-    )
+    return found.withColumn("pii_type", person_type(F.col("pii_type"), F.col("value"), F.col("preceding"))).drop("preceding")
 
 
 def detect_person(df: DataFrame, text_col: str, ids: list[str], gazetteer: DataFrame,
                   policy: Policy | None = None) -> DataFrame:
-    """Titled names and gazetteer words, as one findings table."""
+    """Titled names and gazetteer names, as one findings table."""
     titled = detect(df, text_col, ids, (policy or Policy()).but(entities=("PERSON",)))
     return titled.unionByName(detect_gazetteer(df, text_col, ids, gazetteer, policy))
+
+
+def detect_denied(df: DataFrame, text_col: str, ids: list[str], denied: DataFrame,
+                  value_col: str = "value", pii_type: str = "DENIED") -> DataFrame:
+    """Findings for every value of a deny table that stands free in a text, whatever else detects it."""
+    keys = denied.select(F.col(value_col).alias("key"), F.lit(pii_type).alias("pii_type"))
+    return dictionary.matches(df, text_col, ids, dictionary.prepared(keys, dictionary.LITERALS), 1.0, "deny_list",
+                              2_000_000).drop("preceding")

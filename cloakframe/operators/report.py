@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.strategies import strategy_name
 from cloakframe.policy import Policy
+from cloakframe.sources.staging import staged
 
 
 def count_found_per_doc(done: DataFrame, ids: list[str]) -> DataFrame:
@@ -44,7 +45,7 @@ def entity_frequency(findings: DataFrame, by: str | None = None) -> DataFrame:
 
 def first_errors(done: DataFrame, key: str, n: int = 5) -> DataFrame:
     """The first ``n`` failed texts, and one more row (without a key) saying how many others there are."""
-    failed = done.where(F.col("status") == "failed").select(F.col(key).cast("string").alias(key), "error")
+    failed = staged(done.where(F.col("status") == "failed").select(F.col(key).cast("string").alias(key), "error"), "failed")
     rest = failed.agg(F.count("*").alias("_n")).where(F.col("_n") > n).select(
         F.lit(None).cast("string").alias(key),
         F.concat(F.lit("... and "), F.col("_n") - n, F.lit(" more errors")).alias("error"))

@@ -1,20 +1,19 @@
 """Findings -> the disjoint spans that are rewritten.
 
 Two forms with one rule.  ``kept_spans`` works on the findings of a row and needs no shuffle.
-``resolve_table`` works on a findings table that comes from several detectors; it cuts every text
-into groups of overlapping spans first, so no task ever holds more than one such group, however many
-findings one text (or one hot id) has.
+``resolve_table`` works on a findings table that comes from several detectors; it streams the sorted findings of
+every stripe of a text, so no task holds more than a current span, however many findings one text (or one hot id) has.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cloakframe.functions.arrays import first_of_runs, folded, running_max
 from cloakframe.functions.text import let
+from cloakframe.operators import folds
 from cloakframe.policy import Policy
-from cloakframe.sources.staging import staged
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -65,34 +64,24 @@ def in_merge_order(spans: Column) -> Column:
     return F.when(F.size(spans) < 2, spans).otherwise(F.array_sort(spans, _leftmost_first))
 
 
-def _append(done: Column, item: Column) -> Column:
-    return F.concat(done, F.array(item))
-
-
 def clusters(spans: Column) -> Column:
     """Sorts the spans and cuts them where a span starts at or after the end of all before it."""
 
-    def cut(ordered: Column) -> Column:
-        start = F.struct(F.slice(ordered, 1, 0).alias("cur"), F.lit(-1).alias("reach"),
-                         F.array(F.slice(ordered, 1, 0)).alias("done"))
+    def cut(o: Column, reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (
+            F.get(o, i)["start"] >= F.get(reach, i - 1)))
+        return let(heads, lambda h: F.transform(h, lambda i, k: F.slice(
+            o, i + 1, F.coalesce(F.get(h, k + 1), F.size(o)) - i)))
 
-        def step(acc: Column, s: Column) -> Column:
-            inside = s["start"] < acc["reach"]
-            return F.when(
-                inside,
-                F.struct(_append(acc["cur"], s).alias("cur"), F.greatest(acc["reach"], s["end"]).alias("reach"),
-                         acc["done"].alias("done")),
-            ).otherwise(
-                F.struct(F.array(s).alias("cur"), s["end"].alias("reach"),
-                         _append(acc["done"], acc["cur"]).alias("done")))
+    def cut_at_reach(o: Column) -> Column:
+        return let(running_max(F.transform(o, lambda s: s["end"])), lambda reach: cut(o, reach))
 
-        return F.filter(
-            F.aggregate(ordered, start, step, lambda acc: _append(acc["done"], acc["cur"])),
-            lambda c: F.size(c) > 0,
-        )
+    return let(let(spans, in_merge_order), lambda o: F.when(F.size(o) == 0, F.slice(F.array(o), 1, 0)).when(
+        F.size(o) == 1, F.array(o)).otherwise(cut_at_reach(o)))
 
-    ordered = let(spans, in_merge_order)
-    return let(ordered, lambda o: F.when(F.size(o) == 1, F.array(o)).otherwise(cut(o)))
+
+# Up to so many spans in a cluster are compared each with each; beyond, they are sorted and compared with neighbours.
+FEW = 24
 
 
 def dedup(cluster: Column) -> Column:
@@ -103,8 +92,12 @@ def dedup(cluster: Column) -> Column:
         earlier = F.slice(cluster, F.lit(1), i)
         return F.when(~F.exists(earlier, lambda g: same(g, f)), f)
 
-    return F.when(F.size(cluster) < 2, cluster).otherwise(
-        F.filter(F.transform(cluster, first_of), lambda f: f.isNotNull()))
+    few = F.filter(F.transform(cluster, first_of), lambda f: f.isNotNull())
+    placed = F.array_sort(F.transform(cluster, lambda f, i: F.struct(
+        f["start"].alias("start"), f["end"].alias("end"), f["pii_type"].alias("pii_type"), i.alias("i"))))
+    many = F.transform(F.array_sort(F.transform(let(placed, lambda p: first_of_runs(p, same)), lambda p: p["i"])),
+                       lambda i: F.get(cluster, i))
+    return F.when(F.size(cluster) < 2, cluster).when(F.size(cluster) <= FEW, few).otherwise(many)
 
 
 def merge(cluster: Column) -> Column:
@@ -115,22 +108,18 @@ def merge(cluster: Column) -> Column:
         return (n["confidence"] > cur["confidence"]) | (
             (n["confidence"] == cur["confidence"]) & ((n["end"] - n["start"]) > (cur["end"] - cur["start"])))
 
-    def step(acc: Column, n: Column) -> Column:
-        cur = acc["cur"]
+    def step(cur: Column, n: Column) -> Column:
         hit = overlaps(cur, n)
         return F.struct(
             F.when(hit & ~better(n, cur), cur).otherwise(n).alias("cur"),
-            F.when(hit, acc["done"]).otherwise(_append(acc["done"], cur)).alias("done"),
-        )
+            F.when(hit, F.slice(cluster, 1, 0)).otherwise(F.array(cur)).alias("done"))
 
-    start = F.struct(F.get(cluster, F.lit(0)).alias("cur"), F.slice(cluster, 1, 0).alias("done"))
     return F.when(F.size(cluster) < 2, cluster).otherwise(
-        F.aggregate(F.slice(cluster, F.lit(2), F.size(cluster)), start, step,
-                    lambda acc: _append(acc["done"], acc["cur"])))
+        folded(F.slice(cluster, F.lit(2), F.size(cluster)), F.get(cluster, F.lit(0)), F.slice(cluster, 1, 0), step))
 
 
 def kept_spans(found: Column, policy: Policy) -> Column:
-    """``found`` as from ``detect.found_clusters``: allow and deny lists, then dedupe, then merge."""
+    """``found`` as from ``detect.with_groups``: allow and deny lists, then dedupe, then merge."""
     return F.flatten(F.transform(
         found,
         lambda c: let(let(F.filter(c, lambda f: survives_lists(f["value"], policy)), dedup), merge),
@@ -151,46 +140,11 @@ def dedup_table(findings: DataFrame, ids: list[str]) -> DataFrame:
     )
 
 
-def overlap_groups(findings: DataFrame, ids: list[str], stripe: int = 1 << 16) -> DataFrame:
-    """Adds ``_group``: the start of the group of overlapping spans a finding belongs to.
-
-    A group begins where no earlier span reaches.  The running reach is taken inside stripes of the
-    text and carried from stripe to stripe through a table of one row per stripe, so a text with very
-    many findings is spread over as many tasks as it has stripes.
-    """
-    f = staged(findings.withColumn("_stripe", F.floor(F.col("start") / stripe)), "spans")
-    per_stripe = f.groupBy(*ids, "_stripe").agg(F.max("end").alias("_max_end"))
-    earlier_stripes = W.partitionBy(*ids).orderBy("_stripe").rowsBetween(W.unboundedPreceding, -1)
-    carried = per_stripe.select(*ids, "_stripe", F.max("_max_end").over(earlier_stripes).alias("_carried"))
-    f = f.join(carried, [*ids, "_stripe"])
-
-    earlier = W.partitionBy(*ids, "_stripe").orderBy("start", "end", "ord").rowsBetween(W.unboundedPreceding, -1)
-    reach = F.greatest(F.max("end").over(earlier), F.col("_carried"))
-    f = f.withColumn("_first", F.when(reach.isNull() | (F.col("start") >= reach), F.col("start")))
-
-    # last group start at or before this finding: same two levels
-    starts = f.groupBy(*ids, "_stripe").agg(F.max("_first").alias("_last_first"))
-    open_before = starts.select(*ids, "_stripe", F.max("_last_first").over(earlier_stripes).alias("_open"))
-    upto = W.partitionBy(*ids, "_stripe").orderBy("start", "end", "ord").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        f.join(open_before, [*ids, "_stripe"])
-        .withColumn("_group", F.coalesce(F.max("_first").over(upto), F.col("_open")))
-        .drop("_stripe", "_carried", "_first", "_open")
-    )
-
-
 def merge_table(findings: DataFrame, ids: list[str]) -> DataFrame:
-    """The merge over a findings table.  Equal starts keep the order of ``ord``."""
-    rest = [c for c in findings.columns if c not in (*ids, "start", "end", "ord", "confidence", "pii_type")]
-    span = F.struct("start", "ord", "end", "confidence", "pii_type", *rest)
-    grouped = overlap_groups(findings, ids).groupBy(*ids, "_group").agg(F.array_sort(F.collect_list(span)).alias("_c"))
-    return (
-        grouped.select(*ids, merge(F.col("_c")).alias("_kept"))
-        .select(*ids, F.explode_outer("_kept").alias("_k"))
-        .select(*ids, "_k.*")
-    )
+    """Dedupe and merge over a findings table, in one sort: equal starts keep the order of ``ord``."""
+    return folds.folded(findings, ids)
 
 
 def resolve_table(findings: DataFrame, ids: list[str], policy: Policy) -> DataFrame:
     listed = findings.where(survives_lists(F.col("value"), policy))
-    return merge_table(dedup_table(listed, ids), ids)
+    return merge_table(listed, ids)

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.strategies import rewriter
 from cloakframe.functions.text import let, splice, with_computed
-from cloakframe.operators.detect import found_clusters, with_hits
+from cloakframe.operators.detect import GROUPS, with_groups
 from cloakframe.operators.resolve import kept_spans
 from cloakframe.policy import Policy
 
 
 def analysed(policy: Policy) -> Column:
-    """struct(found, kept) over the columns of ``with_hits``: how many findings the analysis reported,
+    """struct(found, kept) over the columns of ``with_groups``: how many findings the analysis reported,
     and the spans to rewrite."""
     return let(
-        found_clusters(policy),
+        F.col(GROUPS),
         lambda c: F.struct(
             F.aggregate(c, F.lit(0), lambda n, g: n + F.size(g)).alias("found"),
             kept_spans(c, policy).alias("kept"),
@@ -47,7 +47,8 @@ def rewrite_text(df: DataFrame, text_col: str, policy: Policy | None = None) ->
             )).alias("entries"),
         )
 
-    done = with_computed(with_hits(df, text_col, policy), "_r", let(analysed(policy), result))
+    analysis = with_groups(df, text_col, policy).withColumn("_cf_analysis", analysed(policy))
+    done = with_computed(analysis, "_r", let(F.col("_cf_analysis"), result))
     return done.select(
         *[F.col("_r.text").alias(c) if c == text_col else F.col(c) for c in df.columns],
         "_r.pii_found", "_r.pii_anonymized", "_r.entries",

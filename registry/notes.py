@@ -50,3 +50,16 @@ TEXT = (
 NOTES = f"SELECT o_orderkey AS id, {TEXT} AS text FROM orders"
 DOCUMENTS = "SELECT doc_id AS id, text FROM documents"
 PAGES = "SELECT page_id AS id, html AS text FROM pages"
+
+# A note with names of the tables in it: its customer, the customer's nation and region, and a part.
+_PART = ("CASE o_orderkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', concat(chr(10), ' ')) "
+         "ELSE concat('x-', p_name) END")
+LETTER = (f"concat({TEXT}, ' for ', c_name, CASE WHEN o_orderkey % 3 = 0 THEN ', Dr ' ELSE ' of ' END, r_name, ' (', n_name, '): ', "
+          f"{_PART}, CASE WHEN o_orderkey % 5 = 0 THEN '-like ' ELSE '. ' END, lower(r_name), ' ', p_name, ' ', p_name)")
+_FROM = """orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+JOIN region ON r_regionkey = n_regionkey JOIN part ON p_partkey = o_custkey"""
+LETTERS = f"SELECT o_orderkey AS id, {LETTER} AS text FROM {_FROM}"
+#: Names of several words and their types.
+GAZETTEER = """SELECT c_name AS key, 'PERSON' AS pii_type FROM customer UNION ALL SELECT n_name, 'LOCATION' FROM nation
+UNION ALL SELECT r_name, 'LOCATION' FROM region UNION ALL SELECT p_name, 'ORGANIZATION' FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT concat(r_name, ' ', p_name), 'ORGANIZATION' FROM part JOIN region ON r_regionkey = p_partkey % 5"""

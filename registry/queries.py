@@ -16,7 +16,7 @@ from cloakframe.operators.detect import (
     detect, drop_contained, is_false_positive, person_type, raw_findings, with_findings, with_hits,
 )
 from cloakframe.plans.rewrite import rewrite_text
-from cloakframe.plans.tables import rewrite_columns, long_form, resolved_findings, rewrite_with
+from cloakframe.plans.tables import rewrite_columns, long_form, resolved_findings, rewrite_known, rewrite_with
 from cloakframe.policy import (
     FALSE_POSITIVE_WORDS, SKIPPED_TYPES, Policy, Redact, Replace, register_patterns, unregister_patterns,
 )
@@ -110,10 +110,6 @@ _detection("detect_other_national_ids", "notes",
 _detection("detect_all_notes", "notes", patterns.DEFAULT_TYPES)
 _detection("detect_all_documents", "documents", patterns.DEFAULT_TYPES)
 
-# Known words: key, type.
-GAZETTEER = [("jane", "PERSON"), ("john", "PERSON"), ("sydney", "LOCATION"), ("melbourne", "LOCATION"),
-             ("brisbane", "LOCATION"), ("telstra", "ORGANIZATION"), ("smith", "ORGANIZATION"), ("upload", "PERSON")]
-_GAZETTEER_SQL = "gaz(key, pii_type) AS (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in GAZETTEER) + ")"
 _TITLES_SQL = ", ".join(f"'{t}'" for t in patterns.TITLES)
 
 
@@ -127,25 +123,53 @@ def _person_type_sql(t: str, v: str, preceding: str) -> str:
 _PRECEDING_SQL = "substr(text, greatest(s - 10, 0) + 1, least(s, 10))"
 
 
-def _person(spark, sf):
-    gazetteer = spark.createDataFrame(GAZETTEER, "key string, pii_type string")
-    found = person.detect_person(notes(spark, sf), "text", ["id"], gazetteer)
-    return found.selectExpr(*FOUND, "detector")
+def _view(spark, sf, statement: str, *tables: str) -> DataFrame:
+    """A statement over given tables, under names of its own."""
+    for t in tables:
+        read_table(spark, f"{sf}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(statement)
 
 
-register("detect_person", _person, f"""
-WITH {S.found_ctes(N.NOTES, Policy(entities=("PERSON",)))},
-{_GAZETTEER_SQL},
-w AS (SELECT id, text, regexp_extract_all(text, '{person.WORD.replace("'", "''")}') AS m,
-  string_split_regex(text, '{person.WORD.replace("'", "''")}') AS g FROM src),
-wi AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM w),
-wp AS (SELECT id, text, m[i] AS value, CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
-  + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INT) AS s FROM wi),
-known AS (SELECT wp.*, gaz.pii_type FROM wp JOIN gaz ON lower(wp.value) = gaz.key)
-SELECT {FOUND_SQL}, 'patterns' AS detector FROM found
+def letters(spark, sf):
+    return _view(spark, sf, N.LETTERS, "orders", "customer", "nation", "region", "part")
+
+
+def gazetteer(spark, sf):
+    return _view(spark, sf, N.GAZETTEER, "customer", "nation", "region", "part")
+
+
+register(
+    "detect_person",
+    lambda spark, sf: person.detect_person(letters(spark, sf), "text", ["id"], gazetteer(spark, sf)).selectExpr(*FOUND, "detector"),
+    f"""SELECT {FOUND_SQL}, 'patterns' AS detector FROM (WITH {S.found_ctes(N.LETTERS, Policy(entities=("PERSON",)))} SELECT * FROM found)
 UNION ALL
-SELECT id, {_person_type_sql('pii_type', 'value', _PRECEDING_SQL)}, 'known_word', value, s, s + length(value), 0.85::DOUBLE, 'gazetteer'
-FROM known WHERE NOT {S.false_positive('pii_type', 'value', FALSE_POSITIVE_WORDS)}""")
+SELECT id, {_person_type_sql('pii_type', 'value', _PRECEDING_SQL)}, 'known_names', value, s, e, 0.85::DOUBLE, 'gazetteer'
+FROM (WITH {S.known_ctes(N.LETTERS, N.GAZETTEER, False)} SELECT * FROM known)
+WHERE NOT {S.false_positive('pii_type', 'value', FALSE_POSITIVE_WORDS)}""")
+
+#: Values of a deny table: phrases of ``benchmark`` as they are written, and keys of the tables; over 100,000 at 0.01.
+DENIED = r"""SELECT concat_ws(' ', w[0], w[1], w[2]) AS value FROM (SELECT split(text, ' ') AS w FROM benchmark)
+UNION ALL SELECT concat_ws(' ', w[4], w[5]) FROM (SELECT split(text, ' ') AS w FROM benchmark) WHERE size(w) > 5
+UNION ALL SELECT concat(o_orderkey, '@mail', o_custkey % 10, '.example.com') FROM orders
+UNION ALL SELECT concat('+1 (', lpad(l_partkey % 1000, 3, '0'), ') 555-', lpad(l_orderkey % 10000, 4, '0')) FROM lineitem
+UNION ALL SELECT concat('L-', l_orderkey, '/', l_linenumber) FROM lineitem"""
+DENIED_SQL = r"""SELECT concat_ws(' ', w[1], w[2], w[3]) AS value FROM (SELECT string_split(text, ' ') AS w FROM benchmark)
+UNION ALL SELECT concat_ws(' ', w[5], w[6]) FROM (SELECT string_split(text, ' ') AS w FROM benchmark) WHERE len(w) > 5
+UNION ALL SELECT o_orderkey || '@mail' || (o_custkey % 10) || '.example.com' FROM orders
+UNION ALL SELECT '+1 (' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || ') 555-' || lpad(CAST(l_orderkey % 10000 AS VARCHAR), 4, '0') FROM lineitem
+UNION ALL SELECT 'L-' || l_orderkey || '/' || l_linenumber FROM lineitem"""
+
+
+def denied(spark, sf):
+    return _view(spark, sf, DENIED, "benchmark", "orders", "lineitem")
+
+
+_DENIED_KNOWN = S.known_ctes(N.DOCUMENTS, f"SELECT value AS key, 'DENIED' AS pii_type FROM ({DENIED_SQL})", True)
+register(
+    "detect_denied",
+    lambda spark, sf: person.detect_denied(documents(spark, sf), "text", ["id"], denied(spark, sf)).selectExpr(*FOUND),
+    f"""WITH {_DENIED_KNOWN} SELECT id, pii_type, 'known_literals' AS shape, value, s AS start_pos, e AS end_pos, 1.0::DOUBLE AS confidence
+FROM known""")
 
 register(
     "normalize_titled_caps",
@@ -186,8 +210,9 @@ _IMEI = Policy(entities=("IMEI", "ICCID", "AU_PHONE_NUMBER"), threshold=0.0)
 register(
     "drop_contained_same_entity",
     lambda spark, sf: _exploded(
-        with_hits(notes(spark, sf), "text", _IMEI).select(
-            "id", F.flatten(F.transform(resolve.clusters(raw_findings(_IMEI)), drop_contained)).alias("f")), F.col("f"), "id"
+        with_hits(notes(spark, sf), "text", _IMEI).select("id", raw_findings(_IMEI).alias("raw")).select(
+            "id", resolve.clusters(F.col("raw")).alias("c")).select(
+            "id", F.flatten(F.transform("c", drop_contained)).alias("f")), F.col("f"), "id"
     ).selectExpr(*FOUND),
     f"WITH {S.found_ctes(N.NOTES, _IMEI)} SELECT {FOUND_SQL} FROM uncovered",
 )
@@ -330,7 +355,8 @@ _MIX = Policy(entities=("AU_ADDRESS", "PERSON", "AU_NBN_SERVICE_ID", "DATE_OF_BI
 
 
 def _both(spark, sf):
-    a = detect(notes(spark, sf), "text", ["id"], _MIX).select("id", "pii_type", "value", "start", "end", "confidence", "detector", "ord")
+    a = detect(notes(spark, sf), "text", ["id"], _MIX, with_context=False).select(
+        "id", "pii_type", "value", "start", "end", "confidence", "detector", "ord")
     b = model_findings(spark, sf).drop("text").withColumn("ord", F.col("ord") + 1000)
     return a.unionByName(b)
 
@@ -344,7 +370,7 @@ _FOLD_BY_ORD = S.MERGE_FOLD.replace("ORDER BY s, confidence DESC, e - s DESC, or
 register(
     "join_overlap",
     lambda spark, sf: agreement.overlapping(
-        detect(notes(spark, sf), "text", ["id"], _MIX), model_findings(spark, sf), ["id"]),
+        detect(notes(spark, sf), "text", ["id"], _MIX, with_context=False), model_findings(spark, sf), ["id"]),
     f"""WITH {_BOTH_CTE} SELECT a.id, a.pii_type AS a_type, a.s AS a_start, a.e AS a_end, b.pii_type AS b_type, b.s AS b_start, b.e AS b_end
 FROM found a JOIN model b ON a.id = b.id AND a.s < b.e AND b.s < a.e""",
 )
@@ -366,7 +392,7 @@ register(
 )
 register(
     "merge_overlaps",
-    lambda spark, sf: resolve.merge_table(resolve.dedup_table(_both(spark, sf), ["id"]), ["id"]).selectExpr(*_M),
+    lambda spark, sf: resolve.merge_table(_both(spark, sf), ["id"]).selectExpr(*_M),
     f"""WITH {_BOTH_CTE}, d AS (SELECT id, pii_type, any_value(value) AS value, s, e, max(confidence) AS confidence, min(ord) AS ord FROM both_ GROUP BY id, pii_type, s, e),
 folded AS (SELECT id, {_FOLD_BY_ORD} AS k FROM d GROUP BY id)
 SELECT id, u.pii_type AS pii_type, u.value AS value, u.s AS start_pos, u.e AS end_pos, u.confidence AS confidence FROM (SELECT id, unnest(k) AS u FROM folded)""",
@@ -422,6 +448,32 @@ _rewrite("replace_fallback", "notes", Policy(entities=_SOME, strategy="replace",
          "('[' || pii_type || '_FAKE]')")
 _rewrite("rewrite_documents", "documents", Policy(), S.REDACT)
 
+# names of several words out of the passages of ``benchmark``, for texts that hold them
+TITLES = """SELECT lower(concat_ws(' ', w[1], w[2], w[3])) AS key, CASE WHEN item_id % 2 = 0 THEN 'ORGANIZATION' ELSE 'PERSON' END AS pii_type
+FROM (SELECT item_id, split(text, ' ') AS w FROM benchmark) WHERE size(w) > 3"""
+TITLES_SQL = """SELECT lower(concat_ws(' ', w[2], w[3], w[4])) AS key, CASE WHEN item_id % 2 = 0 THEN 'ORGANIZATION' ELSE 'PERSON' END AS pii_type
+FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) WHERE len(w) > 3"""
+
+
+def _rewrite_known(spark, sf):
+    done = rewrite_known(documents(spark, sf), "text", ["id"], Policy(), _view(spark, sf, TITLES, "benchmark"), denied(spark, sf))
+    return done.select("id", F.col("text").alias("new_text"), F.col("pii_anonymized").cast("long").alias("n_applied"))
+
+
+register("rewrite_known", _rewrite_known, f"""WITH a AS (WITH {S.found_ctes(N.DOCUMENTS, Policy())} SELECT * FROM found WHERE {S.survives('value', Policy())}),
+b AS (WITH {S.known_ctes(N.DOCUMENTS, TITLES_SQL, False)} SELECT * FROM known WHERE NOT {S.false_positive('pii_type', 'value', FALSE_POSITIVE_WORDS)}
+  AND {S.survives('value', Policy())}),
+c AS (WITH {_DENIED_KNOWN} SELECT * FROM known),
+every AS (SELECT id, pii_type, value, s, e, confidence, ord FROM a
+  UNION ALL SELECT id, {_person_type_sql('pii_type', 'value', _PRECEDING_SQL)}, value, s, e, 0.85::DOUBLE, 1000000 FROM b
+  UNION ALL SELECT id, pii_type, value, s, e, 1.0::DOUBLE, 2000000 FROM c),
+d AS (SELECT id, pii_type, any_value(value) AS value, s, e, max(confidence) AS confidence, min(ord) AS ord FROM every GROUP BY id, pii_type, s, e),
+folded AS (SELECT id, {S.MERGE_FOLD.replace("ORDER BY s, confidence DESC, e - s DESC, ord", "ORDER BY s, ord")} AS k FROM d GROUP BY id),
+kept AS (SELECT id, u.s AS s, u.e AS e, u.pii_type AS pii_type, u.value AS value FROM (SELECT id, unnest(k) AS u FROM folded)),
+src AS ({N.DOCUMENTS}),
+{S.spliced_ctes(S.REDACT)}
+SELECT id, text AS new_text, n AS n_applied FROM spliced""")
+
 st.register_strategy("stars", lambda t, v: F.repeat(F.lit("*"), F.length(v)))
 _rewrite("register_strategy", "notes", Policy(entities=_SOME, strategy="stars"), "repeat('*', length(value))")
 

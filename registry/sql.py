@@ -159,6 +159,44 @@ found AS (SELECT * FROM uncovered WHERE confidence >= {policy.threshold} AND pii
   AND NOT {false_positive('pii_type', 'value', policy.false_positive_words)})"""
 
 
+def known_ctes(src: str, keys: str, exact: bool) -> str:
+    """CTEs up to ``known``: id, text, key, pii_type, value, s, e of the leftmost-longest matches of the keys (key, pii_type)
+    in ``src``, both SELECT statements.  A window along the units of a text makes every stretch as long as some key."""
+    gap = r"[\x20\x09-\x0D]"
+    unit = rf"(?s){gap}+|[\p{{L}}\p{{N}}_]+|."
+    normal = "x" if exact else rf"CASE WHEN regexp_matches(x, '^{gap}') THEN ' ' ELSE lower(x) END"
+    word = lambda c: rf"coalesce(regexp_matches({c}, '^[\p{{L}}\p{{N}}_]'), false)"
+    joiner = lambda c: f"coalesce({c} IN (chr(39), chr(8217), '-', '#'), false)"
+    free = f"NOT ({word('b1')} AND NOT {word('u1')}) AND NOT ({word('a1')} AND NOT {word('un')})"
+    if not exact:
+        free += f" AND NOT ({joiner('b1')} AND {word('b2')}) AND NOT ({joiner('a1')} AND {word('a2')})"
+    return f"""src AS ({src}),
+named AS (SELECT list_transform(regexp_extract_all(regexp_replace(key, '^{gap}+|{gap}+$', '', 'g'), '{unit}'), lambda x: {normal}) AS u,
+  pii_type FROM ({keys})),
+dict AS (SELECT array_to_string(u, '') AS key, any_value(len(u)) AS n, min(pii_type) AS pii_type FROM named WHERE len(u) > 0 GROUP BY array_to_string(u, '')),
+cut AS (SELECT id, regexp_extract_all(text, '{unit}') AS u FROM src),
+unit AS (SELECT id, unnest(u) AS x, unnest(range(len(u))) AS i FROM cut),
+along AS (SELECT id, i, x, {normal} AS nx, CAST(sum(length(x)) OVER (PARTITION BY id ORDER BY i) - length(x) AS INT) AS s FROM unit),
+{_stretches(exact)},
+hit AS (SELECT id, s, CAST(s + length(value) AS INT) AS e, value, pii_type FROM stretch JOIN dict USING (key) WHERE {free}),
+chain AS (SELECT id, list_reduce(list(struct_pack(s := s, e := e, value := value, pii_type := pii_type) ORDER BY s, e DESC),
+  lambda a, x: CASE WHEN len(a) > 0 AND x.s < a[-1].e THEN a ELSE list_append(a, x) END,
+  []::STRUCT(s INTEGER, e INTEGER, value VARCHAR, pii_type VARCHAR)[]) AS k FROM hit GROUP BY id),
+known AS (SELECT id, text, u.s AS s, u.e AS e, u.value AS value, u.pii_type AS pii_type
+  FROM (SELECT id, unnest(k) AS u FROM chain) JOIN src USING (id))"""
+
+
+def _stretches(exact: bool, longest: int = 12) -> str:
+    """All stretches of one to ``longest`` units; no key of the queries is longer."""
+    def part(n: int) -> str:
+        key, value = (" || ".join([c] + [f"lead({c}, {k}) OVER o" for k in range(1, n)]) for c in ("nx", "x"))
+        return (f"SELECT id, s, {key} AS key, {value} AS value, x AS u1, lead(x, {n - 1}) OVER o AS un, lag(x) OVER o AS b1, "
+                f"lag(x, 2) OVER o AS b2, lead(x, {n}) OVER o AS a1, lead(x, {n + 1}) OVER o AS a2 FROM along "
+                "WINDOW o AS (PARTITION BY id ORDER BY i)")
+
+    return "stretch AS (" + " UNION ALL ".join(part(n) for n in range(1, longest + 1)) + ")"
+
+
 def allowed(v: str, policy: Policy) -> str:
     parts = ["false"]
     if policy.allow_values:

@@ -1,6 +1,7 @@
 import glob
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,22 @@ def test_redacted_text_has_nothing_left(spark, sf):
     assert again.where("pii_anonymized > 0").count() == 0
 
 
+def test_a_text_of_50000_addresses(spark):
+    """Every address is placed, none is compared with all others; ten times the text takes far less than a hundred times."""
+    def mails(n):
+        return " ".join(f"user{i * 7919 % 10**6}@mail{i}.test" for i in range(n))
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, mails(n))], "id long, text string")
+        at = time.perf_counter()
+        done = rewrite_text(df, "text", Policy(entities=("EMAIL_ADDRESS", "CREDIT_CARD"))).first()
+        assert done.pii_anonymized == n and done.text == " ".join(["[EMAIL_ADDRESS_REDACTED]"] * n)
+        return time.perf_counter() - at
+
+    seconds(100)
+    assert seconds(50_000) < 20 * max(seconds(5_000), 1)
+
+
 def test_empty_and_missing_texts_stay(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "plain")], "id long, text string")
     got = {r.id: (r.text, r.status, r.pii_found) for r in rewrite_text(df, "text").collect()}

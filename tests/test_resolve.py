@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from cloakframe.functions.text import splice
-from cloakframe.operators import resolve
+from cloakframe.operators import folds, resolve
+from cloakframe.operators.detect import drop_contained
 from cloakframe.operators.agreement import overlapping
 from cloakframe.operators.lookup import lookup
 from cloakframe.policy import Policy
@@ -69,18 +70,44 @@ def test_table_form_equals_brute_force(spark):
     assert keys(r.asDict() for r in resolve.merge_table(deduped, ["id"]).collect()) == keys(want)
 
 
-def test_groups_across_stripes(spark):
+def test_fold_across_stripes(spark):
+    """Narrow stripes, so that many spans reach out of theirs and chains cross several."""
     rows = random_findings(5, range(4), lambda r: 120, 400)
-    df = as_df(spark, rows)
-    grouped = resolve.overlap_groups(df, ["id"], stripe=16).collect()
-    for i in range(4):
-        reach, group, want = -1, None, {}
-        for r in sorted((r for r in rows if r["id"] == i), key=lambda r: r["start"]):
-            if r["start"] >= reach:
-                group = r["start"]
-            reach = max(reach, r["end"])
-            want[r["ord"]] = group
-        assert {g.ord: g._group for g in grouped if g.id == i} == want
+    rows += random_findings(6, [7], lambda r: 300, 120)  # one chain over all stripes
+    rows += [{"id": 8, "pii_type": "A", "value": "long", "start": 3, "end": 900, "confidence": 0.55, "ord": 0}]
+    rows += random_findings(9, [8], lambda r: 60, 1000)
+    want = [k for i in {r["id"] for r in rows} for k in brute_merge(brute_dedup([r for r in rows if r["id"] == i]))]
+    for stripe in (5, 16, 1 << 16):
+        got = folds.folded(as_df(spark, rows), ["id"], stripe=stripe)
+        assert keys(r.asDict() for r in got.collect()) == keys(want), stripe
+        assert got.columns == as_df(spark, rows).columns
+    assert folds.folded(as_df(spark, []), ["id"]).count() == 0
+
+
+def test_fold_leftmost_longest(spark):
+    rows = random_findings(15, range(30), lambda r: 40, 200)
+    want = []
+    for i in range(30):
+        at = 0
+        for r in sorted((r for r in rows if r["id"] == i), key=lambda r: (r["start"], -r["end"])):
+            if r["start"] >= at:
+                want.append((i, r["start"], r["end"]))
+                at = r["end"]
+    for stripe in (7, 1 << 16):
+        got = folds.folded(as_df(spark, rows), ["id"], folds.first, ("start", "-end", "pii_type"), stripe).collect()
+        assert sorted((r.id, r.start, r.end) for r in got) == sorted(want)
+
+
+def test_fold_streams_a_chain_of_a_million_spans(spark):
+    """Every span overlaps the next; the task holds one of them."""
+    n = 1_000_000
+    chain = spark.range(0, n, 1, 8).select(
+        F.lit(1).alias("id"), F.lit("A").alias("pii_type"), F.lit("v").alias("value"), (F.col("id") * 2).cast("int").alias("start"),
+        (F.col("id") * 2 + 3).cast("int").alias("end"), F.lit(0.5).alias("confidence"), F.col("id").cast("int").alias("ord"))
+    got = folds.folded(chain, ["id"]).agg(F.count("*").alias("n"), F.min("start").alias("a"), F.max("start").alias("b"),
+                                          F.countDistinct("start").alias("d")).first()
+    # the first stays, the next one overlaps it and loses, the one after that does not
+    assert (got.n, got.d, got.a, got.b) == (n // 2, n // 2, 0, 2 * (n - 2))
 
 
 def test_row_form_equals_brute_force(spark):
@@ -100,6 +127,36 @@ def test_row_form_equals_brute_force(spark):
     assert keys(r.asDict() for r in kept.collect()) == keys(want)
 
 
+def brute_contained(rows):
+    def before(g, f):
+        return (-g["confidence"], g["start"], g["start"] - g["end"], g["ord"]) < (
+            -f["confidence"], f["start"], f["start"] - f["end"], f["ord"])
+
+    return [f for f in rows if not any(g["pii_type"] == f["pii_type"] and g["start"] <= f["start"] and g["end"] >= f["end"]
+                                       and before(g, f) for g in rows)]
+
+
+def test_dense_clusters_equal_brute_force(spark):
+    """Clusters of a few and of hundreds of spans: containment, dedupe and merge by either way."""
+    rows = [r for i in range(12) for r in random_findings(40 + i, [i], lambda r: (5, 20, 40, 400)[i % 4], 60)]
+    spans = F.collect_list(F.struct("ord", "pii_type", "value", "start", "end", "confidence")).alias("s")
+    grouped = as_df(spark, rows).groupBy("id").agg(spans).select("id", resolve.clusters(F.col("s")).alias("c"))
+    sizes = [len(c) for r in grouped.collect() for c in r.c]
+    assert min(sizes) == 1 and max(sizes) > 3 * resolve.FEW
+    outer = grouped.select("id", F.transform("c", drop_contained).alias("c"))
+    got = outer.select("id", F.explode(F.flatten("c")).alias("k")).select("id", "k.*").collect()
+    want = [f for i in range(12) for f in brute_contained([r for r in rows if r["id"] == i])]
+    assert keys(r.asDict() for r in got) == keys(want)
+    kept = outer.select("id", F.explode(resolve.kept_spans(F.col("c"), Policy(apply_lists=False))).alias("k")).select("id", "k.*").collect()
+    merged = []
+    for i in range(12):
+        mine = sorted((dict(r) for r in want if r["id"] == i), key=lambda r: (r["start"], -r["confidence"], -(r["end"] - r["start"]), r["ord"]))
+        for n, r in enumerate(mine):
+            r["ord"] = n
+        merged += brute_merge(brute_dedup(mine))
+    assert keys(r.asDict() for r in kept) == keys(merged)
+
+
 def test_splice(spark):
     text = "ab😀cdéfgh"
     spans = F.expr("array(named_struct('start', 1, 'end', 3), named_struct('start', 3, 'end', 4), named_struct('start', 7, 'end', 8))")
