@@ -137,61 +137,123 @@ def hash_token(pii_type: Column, value: Column, o: Hash = Hash()) -> Column:
 
 
 # ---- replace ---------------------------------------------------------------------------------
-# A replacement is a function of (type, value, seed) alone: every task, batch and run agrees on it
-# without sharing state.  The lists are our own.
+# A replacement is a function of (type, value, secret seed) alone: every task, batch and run agrees on it without
+# sharing state, and distinct values get distinct replacements.  Numbers are permuted: digits of a value of n digits by
+# a keyed Feistel network on n digits, so the form stays and no two meet; addresses of IP version 4 on 32 bits.  Names,
+# places and words are made of syllables that spell 64 bits of a keyed digest.
 
-FIRST_NAMES = ("Alice", "Bruno", "Carla", "Derek", "Elena", "Felix", "Greta", "Hugo", "Irene", "Jonas", "Karin",
-               "Liam", "Mona", "Niels", "Olga", "Pavel")
-LAST_NAMES = ("Abbott", "Barker", "Castle", "Dalton", "Easton", "Foster", "Garner", "Holden", "Irving", "Jarvis",
-              "Keller", "Lawson", "Mercer", "Norton", "Osborn", "Palmer")
-CITIES = ("Ashford", "Brookfield", "Claymont", "Dunmore", "Eastlake", "Fairview", "Glenwood", "Hillcrest",
-          "Ironwood", "Juniper", "Kingsley", "Lakewood", "Millbrook", "Northgate", "Oakdale", "Parkside")
-WORDS = ("amber", "birch", "cedar", "dune", "ember", "fjord", "grove", "heath", "inlet", "jade", "knoll", "lagoon",
-         "maple", "north", "ocean", "prairie")
+ROUNDS = 8
+#: So many digits fit into two halves of a 64-bit number; a longer number becomes a word.
+MOST_DIGITS = 36
+CONSONANTS = "bdfghjklmnprstvz"
+VOWELS = ("a", "e", "i", "o", "u", "ai", "au", "ea", "ei", "eu", "ia", "ie", "io", "oa", "oi", "ui")
+_NUMBER = r"^[-0-9 ()+./]*[0-9][-0-9 ()+./]*$"
+_OCTET = r"(?:0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
+_IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
-def _pick(words: tuple[str, ...], digest: Column, at: int) -> Column:
-    """One of sixteen words by the hex digit ``at`` of the digest."""
-    code = F.conv(F.substring(digest, at, 1), 16, 10).cast("int")
-    return F.element_at(F.array(*[F.lit(w) for w in words]), code + 1)
+def keyed(seed: str, *parts: Column) -> Column:
+    """Hex digest that nobody can make without the seed."""
+    return F.sha2(F.concat_ws("|", F.lit(seed), *parts), 256)
 
 
-def _luhn_digit(fifteen: Column) -> Column:
-    total = F.lit(0)
-    for i in range(15):
-        d = F.substring(fifteen, i + 1, 1).cast("int")
-        total = total + (d if i % 2 else d * 2 - F.when(d > 4, 9).otherwise(0))
-    return ((10 - total % 10) % 10).cast("string")
+def permuted(a: Column, b: Column, most_a: Column, most_b: Column, key: Callable[[Column, Column], Column]) -> Column:
+    """struct(a, b), a permutation of the pairs of numbers below ``most_a`` and ``most_b``; ``key`` makes a hex digest
+    of the round and a number."""
+    def step(s: Column, i: Column) -> Column:
+        most = F.when(i % 2 == 0, most_a).otherwise(most_b)
+        f = F.conv(F.substring(key(i, s["b"]), 1, 15), 16, 10).cast("bigint")
+        return F.struct(s["b"].alias("a"), ((s["a"] + f) % most).alias("b"))
+
+    start = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
+
+
+def permuted_digits(digits: Column, pii_type: Column, seed: str) -> Column:
+    """As many digits; a permutation of the strings of that length."""
+    def power(n: Column) -> Column:
+        return F.concat(F.lit("1"), F.repeat(F.lit("0"), n)).cast("bigint")
+
+    def number(s: Column) -> Column:
+        return F.concat(F.lit("0"), s).cast("bigint")
+
+    def of(n: Column) -> Column:
+        u = F.floor(n / 2).cast("int")
+        halves = permuted(number(F.substring(digits, F.lit(1), u)), number(F.substring(digits, u + 1, n - u)), power(u), power(n - u),
+                          lambda i, b: keyed(seed, pii_type, n, i, b))
+        return let(halves, lambda h: F.concat(
+            F.when(u > 0, F.lpad(h["a"].cast("string"), u, F.lit("0"))).otherwise(""), F.lpad(h["b"].cast("string"), n - u, F.lit("0"))))
+
+    return let(F.length(digits), of)
+
+
+def _in_place(value: Column, digits: Column) -> Column:
+    """``value`` with its digits replaced one by one."""
+    gaps = F.split(value, "[0-9]", -1)
+    each = F.transform(F.sequence(F.lit(1), F.length(digits)), lambda i: F.substring(digits, i, F.lit(1)))
+    return F.array_join(F.zip_with(gaps, each, lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))), "")
+
+
+def _luhn_digit(digits: Column) -> Column:
+    """The check digit that follows ``digits``, as a number."""
+    each = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), lambda c, i: F.when(
+        i % 2 == 1, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
+    return (10 - F.aggregate(each, F.lit(0), lambda a, d: a + d) % 10) % 10
+
+
+def _card_digits(digits: Column, pii_type: Column, seed: str) -> Column:
+    """A permutation that keeps a right check digit right, and a wrong one as wrong as it was."""
+    head = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    off = F.right(digits, F.lit(1)).cast("int") - _luhn_digit(head)
+    return let(permuted_digits(head, pii_type, seed), lambda h: F.concat(
+        h, F.pmod(_luhn_digit(h) + off, F.lit(10)).cast("string")))
+
+
+def _ipv4(value: Column, pii_type: Column, seed: str) -> Column:
+    o = F.transform(F.split(value, r"\."), lambda x: x.cast("bigint"))
+    both = let(o, lambda x: permuted(F.get(x, F.lit(0)) * 256 + F.get(x, F.lit(1)), F.get(x, F.lit(2)) * 256 + F.get(x, F.lit(3)),
+                                     F.lit(65536).cast("bigint"), F.lit(65536).cast("bigint"),
+                                     lambda i, b: keyed(seed, pii_type, F.lit("v4"), i, b)))
+    return let(both, lambda h: F.concat_ws(".", *[x.cast("string") for x in (
+        F.floor(h["a"] / 256), h["a"] % 256, F.floor(h["b"] / 256), h["b"] % 256)]))
+
+
+def syllables(digest: Column, at: int, n: int) -> Column:
+    """``n`` syllables that spell the hex digits of the digest from ``at``, two each: a consonant and a vowel."""
+    def code(place: Column) -> Column:
+        return F.conv(F.substring(digest, place, F.lit(1)), 16, 10).cast("int")
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat(
+        F.substring(F.lit(CONSONANTS), code(k * 2 + at) + 1, F.lit(1)),
+        F.get(F.array(*[F.lit(v) for v in VOWELS]), code(k * 2 + at + 1)))), "")
 
 
 def replace_pseudonym(pii_type: Column, value: Column, o: Replace = Replace()) -> Column:
     if not o.available:
         return F.concat(F.lit("["), pii_type, F.lit("_FAKE]"))
+    if not o.seed:
+        raise ValueError("replacement needs a secret seed: Replace(seed=...)")
 
-    def made(h: Column) -> Column:
-        digits = F.translate(h, "abcdef", "012345")
-        dg = lambda at, n: F.substring(digits, at, n)
-        octet = lambda at: (F.conv(F.substring(h, at, 2), 16, 10).cast("int") % 254 + 1).cast("string")
-        group = lambda at: F.substring(h, at, 4)
-        first, last = _pick(FIRST_NAMES, h, 1), _pick(LAST_NAMES, h, 2)
-        user = F.concat(F.lower(first), F.lit("."), F.lower(last), dg(3, 2))
+    def made(h: Column, digits: Column) -> Column:
+        first, last = syllables(h, 1, 3), syllables(h, 7, 5)
         domain = F.lit("example.org")
         if o.preserve_format:
             domain = F.coalesce(F.get(F.split(value, "@", -1), F.lit(1)), domain)
+        n = F.length(digits)
         return (
-            F.when(pii_type.isin(*EMAIL_TYPES), F.concat(user, F.lit("@"), domain))
-            .when(pii_type.isin(*PHONE_TYPES), F.concat_ws("-", dg(1, 3), dg(4, 3), dg(7, 4)))
-            .when(pii_type.isin(*SSN_TYPES), F.concat_ws("-", dg(1, 3), dg(4, 2), dg(6, 4)))
-            .when(pii_type.isin(*CARD_TYPES), let(F.concat(F.lit("4"), dg(1, 14)), lambda c: F.concat(c, _luhn_digit(c))))
+            F.when(pii_type.isin(*EMAIL_TYPES), F.concat(first, F.lit("."), last, F.lit("@"), domain))
+            .when(pii_type.isin(*NAME_TYPES), F.initcap(F.concat_ws(" ", first, last)))
+            .when(pii_type.isin(*PLACE_TYPES), F.initcap(syllables(h, 1, 8)))
+            .when(pii_type.isin(*IP_TYPES) & value.rlike(_IPV4), _ipv4(value, pii_type, o.seed))
             .when(pii_type.isin(*IP_TYPES) & F.contains(value, F.lit(":")),
-                  F.concat_ws(":", *[group(1 + 4 * i) for i in range(8)]))
-            .when(pii_type.isin(*IP_TYPES), F.concat_ws(".", octet(1), octet(3), octet(5), octet(7)))
-            .when(pii_type.isin(*NAME_TYPES), F.concat_ws(" ", first, last))
-            .when(pii_type.isin(*PLACE_TYPES), _pick(CITIES, h, 1))
-            .otherwise(_pick(WORDS, h, 1))
+                  F.concat_ws(":", *[F.substring(h, 1 + 4 * i, 4) for i in range(8)]))
+            .when(pii_type.isin(*CARD_TYPES) & n.between(13, 19) & value.rlike(_NUMBER), _in_place(value, _card_digits(digits, pii_type, o.seed)))
+            .when(value.rlike(_NUMBER) & (n <= MOST_DIGITS), _in_place(value, permuted_digits(digits, pii_type, o.seed)))
+            .otherwise(syllables(h, 1, 8))
         )
 
-    return let(F.md5(F.concat_ws("|", pii_type, value, F.lit(o.seed))), made)
+    both = F.struct(keyed(o.seed, pii_type, value).alias("h"), only_digits(value).alias("d"))
+    return let(both, lambda x: made(x["h"], x["d"]))
 
 
 # ---- dispatch --------------------------------------------------------------------------------
@@ -216,6 +278,10 @@ def rewriter(policy: Policy) -> Rewriter:
         import warnings
 
         warnings.warn(f"unknown strategy {policy.strategy!r}, using redact", stacklevel=2)
+    if name == "hash" and policy.hash.salt == Hash.salt:
+        import warnings
+
+        warnings.warn("the default salt is published: set Hash(salt=...)", stacklevel=2)
     built_in = {
         "redact": lambda t, v: redact(t, v, policy.redact),
         "mask": lambda t, v: mask(t, v, policy.mask),

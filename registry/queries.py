@@ -31,6 +31,9 @@ from cloakframe.functions import patterns
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TIMESTAMP = "2024-01-01T00:00:00Z"
+#: The queries' own; a user's is a secret.
+SEED = "registered queries"
+_SEEDED = Replace(seed=SEED)
 
 
 def register(name: str, run, oracle: str | None = None) -> None:
@@ -416,12 +419,12 @@ _MAPPED = Policy(entities=("EMAIL_ADDRESS", "AU_PO_BOX", "PERSON"))
 
 def _mapped(spark, sf):
     found = staged(detect(notes(spark, sf), "text", ["id"], _MAPPED, with_context=False), "findings")
-    mapping = pseudonyms.pseudonym_map(found).where(F.col("pii_type") != "AU_PO_BOX")
+    mapping = pseudonyms.pseudonym_map(found, _SEEDED).where(F.col("pii_type") != "AU_PO_BOX")
     return pseudonyms.with_pseudonyms(found, mapping).select("id", "pii_type", F.col("start").alias("start_pos"), "value", "replacement")
 
 
 register("join_pseudonym_map", _mapped, f"""WITH {S.found_ctes(N.NOTES, _MAPPED)} SELECT id, pii_type, s AS start_pos, value,
- CASE WHEN pii_type = 'AU_PO_BOX' THEN '[AU_PO_BOX_FAKE]' ELSE {S.pseudonym('pii_type', 'value')} END AS replacement FROM found""")
+ CASE WHEN pii_type = 'AU_PO_BOX' THEN '[AU_PO_BOX_FAKE]' ELSE {S.pseudonym('pii_type', 'value', SEED)} END AS replacement FROM found""")
 
 
 # ---- 2.8 rewriting ---------------------------------------------------------------------------
@@ -443,7 +446,7 @@ _rewrite("redact_typed", "notes", Policy(entities=_SOME), S.REDACT)
 _rewrite("redact_token", "notes", Policy(entities=_SOME, redact=Redact(type_specific=False)), "'[REDACTED]'")
 _rewrite("mask_dispatch", "notes", Policy(entities=_STRUCTURED, strategy="mask"), S.mask("pii_type", "value"))
 _rewrite("hash_sha256", "notes", Policy(entities=_SOME, strategy="hash"), S.hashed("pii_type", "value"))
-_rewrite("replace_pseudonym", "notes", Policy(entities=_STRUCTURED, strategy="replace"), S.pseudonym("pii_type", "value"))
+_rewrite("replace_pseudonym", "notes", Policy(entities=_STRUCTURED, strategy="replace", replace_with=_SEEDED), S.pseudonym("pii_type", "value", SEED))
 _rewrite("replace_fallback", "notes", Policy(entities=_SOME, strategy="replace", replace_with=Replace(available=False)),
          "('[' || pii_type || '_FAKE]')")
 _rewrite("rewrite_documents", "documents", Policy(), S.REDACT)
@@ -538,7 +541,7 @@ SELECT id, s AS start_pos, {S.hashed('pii_type', 'value')} AS sha256_token, pii_
 
 # one strategy per order, picked on the driver; the union shows all of them and the fallback
 _DISPATCHED = [("redact", S.REDACT), ("mask", S.mask("pii_type", "value")), ("hash", S.hashed("pii_type", "value")),
-               ("replace", S.pseudonym("pii_type", "value")), ("unknown", S.REDACT)]
+               ("replace", S.pseudonym("pii_type", "value", SEED)), ("unknown", S.REDACT)]
 
 
 def _dispatch(spark, sf):
@@ -547,7 +550,7 @@ def _dispatch(spark, sf):
     found = detect(notes(spark, sf), "text", ["id"], Policy(entities=("EMAIL_ADDRESS", "US_SSN")))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        made = [st.rewriter(Policy(strategy=n))(F.col("pii_type"), F.col("value")).alias(f"by_{n}") for n, _ in _DISPATCHED]
+        made = [st.rewriter(Policy(strategy=n, replace_with=_SEEDED))(F.col("pii_type"), F.col("value")).alias(f"by_{n}") for n, _ in _DISPATCHED]
     return found.select("id", F.col("start").alias("start_pos"), *made)
 
 
@@ -919,12 +922,12 @@ def _stream_pseudonyms(spark, sf):
 
     folder = shared_folder(spark, "stream-pseudonyms")
     stream = read_stream(spark, sf, "documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    stream_pseudonyms(stream, "text", f"{folder}/out", f"{folder}/checkpoint", _DOC_POLICY).awaitTermination()
+    stream_pseudonyms(stream, "text", f"{folder}/out", f"{folder}/checkpoint", _DOC_POLICY, _SEEDED).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("pii_type", "value", "replacement").distinct()
 
 
 register("stream_pseudonyms", _stream_pseudonyms, f"""WITH {S.found_ctes(N.DOCUMENTS, _DOC_POLICY)}
-SELECT DISTINCT pii_type, value, {S.pseudonym('pii_type', 'value')} AS replacement FROM found""")
+SELECT DISTINCT pii_type, value, {S.pseudonym('pii_type', 'value', SEED)} AS replacement FROM found""")
 
 # ---- synthetic notes, seeded by the keys of a table -------------------------------------------
 

@@ -298,31 +298,58 @@ def hashed(t: str, v: str, algorithm: str = "sha256", salt: str = "default_salt_
     return f"({t} || '_' || substr({algorithm}({q(salt)} || {v}), 1, {n}))"
 
 
-def pseudonym(t: str, v: str, seed: str = "") -> str:
+def pseudonym(t: str, v: str, seed: str) -> str:
+    """The replacement rule: a keyed Feistel network for numbers, syllables for the rest.  ``t`` and ``v`` are columns."""
     from cloakframe.functions import strategies as st
 
-    h = f"md5({t} || '|' || {v} || '|' || {q(seed)})"
-    dg = f"translate({h}, 'abcdef', '012345')"
-    hexat = lambda at, n: f"CAST(('0x' || substr({h}, {at}, {n})) AS INT)"
-    pick = lambda words, at: f"{qlist(words)}[{hexat(at, 1)} + 1]"
-    first, last = pick(st.FIRST_NAMES, 1), pick(st.LAST_NAMES, 2)
-    user = f"lower({first}) || '.' || lower({last}) || substr({dg}, 3, 2)"
-    fifteen = f"('4' || substr({dg}, 1, 14))"
-    total = " + ".join(
-        (f"CAST(substr({fifteen}, {i + 1}, 1) AS INT)" if i % 2 else
-         f"(2 * CAST(substr({fifteen}, {i + 1}, 1) AS INT) - CASE WHEN substr({fifteen}, {i + 1}, 1) > '4' THEN 9 ELSE 0 END)")
-        for i in range(15))
-    octets = " || '.' || ".join(f"CAST({hexat(at, 2)} % 254 + 1 AS VARCHAR)" for at in (1, 3, 5, 7))
+    h, d = f"sha256({q(seed)} || '|' || {t} || '|' || {v})", digits(v)
+    hexat = lambda x, at, n: f"CAST(('0x' || substr({x}, {at}, {n})) AS BIGINT)"
+    power = lambda n: f"CAST('1' || repeat('0', CAST({n} AS INT)) AS BIGINT)"
+
+    def feistel(a: str, b: str, ma: str, mb: str, mark: str) -> str:
+        digest = f"sha256({q(seed)} || '|' || {t} || '|' || {mark} || '|' || i || '|' || s[2])"
+        return (f"list_reduce(list_transform(range(0, {st.ROUNDS}), lambda x: CAST(x AS BIGINT)), lambda s, i: [s[2], "
+                f"(s[1] + {hexat(digest, 1, 15)}) % CASE WHEN i % 2 = 0 THEN {ma} ELSE {mb} END], "
+                f"[CAST({a} AS BIGINT), CAST({b} AS BIGINT)])")
+
+    def permuted(x: str) -> str:
+        n = f"length({x})"
+        both = feistel(f"('0' || substr({x}, 1, {n} // 2))", f"('0' || substr({x}, {n} // 2 + 1))", power(f"{n} // 2"),
+                       power(f"({n} - {n} // 2)"), f"CAST({n} AS VARCHAR)")
+        return (f"list_transform([{both}], lambda z: CASE WHEN {n} > 1 THEN lpad(CAST(z[1] AS VARCHAR), CAST({n} // 2 AS INT), '0') ELSE '' END "
+                f"|| lpad(CAST(z[2] AS VARCHAR), CAST({n} - {n} // 2 AS INT), '0'))[1]")
+
+    def check(x: str) -> str:
+        at = f"CAST(substr({x}, CAST(length({x}) - k AS INT), 1) AS INT)"
+        return (f"(10 - list_sum(list_transform(range(0, length({x})), lambda k: CASE WHEN k % 2 = 1 THEN {at} "
+                f"ELSE 2 * {at} - CASE WHEN {at} > 4 THEN 9 ELSE 0 END END)) % 10) % 10")
+
+    def placed(x: str) -> str:
+        return (f"list_transform([{x}], lambda w: array_to_string(list_transform(range(1, length({v}) + 1), lambda k: CASE "
+                f"WHEN regexp_matches(substr({v}, CAST(k AS INT), 1), '[0-9]') THEN substr(w, CAST(length({digits(f'substr({v}, 1, CAST(k AS INT))')}) AS INT), 1) "
+                f"ELSE substr({v}, CAST(k AS INT), 1) END), ''))[1]")
+
+    def spelt(at: int, n: int) -> str:
+        return " || ".join(f"substr('{st.CONSONANTS}', CAST({hexat(h, at + 2 * k, 1)} + 1 AS INT), 1) || {qlist(st.VOWELS)}[{hexat(h, at + 2 * k + 1, 1)} + 1]"
+                           for k in range(n))
+
+    title = lambda x: f"(upper(substr({x}, 1, 1)) || substr({x}, 2))"
+    first, last = f"({spelt(1, 3)})", f"({spelt(7, 5)})"
+    octet = [f"CAST(split_part({v}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
+    v4 = feistel(f"({octet[0]} * 256 + {octet[1]})", f"({octet[2]} * 256 + {octet[3]})", "65536", "65536", "'v4'")
+    v4 = f"list_transform([{v4}], lambda z: (z[1] // 256) || '.' || (z[1] % 256) || '.' || (z[2] // 256) || '.' || (z[2] % 256))[1]"
+    head = f"substr({d}, 1, length({d}) - 1)"
+    card = (f"list_transform([{permuted(head)}], lambda y: y || CAST((({check('y')} + CAST(right({d}, 1) AS INT) - {check(head)}) % 10 + 10) % 10 AS VARCHAR))[1]")
     groups = " || ':' || ".join(f"substr({h}, {1 + 4 * i}, 4)" for i in range(8))
     names = lambda ts: ", ".join(q(x) for x in ts)
-    return (f"(CASE WHEN {t} IN ({names(st.EMAIL_TYPES)}) THEN {user} || '@' || coalesce(string_split({v}, '@')[2], 'example.org') "
-            f"WHEN {t} IN ({names(st.PHONE_TYPES)}) THEN substr({dg},1,3) || '-' || substr({dg},4,3) || '-' || substr({dg},7,4) "
-            f"WHEN {t} IN ({names(st.SSN_TYPES)}) THEN substr({dg},1,3) || '-' || substr({dg},4,2) || '-' || substr({dg},6,4) "
-            f"WHEN {t} IN ({names(st.CARD_TYPES)}) THEN {fifteen} || CAST((10 - ({total}) % 10) % 10 AS VARCHAR) "
+    number = f"regexp_matches({v}, {q(st._NUMBER)})"
+    return (f"(CASE WHEN {t} IN ({names(st.EMAIL_TYPES)}) THEN {first} || '.' || {last} || '@' || coalesce(string_split({v}, '@')[2], 'example.org') "
+            f"WHEN {t} IN ({names(st.NAME_TYPES)}) THEN {title(first)} || ' ' || {title(last)} "
+            f"WHEN {t} IN ({names(st.PLACE_TYPES)}) THEN {title(f'({spelt(1, 8)})')} "
+            f"WHEN {t} IN ({names(st.IP_TYPES)}) AND regexp_matches({v}, {q(st._IPV4)}) THEN {v4} "
             f"WHEN {t} IN ({names(st.IP_TYPES)}) AND contains({v}, ':') THEN {groups} "
-            f"WHEN {t} IN ({names(st.IP_TYPES)}) THEN {octets} "
-            f"WHEN {t} IN ({names(st.NAME_TYPES)}) THEN {first} || ' ' || {last} "
-            f"WHEN {t} IN ({names(st.PLACE_TYPES)}) THEN {pick(st.CITIES, 1)} ELSE {pick(st.WORDS, 1)} END)")
+            f"WHEN {t} IN ({names(st.CARD_TYPES)}) AND length({d}) BETWEEN 13 AND 19 AND {number} THEN {placed(card)} "
+            f"WHEN {number} AND length({d}) <= {st.MOST_DIGITS} THEN {placed(permuted(d))} ELSE {spelt(1, 8)} END)")
 
 
 def snippet(s: str, e: str, around: int = 20) -> str:

@@ -95,14 +95,14 @@ def test_columns(spark):
 
 
 def test_a_bad_finding_fails_its_text_only(spark):
-    texts = spark.createDataFrame([(1, "hello Jane"), (2, "hello John")], "id long, text string")
-    f = spark.createDataFrame([(1, "PERSON", "Jane", 6, 10, 0.9, 0), (2, "PERSON", "John", 6, 99, 0.9, 0)],
+    texts = spark.createDataFrame([(1, "dear Tess"), (2, "dear Otto")], "id long, text string")
+    f = spark.createDataFrame([(1, "PERSON", "Tess", 5, 9, 0.9, 0), (2, "PERSON", "Otto", 5, 99, 0.9, 0)],
                               "id long, pii_type string, value string, start int, `end` int, confidence double, ord int")
     got = {r.id: r for r in rewrite_with(texts, "text", ["id"], f).collect()}
-    assert (got[1].text, got[1].status) == ("hello [PERSON_REDACTED]", "ok")
+    assert (got[1].text, got[1].status) == ("dear [PERSON_REDACTED]", "ok")
     assert (got[2].text, got[2].status, got[2].error) == (None, "failed", "beyond the text")
     kept = {r.id: r.text for r in rewrite_with(texts, "text", ["id"], f, keep_failed_text=True).collect()}
-    assert kept[2] == "hello John"
+    assert kept[2] == "dear Otto"
 
 
 @pytest.mark.parametrize("text,value,want", [
@@ -116,9 +116,9 @@ def test_locate(spark, text, value, want):
 
 
 @pytest.mark.parametrize("content,want", [
-    ('[{"t":"EMAIL","v":"a@b.com"}]', [("EMAIL", "a@b.com")]), ("[]", []), ("nothing to list here", []),
-    ('```json\n[{"t":"EMAIL","v":"a@b.com"}]\n```', [("EMAIL", "a@b.com")]), ('[{"type":"full name","value":"Al"}]', [("FULL_NAME", "Al")]),
-    ('[{"t":"","v":"x"},{"v":"y"},{"t":"A","v":""}]', []), ('[{"t":"NAME","v":"Jane', []), ("", []),
+    ('[{"t":"EMAIL","v":"ida@kiln.test"}]', [("EMAIL", "ida@kiln.test")]), ("[]", []), ("nothing to list here", []),
+    ('```json\n[{"t":"EMAIL","v":"ida@kiln.test"}]\n```', [("EMAIL", "ida@kiln.test")]), ('[{"type":"full name","value":"Al"}]', [("FULL_NAME", "Al")]),
+    ('[{"t":"","v":"x"},{"v":"y"},{"t":"A","v":""}]', []), ('[{"t":"NAME","v":"Tess', []), ("", []),
 ])
 def test_parse_responses(spark, content, want):
     df = spark.createDataFrame([(content,)], "c string")
@@ -126,10 +126,10 @@ def test_parse_responses(spark, content, want):
 
 
 def test_second_pass_drops_listed_words_and_skips_markers(spark):
-    texts = spark.createDataFrame([(1, "Telstra customer John called"), (2, "[A_REDACTED] [B]"), (3, "no reply")], "id long, text string")
+    texts = spark.createDataFrame([(1, "parcel for Tess is late"), (2, "[A_REDACTED] [B]"), (3, "no reply")], "id long, text string")
     resp = spark.createDataFrame([(i, '[{"t":"ORGANIZATION","v":"Telstra"},{"t":"NAME","v":"John"},{"t":"X","v":"B"}]') for i in (1, 2)], "id long, content string")
     got = {r.id: (r.text, r.llm_pii_found) for r in second_pass.apply_second_pass(texts, "text", resp, ["id"]).collect()}
-    assert got == {1: ("Telstra customer [NAME_REDACTED] called", 1), 2: ("[A_REDACTED] [B]", 0), 3: ("no reply", 0)}
+    assert got == {1: ("parcel for [NAME_REDACTED] is late", 1), 2: ("[A_REDACTED] [B]", 0), 3: ("no reply", 0)}
 
 
 def _client():
