@@ -17,9 +17,12 @@ the runs ``|2|4|4|3|``.  It fits shapes whose digits are whole runs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
+from pyspark.sql import Column
+
 DIGIT_CLASSES = {
     "#1": r"[0-9]",
     "#6": r"[0-9](?:[-\s.()]{0,4}[0-9]){5}",
@@ -48,6 +51,10 @@ def one_run(*lengths: int) -> tuple[str, ...]:
     return tuple(f"|{n}|" for n in lengths)
 
 
+#: The name of a rule of ``checksums``, or a caller's function from the value column to a boolean column.
+Check = str | Callable[[Column], Column] | None
+
+
 @dataclass(frozen=True)
 class Shape:
     name: str
@@ -79,7 +86,7 @@ class Entity:
     shapes: tuple[Shape, ...]
     context: tuple[str, ...] = ()
     # name of a check in functions.checksums; True raises the score to 1, False drops the match
-    check: str | None = None
+    check: Check = None
     on_by_default: bool = True
 
 

@@ -266,6 +266,11 @@ def register_strategy(name: str, rewriter: Rewriter) -> None:
     _EXTRA[name] = rewriter
 
 
+def is_own(policy: Policy) -> bool:
+    """Whether the strategy was added by the caller, who may have no replacement for some value."""
+    return policy.strategy in _EXTRA
+
+
 def strategy_name(policy: Policy) -> str:
     """The strategy that is used: an unknown one means redaction."""
     known = {"redact", "mask", "replace", "hash", *_EXTRA}

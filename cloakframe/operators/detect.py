@@ -185,7 +185,7 @@ def _certainty(pii_type: Column, value: Column, entities: tuple[Entity, ...]) ->
     out = None
     for e in entities:
         if e.check:
-            verdict = checksums.CHECKS[e.check](value)
+            verdict = (e.check if callable(e.check) else checksums.CHECKS[e.check])(value)
             out = F.when(pii_type == e.pii_type, verdict) if out is None else out.when(pii_type == e.pii_type, verdict)
     return F.lit(None).cast("boolean") if out is None else out
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.arrays import running_sums
 from cloakframe.functions.text import code_points, let, piece, with_computed
 from cloakframe.operators.detect import _quoted, stripped
 from cloakframe.operators.resolve import clusters, dedup, merge
@@ -61,72 +62,116 @@ def is_listed(pii_type: Column, value: Column, words: tuple[str, ...]) -> Column
     return pii_type.isin(*LISTED_TYPES) & F.arrays_overlap(listed, F.split(F.lower(stripped(value)), r"\s+", -1))
 
 
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+
+def _direct(text: Column, low: Column, value: Column) -> Column:
+    """struct(start, end) of ``value`` as written, else whatever the case; null if there is none."""
+    def at(i: Column) -> Column:
+        return F.when(i > 0, _span(i - 1, i - 1 + F.length(value)))
+
+    return F.when(F.length(value) > 0, F.coalesce(
+        let(F.instr(text, value), at), let(F.instr(low, F.lower(value)), at)))
+
+
+def without_blanks(text: Column) -> Column:
+    """A position map: ``low``, the text in lower case without white space, and of each of its runs where it ends there
+    (``ends``) and how far its characters lie from their places in the text (``shift``)."""
+    runs = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    gaps = F.split(text, r"\S+", -1)
+
+    def of(r: Column, g: Column) -> Column:
+        joined = F.array_join(r, "")
+        # a letter whose lower case is longer would move what is behind it
+        low = F.when(F.length(F.lower(joined)) == F.length(joined), F.lower(joined)).otherwise(
+            F.translate(joined, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        return F.struct(low.alias("low"), running_sums(F.transform(r, F.length)).alias("ends"),
+                        running_sums(F.transform(r, lambda _, i: F.length(F.get(g, i)))).alias("shift"))
+
+    return let(F.struct(runs.alias("r"), gaps.alias("g")), lambda x: of(x["r"], x["g"]))
+
+
+def _place(free: Column, i: Column) -> Column:
+    """Where character ``i`` of the text without white space stands in the text."""
+    return i + F.get(free["shift"], F.size(F.filter(free["ends"], lambda e: e <= i)))
+
+
+def _spaced(free: Column, value: Column) -> Column:
+    """struct(start, end) of ``value`` whatever the case and the white space between its characters."""
+    def found(v: Column) -> Column:
+        return let(F.instr(free["low"], v), lambda i: F.when(
+            i > 0, _span(_place(free, i - 1), _place(free, i - 2 + F.length(v)) + 1)))
+
+    bare = F.lower(F.regexp_replace(value, r"\s", ""))
+    return let(bare, lambda v: F.when(F.length(v) > 0, found(v)))
+
+
 def located(text: Column, value: Column) -> Column:
     """struct(start, end) of the first place of ``value`` in ``text``: as written, else whatever the
     case, else whatever the white space between its characters; null if there is none."""
-    span = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-    n = F.length(value)
-
-    def exact(at: Column) -> Column:
-        return F.when(at > 0, span(at - 1, at - 1 + n))
+    return let(_direct(text, F.lower(text), value), lambda d: F.when(d.isNotNull(), d).otherwise(
+        let(without_blanks(text), lambda free: _spaced(free, value))))
 
-    def spaced() -> Column:
-        chars = F.split(F.regexp_replace(value, r"\s", ""), "")
-        pattern = F.concat(F.lit("(?is)"), F.array_join(
-            F.transform(chars, lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))), r"\s*"))
 
-        def at(p: Column) -> Column:
-            i = F.regexp_instr(text, p)
-            return F.when(i > 0, span(i - 1, i - 1 + F.length(F.regexp_substr(text, p))))
+def named(content: Column, policy: Policy, filter_listed: bool = True) -> Column:
+    """What a response names, without what consists of listed words."""
+    if not filter_listed:
+        return parsed(content)
+    return F.filter(parsed(content), lambda r: ~is_listed(r["pii_type"], r["value"], policy.false_positive_words))
 
-        return F.when(~value.rlike(r"\A\s*\z"), let(pattern, at))
 
-    return F.when(F.length(value) > 0, F.coalesce(
-        let(F.instr(text, value), exact),
-        let(F.instr(F.lower(text), F.lower(value)), exact),
-        spaced(),
-    ))
+_FOUND = ("array<struct<ord:int,pii_type:string,value:string,start:int,end:int,confidence:double,detector:string,"
+          "shape:string>>")
 
 
-def response_findings(text: Column, content: Column, policy: Policy, filter_listed: bool = True) -> Column:
-    """Findings of one response in the coordinates of ``text``; the value is read from the text."""
+def with_response_findings(df: DataFrame, text_col: str, contents: str, name: str, policy: Policy,
+                           filter_listed: bool = True) -> DataFrame:
+    """``df`` with the findings of the responses in ``contents`` (an array, or null) in the coordinates of the text; the
+    value is read from the text.  The text is looked through without white space only where a value asks for it, once
+    for all of them.  Each step is a column of its own, computed once."""
+    text = F.col(text_col)
+    items = F.when(is_candidate(text), F.flatten(F.transform(
+        F.col(contents), lambda c: named(c, policy, filter_listed))))
+    df = with_computed(df, "_items", items)
+    direct = let(F.lower(text), lambda low: F.transform("_items", lambda r: F.struct(
+        r["ord"].alias("ord"), r["pii_type"].alias("pii_type"), r["value"].alias("value"),
+        _direct(text, low, r["value"]).alias("at"))))
+    df = df.withColumn("_direct", direct)
+    free = F.when(F.exists("_direct", lambda r: r["at"].isNull()), without_blanks(text))
+    df = df.withColumn("_free", free)
+    placed = let(F.col("_free"), lambda m: F.transform("_direct", lambda r: F.struct(
+        r["ord"].alias("ord"), r["pii_type"].alias("pii_type"),
+        F.when(r["at"].isNotNull(), r["at"]).otherwise(_spaced(m, r["value"])).alias("at"))))
+    df = df.withColumn("_placed", placed)
 
     def finding(r: Column) -> Column:
-        return let(located(text, r["value"]), lambda s: F.when(s.isNotNull(), F.struct(
+        s = r["at"]
+        return F.struct(
             r["ord"].alias("ord"), r["pii_type"].alias("pii_type"),
             F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value"),
             s["start"].alias("start"), s["end"].alias("end"), F.lit(CONFIDENCE).alias("confidence"),
-            F.lit(DETECTOR).alias("detector"), F.lit("response").alias("shape"))))
-
-    def keep(r: Column) -> Column:
-        return ~is_listed(r["pii_type"], r["value"], policy.false_positive_words) if filter_listed else F.lit(True)
+            F.lit(DETECTOR).alias("detector"), F.lit("response").alias("shape"))
 
-    return F.when(is_candidate(text), F.filter(
-        F.transform(F.filter(parsed(content), keep), finding), lambda f: f.isNotNull()))
+    found = F.transform(F.filter("_placed", lambda r: r["at"].isNotNull()), finding)
+    return df.withColumn(name, F.coalesce(found, F.array().cast(_FOUND))).drop("_items", "_direct", "_free", "_placed")
 
 
-def _by_text(responses: DataFrame, ids: list[str]) -> DataFrame:
+def _by_text(responses: DataFrame, ids: list[str], policy: Policy, filter_listed: bool = True) -> DataFrame:
     """(ids, _contents): all answers that name something, together for each text, so that a text that was answered
-    twice stays one row."""
-    return responses.where(F.col("content").contains("{")).groupBy(*ids).agg(
+    twice stays one row; texts whose answers name nothing are not joined at all."""
+    return responses.where(F.size(named(F.col("content"), policy, filter_listed)) > 0).groupBy(*ids).agg(
         F.sort_array(F.collect_set("content")).alias("_contents"))
 
 
-def _all_findings(text: Column, contents: Column, policy: Policy, filter_listed: bool = True) -> Column:
-    each = F.transform(contents, lambda c: F.coalesce(response_findings(text, c, policy, filter_listed), F.lit([]).cast(
-        "array<struct<ord:int,pii_type:string,value:string,start:int,end:int,confidence:double,detector:string,"
-        "shape:string>>")))
-    return F.flatten(each)
-
-
 def second_pass_findings(texts: DataFrame, text_col: str, responses: DataFrame, ids: list[str],
                          policy: Policy | None = None, filter_listed: bool = True) -> DataFrame:
     """One row per located finding of the responses (ids, content)."""
     policy = policy or Policy()
     asked = candidates(texts.select(*ids, F.col(text_col).alias("_text")), "_text")
-    joined = asked.join(_by_text(responses, ids), ids)
-    found = joined.select(
-        *ids, "_text", F.explode_outer(_all_findings(F.col("_text"), F.col("_contents"), policy, filter_listed)).alias("_f"))
+    joined = asked.join(_by_text(responses, ids, policy, filter_listed), ids)
+    found = with_response_findings(joined, "_text", "_contents", "_found", policy, filter_listed).select(
+        *ids, "_text", F.explode_outer("_found").alias("_f"))
     points = code_points(F.col("_text"))
     left = F.greatest(F.col("_f.start") - 20, F.lit(0))
     around = piece(points, left, F.least(F.col("_f.end") + 20, F.length("_text")) - left)
@@ -142,16 +187,12 @@ def apply_second_pass(texts: DataFrame, text_col: str, responses: DataFrame, ids
     from cloakframe.plans.rewrite import rewritten
 
     policy = policy or Policy()
-    joined = texts.join(_by_text(responses, ids), ids, "left")
+    joined = texts.join(_by_text(responses, ids, policy), ids, "left")
     text = F.col(text_col)
-
-    def kept(found: Column) -> Column:
-        return F.flatten(F.transform(clusters(found), lambda c: let(dedup(c), merge)))
-
-    empty = F.array().cast("array<struct<ord:int,pii_type:string,value:string,start:int,end:int,confidence:double,"
-                           "detector:string,shape:string>>")
-    spans = let(F.coalesce(_all_findings(text, F.col("_contents"), policy), empty), kept)
-    done = with_computed(joined, "_p", let(spans, lambda k: F.struct(
+    found = with_response_findings(joined, text_col, "_contents", "_found", policy)
+    found = found.withColumn("_groups", clusters(F.col("_found")))
+    found = found.withColumn("_kept", F.flatten(F.transform("_groups", lambda c: let(dedup(c), merge))))
+    done = with_computed(found, "_p", let(F.col("_kept"), lambda k: F.struct(
         rewritten(text, k, policy).alias("text"), F.size(k).alias("n"))))
     out = []
     for c in texts.columns:
@@ -164,6 +205,14 @@ def apply_second_pass(texts: DataFrame, text_col: str, responses: DataFrame, ids
     return done.select(*out, F.col("_p.n").alias("llm_pii_found"))
 
 
+def answered(texts: DataFrame, text_col: str, responses: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, content, failed): every candidate text with its answer in the table ``responses`` (ids, content); without
+    one it failed."""
+    asked = candidates(texts, text_col).select(*ids)
+    return asked.join(responses.select(*ids, "content"), ids, "left").select(
+        *ids, "content", F.col("content").isNull().alias("failed"))
+
+
 def infer(texts: DataFrame, text_col: str, ids: list[str], make_client: Callable[[], Callable[[str], str]],
           concurrency: int = 8) -> DataFrame:
     """Responses (ids, content, error) of a model for every candidate text.

@@ -30,17 +30,22 @@ def long_form(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 
 def rewrite_columns(df: DataFrame, columns: list[str] | None = None, policy: Policy | None = None) -> DataFrame:
     """Rewrites each chosen column inside its row (all columns when None); the others stay, and so does
-    the order.  Adds pii_found and pii_anonymized over all columns, and status."""
+    the order.  Adds pii_found and pii_anonymized over all columns, status and error: a cell that fails is withheld and
+    fails its row, the other cells of the row are rewritten."""
     from cloakframe.sources.tables import checked_columns
 
     policy = policy or Policy()
     columns = checked_columns(df, columns)
-    out, found, applied = df, F.lit(0), F.lit(0)
+    out, found, applied, errors = df, F.lit(0), F.lit(0), []
     for i, c in enumerate(columns):
         out = rewrite_text(out.withColumn(c, F.col(c).cast("string")), c, policy)
-        out = out.withColumnsRenamed({"pii_found": f"_found{i}", "pii_anonymized": f"_applied{i}"}).drop("entries", "status")
+        out = out.withColumnsRenamed({"pii_found": f"_found{i}", "pii_anonymized": f"_applied{i}", "error": f"_error{i}"}).drop(
+            "entries", "status")
         found, applied = found + F.col(f"_found{i}"), applied + F.col(f"_applied{i}")
-    return out.select(*df.columns, found.alias("pii_found"), applied.alias("pii_anonymized"), F.lit("ok").alias("status"))
+        errors.append(F.concat(F.lit(f"{c}: "), F.col(f"_error{i}")))
+    error = F.coalesce(*errors) if errors else F.lit(None).cast("string")
+    return out.select(*df.columns, found.alias("pii_found"), applied.alias("pii_anonymized"),
+                      F.when(error.isNotNull(), "failed").otherwise("ok").alias("status"), error.alias("error"))
 
 
 def spliced(df: DataFrame, text_col: str, ids: list[str], kept: DataFrame, policy: Policy,

@@ -82,6 +82,8 @@ class Policy:
     mask: Mask = field(default_factory=Mask)
     hash: Hash = field(default_factory=Hash)
     replace_with: Replace = field(default_factory=Replace)
+    #: A longer text fails instead of being analysed; None for no limit.
+    max_chars: int | None = None
 
     def __post_init__(self):
         unknown = [t for t in self.entities or () if t not in registered_entities()]
@@ -107,8 +109,10 @@ def registered_entities() -> dict[str, patterns.Entity]:
     return {**patterns.BY_TYPE, **_EXTRA}
 
 
-def register_patterns(pii_type: str, shapes, context=(), check: str | None = None) -> None:
-    """Adds an entity: ``shapes`` is a list of (name, regex, score) or of Shape."""
+def register_patterns(pii_type: str, shapes, context=(), check: patterns.Check = None) -> None:
+    """Adds an entity: ``shapes`` is a list of (name, regex, score) or of Shape.  ``check`` judges a match like check
+    digits do: the name of a built-in rule, or a function from the value column to a boolean column; true makes the
+    match certain, false drops it, null leaves its score."""
     built = tuple(s if isinstance(s, patterns.Shape) else patterns.Shape(*s) for s in shapes)
     _EXTRA[pii_type] = patterns.Entity(pii_type, built, tuple(context), check)
 

@@ -30,7 +30,7 @@ def sink_text(done: DataFrame, target: str, path_col: str = "path", text_col: st
 def sink_csv(done: DataFrame, columns: list[str], target: str, mode: str = "errorifexists",
              order_by: str | None = None) -> None:
     """The input's columns in their order, with a header.  ``order_by`` names a column with the rows' order, for
-    instance a line number: files and the rows in them then follow it, by a range sort."""
+    instance ``tables.ORDER``, as ``scan_csv`` adds it: files and the rows in them then follow it, by a range sort."""
     done = done.orderBy(order_by) if order_by else done
     done.select(*columns).write.mode(mode).csv(target, header=True, quote='"', escape='"', emptyValue="",
                                                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

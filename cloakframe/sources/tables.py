@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cloakframe.operators.lookup import lookup
+from cloakframe.sources.staging import staged
+
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """A parquet table as it lies, only the named columns.
@@ -19,11 +22,37 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.repartition(int(spread)) if spread else df
 
 
-def scan_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+#: Where a row stood in its input: file, where its block begins in the file, and a number that grows inside the block.
+ORDER = "row_order"
+
+
+def scan_csv(spark: SparkSession, path: str, line_breaks: bool = True, row_order: bool = False) -> DataFrame:
     """Header CSV; every cell is a string.  Quoted cells may hold line breaks, unless ``line_breaks`` is off: a file
-    is then split over tasks, else it is one task's work."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks, quote='"', escape='"',
-                          ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=False)
+    is then split over tasks, else it is one task's work.  ``row_order`` adds the column ``ORDER``, by which the input's
+    order can be had again after any shuffle."""
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks, quote='"', escape='"',
+                        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=False)
+    return with_order(df) if row_order else df
+
+
+def with_order(scan: DataFrame) -> DataFrame:
+    """A file scan with ``ORDER``.  A block of a file is read in order by one task, so the generated numbers grow with the
+    rows of a block, whatever task reads it; files follow their paths."""
+    return scan.select("*", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq")).alias(ORDER))
+
+
+def numbered(df: DataFrame, name: str = "row_number") -> DataFrame:
+    """``df`` with ``ORDER`` replaced by row numbers from 0 over all files: counts by block are added up, and only that
+    table, a row for each block of input, is sorted as a whole."""
+    block = [F.col(f"{ORDER}.file").alias("_file"), F.col(f"{ORDER}.block").alias("_block")]
+    rows = staged(df.select("*", *block), "rows")
+    counts = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min(f"{ORDER}.seq").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return lookup(rows, starts, ["_file", "_block"]).select(
+        *[c for c in df.columns if c != ORDER], (F.col("_start") + F.col(f"{ORDER}.seq") - F.col("_first")).alias(name))
 
 
 def checked_columns(df: DataFrame, columns: list[str] | None) -> list[str]:

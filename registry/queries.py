@@ -23,7 +23,9 @@ from cloakframe.policy import (
 from cloakframe.sources import sinks
 from cloakframe.sources.crm_notes import synth_crm_notes, synth_sql
 from cloakframe.sources.staging import shared_folder, staged
-from cloakframe.sources.tables import checked_columns, read_table, require_rows, scan_csv, scan_text_corpus
+from cloakframe.sources.tables import (
+    ORDER, checked_columns, numbered, read_table, require_rows, scan_csv, scan_text_corpus,
+)
 from registry import notes as N
 from registry import sql as S
 from cloakframe.functions import patterns
@@ -500,6 +502,33 @@ def _with_own_pattern(spark, sf):
 with _own_pattern() as _own:
     register("register_patterns", _with_own_pattern, f"WITH {S.kept_ctes(N.NOTES, _own)},\n{S.spliced_ctes(S.REDACT)}\n"
              "SELECT id, text AS new_text, n AS n_applied FROM spliced")
+
+
+def by_three(value):
+    """A caller's check: the digits add up to a multiple of three."""
+    digits = F.filter(F.split(value, ""), lambda c: c.between("0", "9"))
+    return F.aggregate(digits, F.lit(0), lambda a, c: a + c.cast("int")) % 3 == 0
+
+
+S.CHECKS[by_three] = lambda v: (f"(list_sum(list_transform(string_split({S.digits(v)}, ''), lambda c: CAST(c AS INT))) % 3 = 0)")
+
+
+@contextmanager
+def _own_check():
+    register_patterns("CHECKED_LOCATION", [("checked", r"\bLOC\d{12}\b", 0.4)], check=by_three)
+    try:
+        yield Policy(entities=("CHECKED_LOCATION", "EMAIL_ADDRESS"))
+    finally:
+        unregister_patterns("CHECKED_LOCATION")
+
+
+def _with_own_check(spark, sf):
+    with _own_check() as policy:
+        return detect(notes(spark, sf), "text", ["id"], policy, with_context=False).selectExpr(*FOUND)
+
+
+with _own_check() as _own:
+    register("register_validator", _with_own_check, f"WITH {S.found_ctes(N.NOTES, _own)} SELECT {FOUND_SQL} FROM found")
 _rewrite("rewrite_notes", "notes", Policy(), S.REDACT)
 
 
@@ -637,11 +666,33 @@ register(
     f"""WITH {_DONE_CTE} SELECT src.id, coalesce(a.n, 0) AS pii_found, coalesce(b.n, 0) AS pii_anonymized, 0::BIGINT AS llm_pii_found FROM src
 LEFT JOIN (SELECT id, count(*) AS n FROM found GROUP BY id) a USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM kept GROUP BY id) b USING (id)""",
 )
+
+
+def _broken(spark, sf):
+    """Notes of which every 17th holds a byte that UTF-8 does not know, and every 19th is long."""
+    text = F.when(F.col("id") % 17 == 0, F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff")).cast("string")).when(
+        F.col("id") % 19 == 0, F.repeat("text", F.lit(9))).otherwise(F.col("text"))
+    return notes(spark, sf).withColumn("text", text)
+
+
+_BROKEN_POLICY = _DOC_POLICY.but(max_chars=1500)
+_UNFIT_SQL = ("CASE WHEN id % 17 = 0 THEN 'not valid UTF-8' WHEN id % 19 = 0 AND length(text) * 9 > 1500 "
+              "THEN 'longer than 1500 characters' END")
+_BROKEN_CTE = f"""{S.kept_ctes(f"SELECT * FROM ({N.NOTES}) WHERE {_UNFIT_SQL} IS NULL", _DOC_POLICY)},
+broken AS (SELECT id, {_UNFIT_SQL} AS error FROM ({N.NOTES}))"""
 register(
     "csv_run_totals",
-    lambda spark, sf: report.run_totals(_done(spark, sf)),
-    f"""WITH {_DONE_CTE} SELECT (SELECT count(*) FROM src) AS rows_processed, 0::BIGINT AS rows_failed, (SELECT count(*) FROM kept) AS total_pii_found,
- 0::BIGINT AS llm_pii_found, round((SELECT count(*) FROM kept) / (SELECT count(*) FROM src)::DOUBLE, 1) AS pii_per_row""",
+    lambda spark, sf: report.run_totals(rewrite_text(_broken(spark, sf), "text", _BROKEN_POLICY)),
+    f"""WITH {_BROKEN_CTE} SELECT (SELECT count(*) FROM broken) AS rows_processed, (SELECT count(error) FROM broken) AS rows_failed,
+ (SELECT count(*) FROM kept) AS total_pii_found, 0::BIGINT AS llm_pii_found,
+ round((SELECT count(*) FROM kept) / (SELECT count(*) FROM broken)::DOUBLE, 1) AS pii_per_row""",
+)
+register(
+    "rewrite_failures",
+    lambda spark, sf: rewrite_text(_broken(spark, sf), "text", _BROKEN_POLICY).select("id", "text", "status", "error"),
+    f"""WITH {_BROKEN_CTE},
+{S.spliced_ctes(S.REDACT)} SELECT id, spliced.text AS text, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status, error
+FROM broken LEFT JOIN spliced USING (id)""",
 )
 register(
     "corpus_run_summary",
@@ -788,27 +839,13 @@ SELECT two.id, two.text, one.n + two.n AS pii_anonymized, two.n AS llm_pii_found
 )
 
 
-def _infer(spark, sf):
-    # defined here, so that it travels to the workers by value
-    def make_client():
-        """Stands in for a model: reports a text's first odd box, and fails on texts without one."""
-        import json
-        import re
-
-        def client(text: str) -> str:
-            return json.dumps([{"t": "PO_BOX", "v": re.search(r"PO Box [0-9]*[13579]\b", text).group(0)}])
-
-        return client
-
-    return second_pass.infer(notes(spark, sf), "text", ["id"], make_client).select(
-        "id", "content", F.col("error").isNotNull().alias("failed"))
-
-
 register(
     "second_pass_infer",
-    _infer,
-    f"""SELECT id, CASE WHEN v <> '' THEN '[{{"t": "PO_BOX", "v": "' || v || '"}}]' END AS content, v = '' AS failed
-FROM (SELECT id, regexp_extract(text, 'PO Box [0-9]*[13579]\\b') AS v FROM ({N.NOTES}))""",
+    lambda spark, sf: second_pass.answered(
+        _first_pass(spark, sf), "text", responses(spark, sf).where("id % 6 <> 2"), ["id"]).select("id", "content", "failed"),
+    f"""WITH {_FIRST_CTE}, resp AS ({_RESPONSES})
+SELECT s.id, r.content, r.content IS NULL AS failed FROM spliced s LEFT JOIN (SELECT * FROM resp WHERE id % 6 <> 2) r USING (id)
+WHERE NOT regexp_matches(s.text, '\\A[\\s\\[\\]A-Z_]*\\z')""",
 )
 
 # ---- 2.1 sources, 2.2 sinks, 2.12 streams: written and read back -------------------------------
@@ -830,7 +867,22 @@ def _csv_round_trip(spark, sf):
 
 _CSV_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, 'says "call [AU_PHONE_NUMBER_REDACTED]",' || chr(10) || 'mail [EMAIL_ADDRESS_REDACTED]' AS notes FROM customer"""
 register("scan_csv", _csv_round_trip, _CSV_SQL)
-register("sink_csv", _csv_round_trip, _CSV_SQL)
+
+
+def _csv_in_order(spark, sf):
+    """Many files in an order of their own, read, dealt out anew by a shuffle, rewritten, and written in that order."""
+    folder = shared_folder(spark, "csv-order")
+    notes_ = read_table(spark, f"{sf}/customer.parquet").select(
+        F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("a, \"b\"\nmail c"), "c_custkey", F.lit("@corp.test")).alias("note"))
+    notes_.orderBy(F.reverse("id")).write.option("maxRecordsPerFile", 37).csv(f"{folder}/in", header=True, quote='"', escape='"')
+    rows = scan_csv(spark, f"{folder}/in", row_order=True)
+    done = rewrite_columns(rows.repartition("id"), ["note"], Policy(entities=("EMAIL_ADDRESS",)))
+    sinks.sink_csv(done, ["id", "note"], f"{folder}/out", order_by=ORDER)
+    return numbered(scan_csv(spark, f"{folder}/out", row_order=True))
+
+
+register("sink_csv", _csv_in_order, """SELECT CAST(c_custkey AS VARCHAR) AS id, 'a, "b"' || chr(10) || 'mail [EMAIL_ADDRESS_REDACTED]' AS note,
+ row_number() OVER (ORDER BY reverse(CAST(c_custkey AS VARCHAR))) - 1 AS row_number FROM customer""")
 
 
 def _text_sink(spark, sf):
