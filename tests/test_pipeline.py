@@ -1,20 +1,26 @@
 import glob
 import json
 import os
+import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cloakframe.functions import strategies
 from cloakframe.operators import report, second_pass
+from cloakframe.operators.detect import detect
 from cloakframe.operators.pseudonyms import pseudonym_map
 from cloakframe.plans.rewrite import rewrite_text
 from cloakframe.plans.tables import rewrite_columns, resolved_findings, rewrite_with
-from cloakframe.policy import Policy
+from cloakframe.policy import Policy, register_patterns, unregister_patterns
 from cloakframe.sources import sinks
 from cloakframe.sources.crm_notes import known_values, synth_crm_notes
-from cloakframe.sources.tables import checked_columns, read_table, require_rows, scan_csv, scan_text_corpus
+from cloakframe.sources.tables import (
+    ORDER, checked_columns, numbered, read_table, require_rows, scan_csv, scan_text_corpus,
+)
 from cloakframe.streaming.stream import read_stream, stream_rewrite, stream_pseudonyms
 from registry.queries import ORACLES, QUERIES, notes
 from tests.lines import LINES
@@ -87,7 +93,7 @@ def test_no_shuffle_and_no_python_in_the_rewrite(spark, sf):
 def test_columns(spark):
     df = spark.createDataFrame([(1, "a@b.org", "x", None), (2, "", "call 0412 345 678", "z")], "id long, m string, n string, o string")
     got = rewrite_columns(df, ["m", "n"]).collect()
-    assert [tuple(r) for r in got] == [(1, "[EMAIL_ADDRESS_REDACTED]", "x", None, 1, 1, "ok"), (2, "", "call [AU_PHONE_NUMBER_REDACTED]", "z", 1, 1, "ok")]
+    assert [tuple(r) for r in got] == [(1, "[EMAIL_ADDRESS_REDACTED]", "x", None, 1, 1, "ok", None), (2, "", "call [AU_PHONE_NUMBER_REDACTED]", "z", 1, 1, "ok", None)]
     with pytest.raises(ValueError, match="Columns not found"):
         checked_columns(df, ["m", "nope"])
     with pytest.raises(ValueError, match="empty"):
@@ -105,6 +111,89 @@ def test_a_bad_finding_fails_its_text_only(spark):
     assert kept[2] == "dear Otto"
 
 
+def broken(spark):
+    return spark.createDataFrame([(1, b"ida@kiln.test"), (2, b"ida@kiln.test \xff\xfe"), (3, b"ida@kiln.test " * 9), (4, b""), (5, None)],
+                                 "id long, b binary").select("id", F.col("b").cast("string").alias("text"))
+
+
+def test_a_row_that_cannot_be_analysed_fails_alone(spark):
+    policy = Policy(entities=("EMAIL_ADDRESS",), max_chars=100)
+    done = rewrite_text(broken(spark), "text", policy)
+    got = {r.id: (r.text, r.status, r.error, r.pii_anonymized) for r in done.collect()}
+    assert got == {1: ("[EMAIL_ADDRESS_REDACTED]", "ok", None, 1), 2: (None, "failed", "not valid UTF-8", 0),
+                   3: (None, "failed", "longer than 100 characters", 0), 4: ("", "skipped", None, 0), 5: (None, "skipped", None, 0)}
+    totals = report.run_totals(done).first()
+    assert (totals.rows_processed, totals.rows_failed, totals.total_pii_found) == (5, 2, 1)
+    kept = rewrite_text(broken(spark).where("id = 3"), "text", policy, keep_failed_text=True).first()
+    assert (kept.text, kept.status, kept.entries) == ("ida@kiln.test " * 9, "failed", [])
+    table = rewrite_columns(broken(spark).withColumn("other", F.lit("otto@kiln.test")), ["text", "other"], policy)
+    got = {r.id: (r.text, r.other, r.status, r.error) for r in table.collect()}
+    assert got[2] == (None, "[EMAIL_ADDRESS_REDACTED]", "failed", "text: not valid UTF-8") and got[1][2] == "ok"
+
+
+def test_a_strategy_without_a_replacement_fails_the_row(spark):
+    strategies.register_strategy("only_mail", lambda t, v: F.when(t == "EMAIL_ADDRESS", F.lit("<mail>")))
+    df = spark.createDataFrame([(1, "ida@kiln.test"), (2, "ida@kiln.test 10.0.0.7"), (3, "plain")], "id long, text string")
+    got = {r.id: (r.text, r.status, r.error) for r in rewrite_text(
+        df, "text", Policy(entities=("EMAIL_ADDRESS", "IP_ADDRESS"), strategy="only_mail")).collect()}
+    assert got == {1: ("<mail>", "ok", None), 2: (None, "failed", "no replacement for IP_ADDRESS"), 3: ("plain", "ok", None)}
+
+
+def test_a_callers_check(spark):
+    df = spark.createDataFrame([(1, "part KN-12 and KN-13 and KN-00")], "id long, text string")
+    number = lambda v: F.right(v, F.lit(2)).cast("int")
+    register_patterns("EVEN_PART", [("kn", r"\bKN-\d{2}\b", 0.6)], check=lambda v: F.when(number(v) > 0, number(v) % 2 == 0))
+    try:
+        got = {r.value: r.confidence for r in detect(df, "text", ["id"], Policy(entities=("EVEN_PART",))).collect()}
+    finally:
+        unregister_patterns("EVEN_PART")
+    assert got == {"KN-12": 1.0, "KN-00": 0.6}
+
+
+def test_order_of_many_files(spark, tmp_path):
+    """Files and rows in them come back in their order after a shuffle, with line breaks in cells or files cut into blocks."""
+    for i in range(7):
+        (tmp_path / f"f{i}.csv").write_text("n,t\n" + "".join(f'{i * 1000 + k},"x{k}"\n' for k in range(i * 40)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        for line_breaks in (True, False):
+            rows = scan_csv(spark, str(tmp_path), line_breaks, row_order=True)
+            shuffled = rows.repartition(5, "t")
+            want = [str(i * 1000 + k) for i in range(7) for k in range(i * 40)]
+            assert [r.n for r in shuffled.orderBy(ORDER).collect()] == want
+            got = {r.n: r.row_number for r in numbered(shuffled).collect()}
+            assert got == {n: i for i, n in enumerate(want)}
+            out = str(tmp_path / f"out-{line_breaks}")
+            sinks.sink_csv(shuffled, ["n", "t"], out, order_by=ORDER)
+            again = numbered(scan_csv(spark, out, row_order=True)).orderBy("row_number").collect()
+            assert [r.n for r in again] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_locate_equals_a_plain_search(spark):
+    """As written, else whatever the case, else whatever the white space."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(400):
+        text = "".join(draw.choice("abAB \t\n😀é") for _ in range(draw.randint(0, 25)))
+        value = "".join(draw.choice("abAB 😀é") for _ in range(draw.randint(0, 4)))
+        rows.append((i, text, value))
+    rows += [(400, "x " * 3000 + "q\nQ", "qq"), (401, "İ x\ty", "xY"), (402, "a.b", "a b"), (403, " a b", "AB")]
+
+    def plain(text, value):
+        for t, v in ((text, value), (text.lower(), value.lower())):
+            if value and (at := t.find(v)) >= 0:
+                return at, at + len(v)
+        bare = re.sub(r"\s", "", value)
+        m = bare and re.search(r"\s*".join(map(re.escape, bare)), text, re.I)
+        return (m.start(), m.end()) if m else None
+
+    df = spark.createDataFrame(rows, "id long, t string, v string")
+    got = {r.id: r.p and (r.p.start, r.p.end) for r in df.select("id", second_pass.located(F.col("t"), F.col("v")).alias("p")).collect()}
+    assert got == {i: plain(t, v) for i, t, v in rows}
+
+
 @pytest.mark.parametrize("text,value,want", [
     ("Try 0481 222 733 first", "0481222733", (4, 16)), ("parcel for TESS O'REED only", "tess o'reed", (11, 22)),
     ("a.c abc", "a.c", (0, 3)), ("xx", "nope", None), ("xx", "  ", None), ("12 [x] \\E", "[X]\\e", (3, 9)),
