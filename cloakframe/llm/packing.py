@@ -8,11 +8,12 @@ each token it will hold is least is opened, given what is left to fill it with.
 shortest permitted length that holds its contents.
 
 Then every piece gets its place by its rank among pieces of its length; ranks come from counts by length and salt
-and a numbering inside each, so a length that a third of all pieces share is still spread over many tasks.
+and a numbering inside each.  There are as many salts as the number of pieces asks for, so a length that most pieces
+share is spread over many tasks, of about ``PER_TASK`` pieces each, at every size of the corpus.
 
 Defined cases: a null or empty text has no tokens and gets one row without a bin; texts longer than the longest
-sequence are cut into pieces of that length and a rest; rows with null or repeated ids are packed like others;
-an empty table gives an empty result.
+sequence are cut into pieces of that length and a rest; rows with null or repeated ids are packed like others, and
+``text_key`` tells the texts of one id apart; extra columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from cloakframe.llm.common import words
 from cloakframe.sources.staging import staged
 
 LENGTHS = (512, 1024, 2048, 4096)
-SALTS = 64
+#: About so many pieces of one length are numbered by one task.
+PER_TASK = 1 << 16
 
 
 def cost(length: int) -> float:
@@ -140,15 +142,17 @@ def word_count(text: Column) -> Column:
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS,
            measure: Callable[[Column], Column] = word_count, price: Callable[[int], float] = cost) -> DataFrame:
-    """(id, piece, first_token, n_tokens, bin, sequence_length, offset): one row for each piece of each text."""
+    """(id, piece, first_token, n_tokens, text_key, bin, sequence_length, offset): one row for each piece of each text."""
     longest = max(lengths)
-    texts = docs.select(F.col(id_col).alias("id"), measure(F.col(text_col)).cast("long").alias("tokens"))
+    texts = docs.select(F.col(id_col).alias("id"), measure(F.col(text_col)).cast("long").alias("tokens"),
+                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / longest) - 1, F.lit(0)))
-    pieces = staged(
-        texts.select("id", "tokens", F.explode(parts).alias("piece")).select(
+    cut = staged(
+        texts.select("id", "tokens", "text_key", F.explode(parts).alias("piece")).select(
             "id", "piece", (F.col("piece") * longest).alias("first_token"),
-            F.least(F.col("tokens") - F.col("piece") * longest, F.lit(longest)).alias("n_tokens"),
-        ).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+            F.least(F.col("tokens") - F.col("piece") * longest, F.lit(longest)).alias("n_tokens"), "text_key"), "pieces")
+    salts = max(1, -(-cut.count() // PER_TASK))
+    pieces = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "text_key"), F.lit(salts)))
     counts = pieces.where("n_tokens > 0").groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).collect()
     histogram: dict[int, int] = defaultdict(int)
     before: dict[tuple[int, int], int] = {}
@@ -156,33 +160,35 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         before[r["n_tokens"], r["salt"]] = histogram[r["n_tokens"]]
         histogram[r["n_tokens"]] += r["n"]
     shared = docs.sparkSession.sparkContext.broadcast((before, Places(plan(histogram, lengths, price))))
-    order = Window.partitionBy("n_tokens", "salt").orderBy("id", "piece")
+    order = Window.partitionBy("n_tokens", "salt").orderBy("id", "piece", "text_key")
     ranked = pieces.where("n_tokens > 0").withColumn("rank", F.row_number().over(order) - 1)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier, places = shared.value
         for batch in batches:
-            n, salt, rank = (batch.column(c).to_pylist() for c in (3, 4, 5))
+            n, salt, rank = (batch.column(c).to_pylist() for c in (3, 5, 6))
             out = [places.of(a, earlier[a, s] + r) for a, s, r in zip(n, salt, rank)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], *(pa.array([o[i] for o in out], pa.int64()) for i in range(3))],
-                names=["id", "piece", "first_token", "n_tokens", "bin", "sequence_length", "offset"])
+                [*batch.columns[:5], *(pa.array([o[i] for o in out], pa.int64()) for i in range(3))],
+                names=["id", "piece", "first_token", "n_tokens", "text_key", "bin", "sequence_length", "offset"])
 
-    schema = (f"id {kind}, piece long, first_token long, n_tokens long, bin long, sequence_length long, offset long")
+    schema = (f"id {kind}, piece long, first_token long, n_tokens long, text_key long, bin long, sequence_length long, offset long")
     return ranked.select("id", F.col("piece").cast("long").alias("piece"), F.col("first_token").cast("long").alias(
-        "first_token"), "n_tokens", "salt", "rank").mapInArrow(run, schema).unionByName(
+        "first_token"), "n_tokens", "text_key", "salt", "rank").mapInArrow(run, schema).unionByName(
         pieces.where("n_tokens = 0").select(
-            "id", F.col("piece").cast("long").alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens",
+            "id", F.col("piece").cast("long").alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens", "text_key",
             *(F.lit(None).cast("long").alias(c) for c in ("bin", "sequence_length", "offset"))))
 
 
 def sequences(packing: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bin, sequence_length, text): the words of each bin's pieces joined, pieces in order of their offsets.  A bin
     holds at most the longest sequence, so what meets in one row is bounded.  Measured in words, as by default."""
-    texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).dropDuplicates(["id"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), words(text).alias("w")).dropDuplicates(["_id", "_key"])
     part = F.array_join(F.slice("w", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int")), " ")
-    return packing.where("bin is not null").join(texts, "id").select(
+    return packing.where("bin is not null").join(
+        texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select(
         "bin", "sequence_length", F.struct("offset", part.alias("text")).alias("p")).groupBy(
         "bin", "sequence_length").agg(F.sort_array(F.collect_list("p")).alias("p")).select(
         "bin", "sequence_length", F.array_join("p.text", "\n").alias("text"))

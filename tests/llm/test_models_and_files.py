@@ -283,6 +283,19 @@ def test_sequences_hold_the_words(spark):
     out = packing.sequences(packing.packed(df, lengths=(32, 64)), df, "doc_id").collect()
     words = sorted(w for r in out for w in WORD.findall(r.text))
     assert words == sorted(w for i in range(20) for w in prose(i, 5 + 11 * i))
+    rows = awkward() + [(3, "another text of three"), (3, "and one more")]
+    df = docs(spark, rows)
+    out = packing.sequences(packing.packed(df, lengths=(64, 256, 1024)), df, "doc_id").collect()
+    assert sorted(w for r in out for w in WORD.findall(r.text)) == sorted(w for _, t in rows for w in WORD.findall(t or ""))
+
+
+def test_packing_numbers_pieces_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_TASK", 100)
+    rows = [(i % 50, " ".join(prose(i, 9))) for i in range(1500)]
+    got = packing.packed(docs(spark, rows), lengths=(32, 64)).collect()
+    places = {(r.bin, r.offset) for r in got}
+    assert len(got) == len(places) == 1500 and {r.n_tokens for r in got} == {10}
+    assert all(r.offset + 10 <= r.sequence_length for r in got)
 
 
 def pages(spark, rows):
