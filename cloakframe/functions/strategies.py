@@ -118,7 +118,7 @@ def mask_ip(value: Column, o: Mask = Mask()) -> Column:
 def mask(pii_type: Column, value: Column, o: Mask = Mask()) -> Column:
     return (
         F.when(pii_type.isin(*EMAIL_TYPES), mask_email(value, o))
-        .when(pii_type.isin(*PHONE_TYPES), mask_phone(value, o))
+        .when(pii_type.isin(*PHONE_TYPES, *["AU_PHONE_NUMBER"] * o.au_phones), mask_phone(value, o))
         .when(pii_type.isin(*SSN_TYPES), mask_ssn(value, o))
         .when(pii_type.isin(*CARD_TYPES), mask_credit_card(value, o))
         .when(pii_type.isin(*IP_TYPES), mask_ip(value, o))

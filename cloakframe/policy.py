@@ -47,6 +47,8 @@ class Mask:
     phone_visible_chars: int = 3
     ssn_visible_chars: int = 4
     credit_card_visible_chars: int = 4
+    #: Mask AU_PHONE_NUMBER like other phones instead of like any value.
+    au_phones: bool = False
 
 
 @dataclass(frozen=True)

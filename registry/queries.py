@@ -18,7 +18,7 @@ from cloakframe.operators.detect import (
 from cloakframe.plans.rewrite import rewrite_text
 from cloakframe.plans.tables import rewrite_columns, long_form, resolved_findings, rewrite_known, rewrite_with
 from cloakframe.policy import (
-    FALSE_POSITIVE_WORDS, SKIPPED_TYPES, Policy, Redact, Replace, register_patterns, unregister_patterns,
+    FALSE_POSITIVE_WORDS, SKIPPED_TYPES, Mask, Policy, Redact, Replace, register_patterns, unregister_patterns,
 )
 from cloakframe.sources import sinks
 from cloakframe.sources.crm_notes import synth_crm_notes, synth_sql
@@ -447,6 +447,8 @@ _rewrite("apply_splice", "documents", Policy(entities=("EMAIL_ADDRESS", "IP_ADDR
 _rewrite("redact_typed", "notes", Policy(entities=_SOME), S.REDACT)
 _rewrite("redact_token", "notes", Policy(entities=_SOME, redact=Redact(type_specific=False)), "'[REDACTED]'")
 _rewrite("mask_dispatch", "notes", Policy(entities=_STRUCTURED, strategy="mask"), S.mask("pii_type", "value"))
+_rewrite("mask_au_phone", "notes", Policy(entities=("AU_PHONE_NUMBER", "US_SSN"), strategy="mask", mask=Mask(au_phones=True)),
+         f"(CASE WHEN pii_type = 'AU_PHONE_NUMBER' THEN {S.mask_phone('value')} ELSE {S.mask('pii_type', 'value')} END)")
 _rewrite("hash_sha256", "notes", Policy(entities=_SOME, strategy="hash"), S.hashed("pii_type", "value"))
 _rewrite("replace_pseudonym", "notes", Policy(entities=_STRUCTURED, strategy="replace", replace_with=_SEEDED), S.pseudonym("pii_type", "value", SEED))
 _rewrite("replace_fallback", "notes", Policy(entities=_SOME, strategy="replace", replace_with=Replace(available=False)),
@@ -907,14 +909,15 @@ register("sink_backup", _backup, "SELECT doc_id AS id, text FROM documents")
 
 
 def _corpus_scan(spark, sf):
-    """Conversations as one text file each, read as a folder."""
+    """Conversations as one text file each, read as a folder; the first line of a file names its conversation."""
     folder = shared_folder(spark, "corpus")
     turns = read_table(spark, f"{sf}/conversations.parquet", "conv_id", "turn", "text").groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    turns.select(F.array_join("t.text", "\n").alias("value"), "conv_id").repartition("conv_id").write.partitionBy(
-        "conv_id").option("lineSep", "\n").text(folder)
-    found = scan_text_corpus(spark, folder, recursive=True)
-    return found.select(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("id"), "text")
+    turns.select(F.concat_ws("\n", "conv_id", F.array_join("t.text", "\n")).alias("value")).write.option(
+        "maxRecordsPerFile", 1).text(folder)
+    found = scan_text_corpus(spark, folder)
+    first = F.substring_index("text", "\n", 1)
+    return found.select(first.cast("long").alias("id"), F.substring(F.col("text"), F.length(first) + 2, F.length("text")).alias("text"))
 
 
 register("scan_text_corpus", _corpus_scan, """SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) || chr(10) AS text

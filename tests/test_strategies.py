@@ -28,6 +28,7 @@ def test_mask(spark, pii_type, value, want):
 
 
 def test_mask_options(spark):
+    assert one(spark, lambda t, v: st.mask(t, v, Mask(au_phones=True)), "AU_PHONE_NUMBER", "0488-777-101") == "048-***-****"
     o = Mask(mask_char="#", ssn_visible_chars=0, email_visible_chars=2)
     assert one(spark, lambda t, v: st.mask(t, v, o), "SSN", "509-33-8127") == "###-##-"
     assert one(spark, lambda t, v: st.mask(t, v, o), "EMAIL", "quil@x.y") == "qu##@x.y"
