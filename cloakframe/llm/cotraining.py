@@ -130,6 +130,9 @@ def _calibration(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
+#: A view is a linear model of at most so many features, those that depend most on the label: a bound of the model's
+#: size, the same at every size of the corpus.  All texts are counted to choose them.
+FEATURES = 4000
 #: Confidences are counted in so many steps for 1 of margin, from the margin of ``sure`` up to 32 above it.
 _STEPS, _BINS = 128, 4096
 _CHANCE = 1 << 30
@@ -323,7 +326,7 @@ def _refitted(corpus: _Corpus, rounds: list[Passed], views: list[Line], own: tup
         label = np.repeat(y, np.diff(own[i].start))
         n[:-1] += np.bincount(own[i].at, minlength=len(n) - 1)
         n1[:-1] += np.bincount(own[i].at, label, len(n) - 1)
-        keys.append(dependent(n1[:-1], n[:-1], int(total), float(positive)))
+        keys.append(dependent(n1[:-1], n[:-1], int(total), float(positive), most=FEATURES))
         weights.append((0.5 / (total - positive), 0.5 / positive))
     taught = corpus.taught(rounds, keys)
     state = []
@@ -371,7 +374,7 @@ def co_train(texts: Rows, metadata: Rows, y: np.ndarray, numbered: Callable[[lis
     seen = np.flatnonzero(~aside)
     rows = (texts, metadata)
     own = [r.take(seen) for r in rows]
-    first = [telling(r, y[seen] > 0) for r in own]
+    first = [telling(r, y[seen] > 0, most=FEATURES) for r in own]
     keys, unlabelled, n = numbered(first)
     corpus = _Corpus(unlabelled, n, (len(keys[0]), len(keys[1])), sure)
     views = []

@@ -37,24 +37,27 @@ class Rows:
         return np.bincount(self.at, minlength=places)
 
 
-def telling(rows: Rows, y: np.ndarray, seen: int = 4) -> np.ndarray:
+def telling(rows: Rows, y: np.ndarray, seen: int = 4, most: int | None = None) -> np.ndarray:
     """The sorted keys whose presence depends on ``y``: chi-square of the two-by-two table at least 30, or
-    a sixtieth of the rows, as accidental company also grows with their number."""
+    a sixtieth of the rows, as accidental company also grows with their number.  ``most`` bounds the size of a model:
+    so many keys at most, the most dependent ones; None for all that pass."""
     if not len(rows.at) or y.all() or not y.any():
         return np.empty(0, np.int64)
     label = np.repeat(y.astype(float), np.diff(rows.start))
     keys, place = np.unique(rows.at, return_inverse=True)
-    return keys[dependent(np.bincount(place, label), np.bincount(place), len(rows), float(y.sum()), seen)]
+    return keys[dependent(np.bincount(place, label), np.bincount(place), len(rows), float(y.sum()), seen, most)]
 
 
-def dependent(n1: np.ndarray, n: np.ndarray, total: int, positive: float, seen: int = 4) -> np.ndarray:
+def dependent(n1: np.ndarray, n: np.ndarray, total: int, positive: float, seen: int = 4,
+              most: int | None = None) -> np.ndarray:
     """``telling`` by counts: the sorted places, of which ``n`` rows and ``n1`` positive ones hold each."""
     if not 0 < positive < total:
         return np.empty(0, np.int64)
     expected = n * positive / total
     spread = expected * (1 - positive / total) * np.maximum(1 - n / total, 1e-9)
     score = np.where(n >= seen, (n1 - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    return np.flatnonzero(score >= max(30, total / 60))
+    best = np.argsort(-score, kind="stable")[:most]
+    return np.sort(best[score[best] >= max(30, total / 60)])
 
 
 def among(rows: Rows, keys: np.ndarray) -> Rows:
