@@ -35,7 +35,7 @@ def first(n: tuple[int, int, float], cur: tuple[int, int, float]) -> bool:
 
 
 class _Fold:
-    """State of one task.  Rows are (row in the work batch, key, stripe, own, start, end, ord, confidence, type)."""
+    """State of one task: the current span and what starts at one place, as [row, start, end, ord, confidence]."""
 
     def __init__(self, better: Better, stripe: int | None) -> None:
         self.better, self.stripe = better, stripe
@@ -94,8 +94,8 @@ class _Fold:
         return ([self.cur] if self.cur is not None else []) + list(self.waiting.values())
 
 
-def _streamed(n_keys: int, schema: pa.Schema, better: Better, stripe: int | None,
-              order: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _streamed(n_keys: int, schema: pa.Schema, better: Better,
+              stripe: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Columns in: keys (the last one the stripe, where there are stripes), own, then those of ``schema``."""
 
     def taken(work: pa.Table, out: list[tuple[int, int, bool]]) -> pa.RecordBatch:
@@ -155,10 +155,10 @@ def folded(findings: DataFrame, ids: list[str], better: Better = surer, order: t
     dealt = findings.select("*", F.explode(F.sequence(at, last)).alias("_stripe")).withColumn("_own", F.col("_stripe") == at)
     rows = dealt.repartition(*ids, "_stripe").sortWithinPartitions(*sort([*ids, "_stripe", "_own"])).select(
         *[F.col(c).alias(f"_key_{c}") for c in ids], "_stripe", "_own", *names)
-    done = staged(rows.mapInArrow(_streamed(len(ids) + 1, schema, better, stripe, order), out_type), "folded")
+    done = staged(rows.mapInArrow(_streamed(len(ids) + 1, schema, better, stripe), out_type), "folded")
     carry = done.where("_open").drop("_open").repartition(*ids).sortWithinPartitions(*sort(list(ids))).select(
         *[F.col(c).alias(f"_key_{c}") for c in ids], F.lit(True).alias("_own"), *names)
-    rest = carry.mapInArrow(_streamed(len(ids), schema, better, None, order), out_type)
+    rest = carry.mapInArrow(_streamed(len(ids), schema, better, None), out_type)
     return done.where("not _open").unionByName(rest).drop("_open")
 
 
