@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from cloakframe.functions.arrays import running_sums
 from cloakframe.functions.text import code_points, let, piece, with_computed
 from cloakframe.operators.detect import _quoted, stripped
+from cloakframe.operators.lookup import lookup
 from cloakframe.operators.resolve import clusters, dedup, merge
 from cloakframe.policy import Policy
+from cloakframe.sources.staging import staged
 
 # Fixed values.
 CONFIDENCE = 0.85
@@ -159,9 +161,10 @@ def with_response_findings(df: DataFrame, text_col: str, contents: str, name: st
 
 def _by_text(responses: DataFrame, ids: list[str], policy: Policy, filter_listed: bool = True) -> DataFrame:
     """(ids, _contents): all answers that name something, together for each text, so that a text that was answered
-    twice stays one row; texts whose answers name nothing are not joined at all."""
-    return responses.where(F.size(named(F.col("content"), policy, filter_listed)) > 0).groupBy(*ids).agg(
-        F.sort_array(F.collect_set("content")).alias("_contents"))
+    twice stays one row; texts whose answers name nothing are not joined at all.  Staged, as it is measured before it is
+    joined: where it is small, no text is shuffled."""
+    return staged(responses.where(F.size(named(F.col("content"), policy, filter_listed)) > 0).groupBy(*ids).agg(
+        F.sort_array(F.collect_set("content")).alias("_contents")), "answers")
 
 
 def second_pass_findings(texts: DataFrame, text_col: str, responses: DataFrame, ids: list[str],
@@ -169,7 +172,7 @@ def second_pass_findings(texts: DataFrame, text_col: str, responses: DataFrame,
     """One row per located finding of the responses (ids, content)."""
     policy = policy or Policy()
     asked = candidates(texts.select(*ids, F.col(text_col).alias("_text")), "_text")
-    joined = asked.join(_by_text(responses, ids, policy, filter_listed), ids)
+    joined = lookup(asked, _by_text(responses, ids, policy, filter_listed), ids, salts=1)
     found = with_response_findings(joined, "_text", "_contents", "_found", policy, filter_listed).select(
         *ids, "_text", F.explode_outer("_found").alias("_f"))
     points = code_points(F.col("_text"))
@@ -187,7 +190,7 @@ def apply_second_pass(texts: DataFrame, text_col: str, responses: DataFrame, ids
     from cloakframe.plans.rewrite import rewritten
 
     policy = policy or Policy()
-    joined = texts.join(_by_text(responses, ids, policy), ids, "left")
+    joined = lookup(texts, _by_text(responses, ids, policy), ids, "left", salts=1)
     text = F.col(text_col)
     found = with_response_findings(joined, text_col, "_contents", "_found", policy)
     found = found.withColumn("_groups", clusters(F.col("_found")))

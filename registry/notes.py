@@ -6,6 +6,8 @@ entity table can be looked for at the size of the table.
 
 from __future__ import annotations
 
+import re
+
 
 def _pad(col: str, n: int, fill: str = "0") -> str:
     return f"lpad(cast({col} as string), {n}, '{fill}')"
@@ -47,6 +49,27 @@ TEXT = (
     + "case o_orderkey % 16 " + " ".join(f"when {k} then {v}" for k, v in VARIANTS.items()) + " end)"
 )
 
+
+
+def _line(template: str) -> str:
+    """A concatenation from text with the names of the expressions above in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return "concat(" + ", ".join(globals()[p] if i % 2 else f"'{p}'" for i, p in enumerate(parts)) + ")"
+
+
+# Cards beside other digits: an expiry date, a code, a number before, two cards in a run, numbers of another kind.
+_CARD_LINES = [
+    "paid by card 4{O3} {C4} {O4} {C4} {O2}/27 code {C3}",
+    "{C2} 5{O3}-{C4}-{O4}-1111 {C3} done",
+    "4{C3} {O4} {C4} 1111 5{O3} {C4} {O4} 2222",
+    "2 4111 {C4} {O4} {C4} 9",
+    "visa 4{C3}{O9}{O3} {O3}, 3{C3} {O6} {O5} 12",
+    "ref 12-4{C3}-{C4}-{O4}-{C4}-9, account 123-{O6}-{O4}-7",
+    "6011{O4}{C4}{O4}{C3} or 4{O3} {O3} {C3} {O4} {C2} {O2}",
+]
+CARD_LINE = (f"case o_orderkey % {len(_CARD_LINES)} " + " ".join(f"when {k} then {_line(v)}" for k, v in enumerate(_CARD_LINES)) + " end")
+CARD_LINES = f"SELECT o_orderkey AS id, {CARD_LINE} AS text FROM orders"
+
 NOTES = f"SELECT o_orderkey AS id, {TEXT} AS text FROM orders"
 DOCUMENTS = "SELECT doc_id AS id, text FROM documents"
 PAGES = "SELECT page_id AS id, html AS text FROM pages"

@@ -51,6 +51,10 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
     return orders.selectExpr("o_orderkey AS id", f"{N.TEXT} AS text")
 
 
+def card_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, f"{sf}/orders.parquet", "o_orderkey", "o_custkey").selectExpr("o_orderkey AS id", f"{N.CARD_LINE} AS text")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, f"{sf}/documents.parquet", "doc_id", "text").withColumnRenamed("doc_id", "id")
 
@@ -60,7 +64,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
         F.col("page_id").alias("id"), F.col("html").alias("text"))
 
 
-SOURCES = {"notes": (notes, N.NOTES), "documents": (documents, N.DOCUMENTS), "pages": (pages, N.PAGES)}
+SOURCES = {"notes": (notes, N.NOTES), "card_lines": (card_lines, N.CARD_LINES), "documents": (documents, N.DOCUMENTS), "pages": (pages, N.PAGES)}
 
 FOUND = ["id", "pii_type", "shape", "value", "start AS start_pos", "`end` AS end_pos", "confidence"]
 FOUND_SQL = "id, pii_type, shape, value, s AS start_pos, e AS end_pos, confidence"
@@ -96,6 +100,7 @@ for _name, _source, _entities in [
     ("detect_email", "documents", ("EMAIL_ADDRESS",)),
     ("detect_phone", "documents", ("PHONE_NUMBER",)),
     ("detect_credit_card", "documents", ("CREDIT_CARD",)),
+    ("detect_cards_in_runs", "card_lines", ("CREDIT_CARD",)),
     ("detect_ip", "documents", ("IP_ADDRESS",)),
     ("detect_us_ssn", "notes", ("US_SSN",)),
     ("detect_iban", "notes", ("IBAN_CODE",)),
@@ -454,6 +459,7 @@ _rewrite("replace_pseudonym", "notes", Policy(entities=_STRUCTURED, strategy="re
 _rewrite("replace_fallback", "notes", Policy(entities=_SOME, strategy="replace", replace_with=Replace(available=False)),
          "('[' || pii_type || '_FAKE]')")
 _rewrite("rewrite_documents", "documents", Policy(), S.REDACT)
+_rewrite("mask_cards_in_runs", "card_lines", Policy(entities=("CREDIT_CARD",), strategy="mask"), S.mask("pii_type", "value"))
 
 # names of several words out of the passages of ``benchmark``, for texts that hold them
 TITLES = """SELECT lower(concat_ws(' ', w[1], w[2], w[3])) AS key, CASE WHEN item_id % 2 = 0 THEN 'ORGANIZATION' ELSE 'PERSON' END AS pii_type

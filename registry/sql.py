@@ -119,11 +119,32 @@ def facts_cte(policy: Policy) -> str:
     return f"facts(ord, pii_type, shape, score, words) AS (VALUES {', '.join(rows)})"
 
 
+def card_ctes(types: list[str]) -> str:
+    """From ``matched`` to ``typed``: a match whose check digit is wrong gives the cards among the whole groups of its run,
+    one row for each first and last group; inside a hyphenated number only a card's usual grouping begins one."""
+    if not types:
+        return ""
+    of_type = f"pii_type IN ({', '.join(map(q, types))})"
+    chars = "coalesce(list_sum(list_transform({g}, lambda x: length(x))), 0)"
+    return f"""
+digit_runs AS (SELECT *, regexp_extract(substr(text, CAST(s + 1 AS INT), 80), '^[0-9](?:[- ]?[0-9])*') AS run FROM matched WHERE {of_type} AND NOT {card('value')}),
+digit_groups AS (SELECT *, regexp_extract_all(run, '[0-9]+') AS gr FROM digit_runs),
+firsts AS (SELECT *, unnest(range(1, len(gr) + 1)) AS i FROM digit_groups),
+lasts AS (SELECT *, unnest(range(i, len(gr) + 1)) AS j, {chars.format(g='gr[1:i - 1]')} + i - 1 AS off FROM firsts),
+stretches AS (SELECT *, {chars.format(g='gr[i:j]')} + j - i AS n, {chars.format(g='gr[i:j]')} AS n_digits FROM lasts WHERE off < length(value)),
+cards AS (SELECT *, substr(run, CAST(off + 1 AS INT), CAST(n AS INT)) AS number FROM stretches WHERE n_digits BETWEEN 13 AND 19
+  AND (length(gr[i]) = 4 OR length(gr[i]) BETWEEN 13 AND 19
+    OR ((i = 1 OR substr(run, CAST(off AS INT), 1) = ' ') AND substr(run, CAST(off + n + 1 AS INT), 1) <> '-'))),
+typed AS (SELECT * FROM matched WHERE NOT {of_type} OR {card('value')}
+  UNION ALL SELECT id, text, ord, pii_type, shape, score, words, CAST(s + off AS INT), number FROM cards WHERE number[1] BETWEEN '1' AND '6' AND {card('number')}),"""
+
+
 def raw_ctes(src: str, policy: Policy) -> str:
     """CTEs up to ``raw``: id, text, ord, pii_type, shape, s, e, value, confidence."""
     checks = " ".join(
         f"WHEN pii_type = {q(e.pii_type)} THEN {CHECKS[e.check]('value')}" for e in policy.selected() if e.check)
     certain = f"CASE {checks} END" if checks else "NULL::BOOLEAN"
+    cards = card_ctes([e.pii_type for e in policy.selected() if e.check == "card"])
     lead = f"CASE WHEN pii_type = 'PERSON' THEN length(regexp_extract(v0, {q(patterns.TITLE_LEAD)})) ELSE 0 END"
     return f"""{hits_cte(src, policy)},
 {facts_cte(policy)},
@@ -131,7 +152,7 @@ each AS (SELECT id, text, ord, m, g, unnest(range(1, len(m) + 1)) AS i FROM hits
 spans AS (SELECT id, text, ord, m[i] AS v0,
   CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INT) AS s0
   FROM each),
-typed AS (SELECT id, text, ord, pii_type, shape, score, words, s0 + {lead} AS s, substr(v0, 1 + {lead}) AS value FROM spans JOIN facts USING (ord)),
+{'matched' if cards else 'typed'} AS (SELECT id, text, ord, pii_type, shape, score, words, s0 + {lead} AS s, substr(v0, 1 + {lead}) AS value FROM spans JOIN facts USING (ord)),{cards}
 checked AS (SELECT *, {certain} AS certain,
   string_split_regex(substr(text, 1, s), '[ \\t\\r\\n]+') AS toks FROM typed),
 near AS (SELECT *, lower(array_to_string(toks[-6:], chr(10)) || chr(10) || string_split_regex(value, '[ \\t\\r\\n]+')[1]) AS around FROM checked

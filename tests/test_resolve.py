@@ -1,12 +1,14 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.functions.text import splice
 from cloakframe.operators import folds, resolve
 from cloakframe.operators.detect import drop_contained
 from cloakframe.operators.agreement import overlapping
-from cloakframe.operators.lookup import lookup
+from cloakframe.operators import lookup as lookup_module
+from cloakframe.operators.lookup import SALTS, lookup, salted
 from cloakframe.policy import Policy
 
 
@@ -184,6 +186,35 @@ def test_lookup_gives_the_same_rows_both_ways(spark):
         assert sorted(map(tuple, small.collect())) == sorted(tuple(r) for r in large.select(small.columns).collect())
 
 
+def test_only_hot_keys_are_repeated(spark):
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id")))
+    facts = spark.range(6000).select("id", key.alias("key"))
+    table = facts.where("key <> 'hot'").select("key").distinct().unionByName(spark.createDataFrame([("hot",)], "key string"))
+    left, right = salted(facts, table, ["key"])
+    repeated = {r["key"]: r["count"] for r in right.groupBy("key").count().collect()}
+    assert repeated.pop("hot") == SALTS and set(repeated.values()) == {1} and len(repeated) == 2000
+    dealt = {r["key"]: r["n"] for r in left.groupBy("key").agg(F.countDistinct("_salt").alias("n")).collect()}
+    assert dealt.pop("hot") == SALTS and dealt.pop(None) == SALTS and set(dealt.values()) == {1}
+    joined = lookup(facts, table.withColumn("n", F.length("key")), ["key"], "left", broadcast_bytes=0)
+    assert joined.count() == 6000 and joined.where("n IS NULL").count() == 2000
+
+
+def test_lookup_of_empty_tables(spark):
+    facts = spark.createDataFrame([("a", 1)], "key string, n int")
+    empty = spark.createDataFrame([], "key string, m int")
+    assert [tuple(r) for r in lookup(facts, empty, ["key"], "left", broadcast_bytes=-1).collect()] == [("a", 1, None)]
+    assert lookup(facts.limit(0), empty, ["key"], "left", broadcast_bytes=-1).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_list_tables(spark, limit):
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    found = one("a@ok.org", "b@x.org", "c@ok.org", "d@x.org", "e", "both", None)
+    kept = lookup_module.apply_list_tables(found, one("b@x.org", "both", "b@x.org"), one("ok.org"), one("c@ok.org", "both"), limit)
+    assert {r["value"] for r in kept.collect()} == {"c@ok.org", "d@x.org", "e", "both", None}
+    assert kept.columns == ["value"] and kept.count() == 5
+
+
 def test_agreement(spark):
     a, b = random_findings(7, range(5), lambda r: 30, 300), random_findings(8, range(5), lambda r: 30, 300)
     want = sorted((x["id"], x["start"], x["end"], y["start"], y["end"], x["pii_type"], y["pii_type"]) for x in a for y in b
