@@ -289,6 +289,21 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).select(*cols).distinct().collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_streams_read_tables_of_one_file_and_of_a_folder(spark, tmp_path):
+    texts = [(i, f"ask u{i}@kiln.test") for i in range(9)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    df.repartition(3).write.parquet(str(tmp_path / "folder/documents.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    os.makedirs(tmp_path / "file")
+    os.link(glob.glob(str(tmp_path / "one/part-*.parquet"))[0], tmp_path / "file/documents.parquet")
+    for kind in ("folder", "file"):
+        stream = read_stream(spark, str(tmp_path / kind), "documents.parquet")
+        out = str(tmp_path / f"out-{kind}")
+        stream_rewrite(stream, "text", out, str(tmp_path / f"c-{kind}"), Policy(entities=("EMAIL_ADDRESS",))).awaitTermination()
+        got = [tuple(r) for r in spark.read.parquet(out).select("id", "text").orderBy("id").collect()]
+        assert got == [(i, "ask [EMAIL_ADDRESS_REDACTED]") for i in range(9)]
+
+
 def test_synthetic_notes_repeat_and_hold_shapes(spark):
     a = synth_crm_notes(spark.range(400), "id")
     assert a.columns == ["CaseNumber", "CreatedDate", "CommentBody"]
