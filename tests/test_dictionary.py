@@ -144,3 +144,22 @@ def test_denied_values_stand_free(spark):
     denied = spark.createDataFrame([("x-12",), ("#tag",)], "value string")
     got = sorted((r.id, r.start) for r in person.detect_denied(df(spark, rows), "text", ["id"], denied).collect())
     assert got == [(1, 0), (1, 18), (1, 23), (2, 0)]
+
+
+def test_more_keys_than_the_arrays_hold(spark, monkeypatch):
+    """Arrays that are too small for a table tell its keys by form; other stretches still are no candidates."""
+    keys = [(f"L-{i}/{i % 7}", "A") for i in range(4000)] + [(f"{i}@mail{i % 9}.test", "B") for i in range(4000)] + [("red bus", "C")]
+    table = spark.createDataFrame(keys, "key string, pii_type string")
+    draw = random.Random(4)
+    words = ["red", "bus", "tin", "cap", "12", "3", "L", "-", "@", "."]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(200)) + f" L-{i}/{i % 7} {i}@mail{i % 9}.test L-{i}/8 red bus") for i in range(50)]
+    texts_ = df(spark, rows)
+    for style, exact in ((dictionary.LITERALS, True), (dictionary.NAMES, False)):
+        want = sorted((i, s, e, k) for i, t in rows for s, e, k in plain(t, keys, exact))
+        for most in (1 << 24, 1 << 12):
+            monkeypatch.setattr(dictionary, "_MOST_BITS", most)
+            known = dictionary.prepared(table, style)
+            assert known.has_forms == (most < 1 << 24)
+            assert dictionary.candidates(texts_, "text", ["id"], known).count() < 10 * len(want)
+            got = dictionary.matches(texts_, "text", ["id"], known).select("id", "start", "end", "pii_type").collect()
+            assert sorted(map(tuple, got)) == want
