@@ -304,6 +304,15 @@ def test_streams_read_tables_of_one_file_and_of_a_folder(spark, tmp_path):
         assert got == [(i, "ask [EMAIL_ADDRESS_REDACTED]") for i in range(9)]
 
 
+def test_one_row_group_of_keys_is_dealt_over_tasks(spark, tmp_path):
+    spark.range(50_000).withColumns({"o_orderkey": F.col("id"), "o_custkey": F.col("id") % 7, "o_orderdate": F.lit("2024-03-05").cast(
+        "date")}).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    made = notes(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 3
+    assert made.agg(F.count("text"), F.count_distinct("id"), F.sum("id")).first() == (50_000, 50_000, 50_000 * 49_999 // 2)
+    assert read_table(spark, str(tmp_path / "orders.parquet")).rdd.getNumPartitions() == 1
+
+
 def test_synthetic_notes_repeat_and_hold_shapes(spark):
     a = synth_crm_notes(spark.range(400), "id")
     assert a.columns == ["CaseNumber", "CreatedDate", "CommentBody"]
