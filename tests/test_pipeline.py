@@ -22,7 +22,7 @@ from cloakframe.sources.tables import (
     ORDER, checked_columns, numbered, read_table, require_rows, scan_csv, scan_text_corpus,
 )
 from cloakframe.streaming.stream import read_stream, stream_rewrite, stream_pseudonyms
-from registry.queries import ORACLES, QUERIES, notes
+from registry.queries import MODEL_TERMS, ORACLES, QUERIES, model_findings, notes
 from tests.lines import LINES
 
 
@@ -304,6 +304,15 @@ def test_streams_read_tables_of_one_file_and_of_a_folder(spark, tmp_path):
         assert got == [(i, "ask [EMAIL_ADDRESS_REDACTED]") for i in range(9)]
 
 
+def test_only_notes_that_hold_a_term_are_cut(spark, sf):
+    found = model_findings(spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Contains\(text", plan), plan
+    texts = {r.id: r.text for r in notes(spark, sf).collect()}
+    want = sorted((i, o, m.start()) for i, t in texts.items() for o, _, v, _ in MODEL_TERMS for m in re.finditer(re.escape(v), t))
+    assert sorted(map(tuple, found.select("id", "ord", "start").collect())) == want
+
+
 def test_one_row_group_of_keys_is_dealt_over_tasks(spark, tmp_path):
     spark.range(50_000).withColumns({"o_orderkey": F.col("id"), "o_custkey": F.col("id") % 7, "o_orderdate": F.lit("2024-03-05").cast(
         "date")}).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
