@@ -33,6 +33,27 @@ def test_presence_never_hides_a_match(spark, sf):
     assert [s.name for i, s in enumerate(shapes) if not row[f"n{i}"]] == []
 
 
+def test_a_match_begins_with_its_lead(spark):
+    shapes = [s for e in EVERYTHING.selected() for s in e.shapes]
+    assert {s.name for s in shapes if not s.lead} == {"phone_international", "phone_area_in_brackets", "email"}
+    for s in shapes:
+        # each match with every other first character
+        whole = lines(spark).select(F.explode(F.regexp_extract_all("text", F.lit(s.flagged()), F.lit(0))).alias("m")).distinct().limit(5)
+        texts = whole.crossJoin(spark.range(32, 127)).select(F.concat(
+            F.lit("call "), F.char(F.col("id")), F.substring(F.col("m"), F.lit(2), F.length("m")), F.lit(" and "), "m").alias("t"))
+        apart = texts.where(F.regexp_extract_all("t", F.lit(s.flagged()), F.lit(0)) != F.regexp_extract_all(
+            "t", F.lit(s.anchored()), F.lit(0)))
+        assert apart.count() == 0, s.name
+
+
+def test_matches_are_looked_for_in_compiled_code(spark):
+    # inside a function with a lambda Spark interprets every expression for every row
+    policy = Policy(entities=("AU_PO_BOX", "AU_ADDRESS"))
+    plan = detect(lines(spark), "text", ["id"], policy)._jdf.queryExecution().optimizedPlan().toString()
+    (step,) = [x for x in plan.splitlines() if "regexp_extract_all(_cf_text" in x and "AS _cf_runs" not in x]
+    assert "AS _cf_matches" in step and "lambda" not in step
+
+
 def test_offsets_are_code_points_of_the_text(spark):
     for r in detect(lines(spark), "text", ["id"], EVERYTHING).collect():
         assert LINES[r.id][r.start:r.end] == r.value
