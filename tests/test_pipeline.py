@@ -398,3 +398,13 @@ def test_cards_next_to_other_digits(spark):
     for text, want in zip(got, cards.values()):
         assert "4111 1111 1111 1111" not in text and "4111-1111-1111-1111" not in text, got
         assert want is None or text in want.split("|"), got
+
+
+def test_absent_values_need_no_position_map(spark, monkeypatch):
+    kind = "struct<low:string,ends:array<bigint>,shift:array<bigint>>"
+    monkeypatch.setattr(second_pass, "without_blanks", lambda text: F.from_json(
+        F.concat(text, F.raise_error(F.lit("made")).cast("string")), kind))
+    texts = spark.createDataFrame([(1, "parcel for Tess is late"), (2, "call back")], "id long, text string")
+    resp = spark.createDataFrame([(1, '[{"t":"NAME","v":"Nobody Here"},{"t":"NAME","v":"tess"}]')], "id long, content string")
+    got = second_pass.second_pass_findings(texts, "text", resp, ["id"]).collect()
+    assert [(r.id, r.value, r.start, r.end) for r in got] == [(1, "Tess", 11, 15)]
