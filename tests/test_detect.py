@@ -142,3 +142,18 @@ def test_own_patterns(spark):
 
 def test_shape_count():
     assert sum(len(e.shapes) for e in patterns.AU_ENTITIES) == 57
+
+
+def test_snippets_are_made_only_where_asked_for(spark, monkeypatch):
+    from cloakframe.operators import detect as module
+
+    short, long = "mail ida@kiln.test and more words behind it", "x " * 1500 + "mail ida@kiln.test"
+    df = spark.createDataFrame([(1, short), (2, long)], "id long, text string")
+    want = {1: f"...mail [ida@kiln.test]{short[18:38]}...", 2: f"...{long[-33:-13]}[ida@kiln.test]..."}
+    policy = Policy(entities=("EMAIL_ADDRESS",))
+    assert {r.id: r.context for r in module.detect(df, "text", ["id"], policy).collect()} == want
+    made = lambda *_: F.raise_error(F.lit("made")).cast("string")
+    monkeypatch.setattr(module, "short_snippet", made, raising=False)
+    monkeypatch.setattr(module, "snippet", made)
+    found = module.detect(df.where("id = 1"), "text", ["id"], policy).select("id", "value").collect()
+    assert [tuple(r) for r in found] == [(1, "ida@kiln.test")]
