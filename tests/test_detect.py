@@ -54,6 +54,15 @@ def test_matches_are_looked_for_in_compiled_code(spark):
     assert "AS _cf_matches" in step and "lambda" not in step
 
 
+def test_titles_are_looked_for_by_their_regexes_alone(spark):
+    # a search for each title before the regexes took longer than both regexes
+    assert [_presence_sql(s) for s in patterns.BY_TYPE["PERSON"].shapes] == ["_cf_text IS NOT NULL"] * 2
+    texts = spark.createDataFrame(
+        [(0, None), (1, ""), (2, "no title, MRS"), (3, "Dr Ann Lee, not dr ann lee"), (4, "PROF REED-MARSH")], "id int, text string")
+    found = detect(texts, "text", ["id"], Policy(entities=("PERSON",))).select("id", "value").sort("id").collect()
+    assert [tuple(r) for r in found] == [(3, "Ann Lee"), (4, "REED-MARSH")]
+
+
 def test_offsets_are_code_points_of_the_text(spark):
     for r in detect(lines(spark), "text", ["id"], EVERYTHING).collect():
         assert LINES[r.id][r.start:r.end] == r.value
