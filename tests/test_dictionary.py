@@ -163,3 +163,29 @@ def test_more_keys_than_the_arrays_hold(spark, monkeypatch):
             assert dictionary.candidates(texts_, "text", ["id"], known).count() < 10 * len(want)
             got = dictionary.matches(texts_, "text", ["id"], known).select("id", "start", "end", "pii_type").collect()
             assert sorted(map(tuple, got)) == want
+
+
+def test_of_a_large_table_only_the_keys_asked_for_are_looked_up(spark, monkeypatch):
+    """The lookup gets the keys that candidates have, and no text carries the arrays along."""
+    table = spark.createDataFrame([(f"L-{i}/{i % 7}", "A") for i in range(4000)], "key string, pii_type string")
+    texts_ = df(spark, [(1, "see L-7/0 and L-9/2"), (2, "L-9/9 of\tL-21/0"), (3, None)])
+    monkeypatch.setattr(dictionary, "_MOST_BITS", 1 << 12)
+    known = dictionary.prepared(table, dictionary.LITERALS)
+    assert known.has_forms
+    plan = dictionary.candidates(texts_, "text", ["id"], known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    lookup, sizes = dictionary.lookup, []
+    monkeypatch.setattr(dictionary, "lookup", lambda found, typed, *a: sizes.append(typed.count()) or lookup(found, typed, *a))
+    got = dictionary.matches(texts_, "text", ["id"], known).select("id", "start", "value").collect()
+    assert sorted(map(tuple, got)) == [(1, 4, "L-7/0"), (1, 14, "L-9/2"), (2, 9, "L-21/0")] and sizes == [3]
+
+
+def test_values_are_as_written(spark):
+    """Also in plain texts, whose units are not normalised one by one."""
+    table = spark.createDataFrame([("Lake Berg", "LOCATION"), ("ann", "PERSON")], "key string, pii_type string")
+    texts_ = df(spark, [(1, "to LAKE berg by Ann"), (2, "to Lake  Berg, Ann"), (3, "über Lake Berg")])
+    got = dictionary.matches(texts_, "text", ["id"], dictionary.prepared(table)).select("id", "value", "preceding", "context").collect()
+    assert sorted(map(tuple, got)) == [
+        (1, "Ann", "E berg by ", "...to LAKE berg by [Ann]..."), (1, "LAKE berg", "to ", "...to [LAKE berg] by Ann..."),
+        (2, "Ann", "ke  Berg, ", "...to Lake  Berg, [Ann]..."), (2, "Lake  Berg", "to ", "...to [Lake  Berg], Ann..."),
+        (3, "Lake Berg", "über ", "...über [Lake Berg]...")]
